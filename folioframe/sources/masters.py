@@ -139,8 +139,8 @@ def _fixed_width_rows(lines: DataFrame, layout: Layout, line: str, market: str)
     for field in MASTER_COLUMNS:
         columns.setdefault(field, F.lit(None).cast("string"))
 
-    raw = F.regexp_replace(F.col(line), "[\r\n]+$", "").cast("binary")
-    rows = lines.withColumn("_blob", raw).select(*carried, *[col.alias(name) for name, col in columns.items()])
+    # No string function may touch the line before the cut: its bytes are not UTF-8.
+    rows = lines.withColumn("_blob", F.col(line).cast("binary")).select(*carried, *[col.alias(name) for name, col in columns.items()])
     return rows.filter(F.col("symbol") != "").select(
         *carried, *MASTER_COLUMNS, F.to_json(F.struct(*columns)).alias("raw_data")
     )
