@@ -38,14 +38,15 @@ def upsert(target: DataFrame, incoming: DataFrame, keys: tuple[str, ...], order:
            touched: str, created: str | None = None) -> DataFrame:
     """`target` with the last incoming row of each key written over it, NULLs included.
 
-    `touched` is set to `now` on written rows. `created`, if given, is `now` for new keys and kept for old
+    Columns the input lacks count as NULL. `touched` is set to `now` on written rows. `created`, if given, is `now` for new keys and kept for old
     ones. The result has the columns of `target`.
     """
     values = [name for name in target.columns if name not in (*keys, touched, created)]
     stamps = [name for name in (touched, created) if name]
     types = {name: target.schema[name].dataType for name in (*keys, *values)}
+    given = {name: F.col(name) for name in incoming.columns}
     typed = incoming.select(*[
-        F.col(name).cast(types[name]).alias(name) if name in types else F.col(name)
+        given.get(name, F.lit(None)).cast(types[name]).alias(name) if name in types else given[name]
         for name in dict.fromkeys([*keys, *values, *order])
     ])
     newest = one_per_key(typed, keys, order)

@@ -322,7 +322,7 @@ def _(t):
 
 
 @query("summary_sorted", "H5", ctes(SNAPS, DAILY, _LATEST) + """
-SELECT row_number() OVER (ORDER BY account_type, account_id) AS place, account_type, account_id FROM latest
+SELECT CAST(row_number() OVER (ORDER BY account_type, account_id) AS INTEGER) AS place, account_type, account_id FROM latest
 ORDER BY 1 LIMIT 50""")
 def _(t):
     summary = portfolio.latest_summary(daily(t), lookback_days=5, as_of=AS_OF)

@@ -121,10 +121,11 @@ RATES = f"rates AS (SELECT {_sql(RATE_COLUMNS)} FROM events)"
 ACCOUNTS = f"accounts AS (SELECT {_sql(ACCOUNT_COLUMNS)} FROM customer)"
 ORDERS = f"seen AS (SELECT {_sql(ORDER_COLUMNS)} FROM orders)"
 MASTER = f"master AS (SELECT {_sql(MASTER_COLUMNS)} FROM part)"
-OVERRIDES = f"overrides AS (SELECT {_sql(OVERRIDE_COLUMNS)} FROM part WHERE p_partkey % 97 = 0)"
+OVERRIDES = f"overrides AS (SELECT {_sql(OVERRIDE_COLUMNS)} FROM part WHERE p_brand = 'Brand#13')"
 HOLIDAYS = """holidays AS (
-    SELECT CAST(o_orderdate AS DATE) AS date, min(concat('H', CAST(o_orderkey AS VARCHAR(20)))) AS name
-    FROM orders WHERE o_orderkey % 199 = 0 GROUP BY CAST(o_orderdate AS DATE))"""
+    SELECT arg_max(CAST(o_orderdate AS DATE), (o_totalprice, o_orderkey)) AS date,
+           concat('H', CAST(max(o_orderkey) AS VARCHAR)) AS name
+    FROM orders GROUP BY date_trunc('month', o_orderdate))"""
 CALENDAR = ",\n".join([HOLIDAYS, """
 years AS (SELECT DISTINCT year(o_orderdate) AS year FROM orders)""", """
 days AS (SELECT y.year, CAST(d.day AS DATE) AS trade_date FROM years y,
@@ -227,13 +228,14 @@ class Tables:
         return self.read("part").selectExpr(*_cols(MASTER_COLUMNS))
 
     def overrides(self) -> DataFrame:
-        return self.read("part").filter("p_partkey % 97 = 0").selectExpr(*_cols(OVERRIDE_COLUMNS))
+        return self.read("part").filter("p_brand = 'Brand#13'").selectExpr(*_cols(OVERRIDE_COLUMNS))
 
     def holidays(self) -> DataFrame:
-        """Dates to close on, taken from the orders; several names may share a date."""
-        return self.read("orders").filter("o_orderkey % 199 = 0").selectExpr(
-            "CAST(o_orderdate AS DATE) AS date", "concat('H', CAST(o_orderkey AS VARCHAR(20))) AS name"
-        )
+        """Dates to close on: those of the largest order of each month."""
+        return self.read("orders").groupBy(F.date_trunc("month", "o_orderdate").alias("_month")).agg(
+            F.max_by(F.col("o_orderdate").cast("date"), F.struct("o_totalprice", "o_orderkey")).alias("date"),
+            F.concat(F.lit("H"), F.max("o_orderkey").cast("string")).alias("name"),
+        ).drop("_month")
 
     def years(self) -> DataFrame:
         return self.read("orders").select(F.year("o_orderdate").alias("year")).distinct()
