@@ -1 +1,90 @@
-"""To come."""
+"""Streaming jobs run to the end of what has arrived, then read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from folioframe.operators import merge, tables
+from folioframe.registry.core import ctes, query
+from folioframe.registry.merges import now
+from folioframe.registry.standins import SNAPS, SNAPSHOT_COLUMNS, account_sql, cents_sql
+from folioframe.session import scratch_path
+from folioframe.streaming import jobs
+
+
+def _stream(t):
+    """The events file as a stream."""
+    schema = t.read("events").schema
+    return jobs.read_files(t.spark, t.folder, schema, "events.parquet")
+
+
+def _snapshots(t):
+    return _stream(t).selectExpr(*[f"{expr} AS {name}" for name, expr in SNAPSHOT_COLUMNS.items()])
+
+
+def _wait(stream_query):
+    stream_query.awaitTermination()
+    if stream_query.exception() is not None:
+        raise stream_query.exception()
+
+
+@query("stream_snapshot_ingest", "K1 B7", ctes(SNAPS) + """
+SELECT *, CAST(snapshot_at AS DATE) AS snap_date FROM snaps""", dates="snap_date", times="snapshot_at")
+def _(t):
+    out, state = scratch_path(t.spark, "ingest"), scratch_path(t.spark, "ingest-state")
+    _wait(jobs.ingest_snapshots(_snapshots(t), out, state))
+    # A resumed run finds nothing new.
+    _wait(jobs.ingest_snapshots(_snapshots(t), out, state))
+    return t.spark.read.parquet(out)
+
+
+@query("stream_order_upsert", "K2 B4", f"""
+SELECT {account_sql('user_id')} AS account_id, CAST(ts AS DATE) AS order_date, event_type AS order_no,
+       arg_max({cents_sql('value')}, (ts, event_id)) AS filled_amount FROM events
+GROUP BY user_id, CAST(ts AS DATE), event_type""", dates="order_date")
+def _(t):
+    root, state = scratch_path(t.spark, "tables"), scratch_path(t.spark, "upsert-state")
+    tables.create(t.spark, root, "domestic_orders")
+    seen = _stream(t).select(
+        F.expr(account_sql("user_id")).alias("account_id"), F.lit("01").alias("account_product_code"),
+        F.lit("brokerage").alias("account_type"), F.col("ts").cast("date").alias("order_date"), F.lit("").alias("order_branch_no"),
+        F.col("event_type").alias("order_no"), F.expr(cents_sql("value")).alias("filled_amount"), F.col("ts").alias("seen_at"),
+        F.col("event_id").alias("place"),
+    )
+    _wait(jobs.upsert_stream(seen, root, "domestic_orders",
+                             lambda target, batch: merge.upsert_orders(target, batch, now()), state))
+    return tables.read_table(t.spark, root, "domestic_orders").select("account_id", "order_date", "order_no", "filled_amount")
+
+
+def _windowed(t, every):
+    keys = ["account_id", "account_type"]
+    stream = _snapshots(t).withColumn("snapshot_at", F.col("snapshot_at").cast("timestamp"))
+    out, state = scratch_path(t.spark, "windows"), scratch_path(t.spark, "windows-state")
+    _wait(jobs.write_updates(jobs.last_per_window(stream, keys, "total_eval_amt", every=every), out, state))
+    return jobs.read_updates(t.spark, out, [*keys, "window_start"])
+
+
+def _window_sql(grain):
+    return ctes(SNAPS) + f"""
+SELECT account_id, account_type, date_trunc('{grain}', snapshot_at)::TIMESTAMP AS window_start, max(snapshot_at) AS snapshot_at,
+       arg_max(total_eval_amt, snapshot_at) AS total_eval_amt
+FROM snaps WHERE total_eval_amt IS NOT NULL GROUP BY account_id, account_type, date_trunc('{grain}', snapshot_at)"""
+
+
+@query("stream_daily_last_value", "K3 E1", _window_sql("day"), times="window_start snapshot_at")
+def _(t):
+    return _windowed(t, "1 day")
+
+
+@query("stream_minute_last_value", "K3 M", _window_sql("minute"), times="window_start snapshot_at")
+def _(t):
+    return _windowed(t, "1 minute")
+
+
+@query("stream_duplicate_drop", "K4", """
+SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events""", dates="day")
+def _(t):
+    stream = _stream(t).select("user_id", "event_type", F.col("ts").cast("date").alias("day"), F.col("ts").cast("timestamp").alias("ts"))
+    out, state = scratch_path(t.spark, "distinct"), scratch_path(t.spark, "distinct-state")
+    _wait(jobs.append_stream(jobs.drop_repeats(stream, ["user_id", "event_type", "day"], "ts"), out, state))
+    return t.spark.read.parquet(out).select("user_id", "event_type", "day")

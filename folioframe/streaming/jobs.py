@@ -18,9 +18,13 @@ from folioframe.operators.tables import rewrite
 ORDER_KEYS = ["account_id", "account_product_code", "order_date", "order_branch_no", "order_no"]
 
 
-def read_files(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
-    """Parquet files as they arrive in a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_files(spark: SparkSession, folder: str, schema: StructType, names: str = "*.parquet",
+               files_per_batch: int = 1000) -> DataFrame:
+    """Parquet files as they arrive in a folder, those whose name matches `names`."""
+    return (
+        spark.readStream.schema(schema).option("pathGlobFilter", names)
+        .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    )
 
 
 def ingest_snapshots(stream: DataFrame, out: str, checkpoint: str, time: str = "snapshot_at") -> StreamingQuery:
