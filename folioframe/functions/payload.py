@@ -1,56 +1,116 @@
 """Reading fields of JSON responses held as text.
 
-A response is parsed once into a variant; lists and fields are then taken from it by path. Wrong shapes (an
-object where a list belongs, a bare string among the objects of a list) give NULL or no row.
+Lists inside a response are taken as arrays of JSON texts, so that one odd element cannot spoil its list and the
+raw object stays at hand. Each object is then parsed once, by the JVM's streaming parser, into a struct of just
+the members asked for. Wrong shapes (an object where a list belongs, a bare string among the objects of a list)
+give NULL or no row.
 """
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioframe.functions.text import blank_to_null
 
+_TEXTS = T.ArrayType(T.StringType())
+_MAP = T.MapType(T.StringType(), T.StringType())
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is evaluated a single time, however often `body` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
-def parse(text: Column) -> Column:
-    return F.try_parse_json(text)
+def parts(doc: Column, lists: tuple[str, ...] = (), maps: tuple[str, ...] = ()) -> Column:
+    """Struct of top-level members: lists as arrays of JSON texts, objects as maps of text."""
+    fields = [T.StructField(name, _TEXTS) for name in lists] + [T.StructField(name, _MAP) for name in maps]
+    return F.from_json(doc, T.StructType(fields))
 
 
-def items(doc: Column, path: str) -> Column:
-    """The list at `path` as an array of variants."""
-    return F.try_variant_get(doc, path, "array<variant>")
+def items(doc: Column, name: str) -> Column:
+    """The top-level list `name` as an array of JSON texts."""
+    return parts(doc, lists=(name,))[name]
 
 
-def first_list(doc: Column, *paths: str) -> Column:
-    """The first of the lists that has elements."""
-    lists = [items(doc, path) for path in paths]
-    return F.coalesce(*[F.when(F.size(one) > 0, one) for one in lists])
+def first_list(doc: Column, *names: str) -> Column:
+    """The first of the top-level lists that has elements."""
+    return once(parts(doc, lists=names), lambda found: F.coalesce(*[
+        F.when(F.size(found[name]) > 0, found[name]) for name in names
+    ]))
+
+
+def members(doc: Column) -> Column:
+    """A JSON object as a map of member texts; NULL for anything else."""
+    return F.from_json(doc, _MAP)
 
 
 def is_object(value: Column) -> Column:
+    """Whether a variant is an object."""
     return F.schema_of_variant(value).startswith("OBJECT")
 
 
-def field(row: Column, name: str) -> Column:
-    """Text of a member, NULL when missing, JSON null or empty."""
-    return blank_to_null(F.try_variant_get(row, f"$.{name}", "string"))
+def length(array: Column) -> Column:
+    """Size of an array, 0 for NULL."""
+    return F.when(array.isNull(), 0).otherwise(F.size(array))
+
+
+def objects(texts: Column) -> Column:
+    return F.filter(texts, lambda text: text.startswith("{"))
+
+
+def spellings(name: str) -> tuple[str, ...]:
+    """A member name as given, in lower case and in upper case."""
+    return tuple(dict.fromkeys((name, name.lower(), name.upper())))
+
+
+class Members:
+    """The members of a JSON object that a reader wants, and access to them once parsed.
+
+    Names may differ in case alone. Those in `typed` keep the JSON type of their value, for `nonzero`.
+    """
+
+    def __init__(self, *names: str, typed: tuple[str, ...] = ()):
+        wanted = dict.fromkeys((*names, *typed))
+        self._place = {name: f"m{i}" for i, name in enumerate(wanted)}
+        kinds = {name: T.VariantType() if name in typed else T.StringType() for name in wanted}
+        self._schema = T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+        self._unique = T.StructType([T.StructField(self._place[name], kind) for name, kind in kinds.items()])
+
+    def parse(self, text: Column) -> Column:
+        # Spark resolves struct fields without regard to case; the cast gives each a name of its own.
+        return F.from_json(text, self._schema).cast(self._unique)
+
+    def explode(self, df: DataFrame, texts: Column) -> DataFrame:
+        """One row per object among the texts, with `_place`, its raw `_text` and the parsed `_row`.
 
+        Objects are parsed before the explode: a filter on a member then tests the parsed row, where one on a
+        later projection would be pushed below the parsing and parse again.
+        """
+        parsed = F.transform(objects(texts), lambda text: F.struct(text.alias("text"), self.parse(text).alias("row")))
+        return df.select("*", F.posexplode(parsed).alias("_place", "_entry")).withColumns({
+            "_text": F.col("_entry.text"), "_row": F.col("_entry.row"),
+        }).drop("_entry")
 
-def pick(row: Column, *names: str) -> Column:
-    """First filled member, trying each name as given, in lower case and in upper case."""
-    spellings = dict.fromkeys(form for name in names for form in (name, name.lower(), name.upper()))
-    return F.coalesce(*[field(row, form) for form in spellings])
+    def get(self, name: str, row: Column | None = None) -> Column:
+        """Text of a member, NULL when missing, JSON null or empty."""
+        return blank_to_null((F.col("_row") if row is None else row)[self._place[name]])
 
+    def pick(self, *names: str, row: Column | None = None) -> Column:
+        """First filled member, trying each name in its spellings."""
+        return F.coalesce(*[self.get(form, row) for name in names for form in spellings(name)])
 
-def nonzero(row: Column, name: str) -> Column:
-    """`field`, but a JSON number 0 counts as missing while the text "0" does not."""
-    text = field(row, name)
-    number_zero = (text.try_cast("double") == 0.0) & (
-        F.schema_of_variant(F.try_variant_get(row, f"$.{name}", "variant")) != "STRING"
-    )
-    return F.when(F.coalesce(number_zero, F.lit(False)), F.lit(None)).otherwise(text)
+    def nonzero(self, name: str, row: Column | None = None) -> Column:
+        """Text of a typed member, but a JSON number 0 counts as missing while the text "0" does not."""
+        value = (F.col("_row") if row is None else row)[self._place[name]]
+        text = value.try_cast("string")
+        number_zero = text.isin("0", "0.0", "-0.0") & (F.schema_of_variant(value) != "STRING")
+        return F.when(~number_zero, blank_to_null(text))
 
 
-def explode_rows(df: DataFrame, rows: Column, into: str = "_row") -> DataFrame:
-    """One output row per object in `rows`; anything in the list that is not an object is dropped."""
-    return df.withColumn(into, F.explode(rows)).filter(is_object(F.col(into)))
+def all_spellings(*names: str) -> Members:
+    """Members for `pick`."""
+    return Members(*[form for name in names for form in spellings(name)])

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.functions import payload, text
+from folioframe.functions import payload
 from folioframe.operators import merge, reads
 from folioframe.plans.gate import collection_gate
 from folioframe.sources import orders as source
@@ -28,15 +28,6 @@ class Collection(NamedTuple):
     outcomes: DataFrame
 
 
-def _storable(doc: Column, fallback_date: Column) -> Column:
-    """How many rows of a response have an order number and a date, told without exploding it."""
-    def has_identity(row: Column) -> Column:
-        day = F.replace(F.coalesce(payload.pick(row, "ord_dt"), fallback_date), F.lit("-"), F.lit(""))
-        return payload.is_object(row) & payload.pick(row, "odno").isNotNull() & text.parse_day(day).isNotNull()
-
-    return F.coalesce(F.size(F.filter(payload.items(doc, "$.output1"), has_identity)), F.lit(0))
-
-
 def collect(responses: DataFrame, calendar: DataFrame, close_grace_minutes: int = 5) -> Collection:
     """One day's order-list responses of all accounts.
 
@@ -45,8 +36,7 @@ def collect(responses: DataFrame, calendar: DataFrame, close_grace_minutes: int
     object is reported as an error; the others are stored whatever happens to it.
     """
     gated = collection_gate(responses, calendar, close_grace_minutes)
-    doc = payload.parse(F.col("payload"))
-    readable = F.coalesce(payload.is_object(doc), F.lit(False))
+    readable = payload.members(F.col("payload")).isNotNull()
     state = F.when(F.col("status") == "skipped", "skipped").when(readable, "ok").otherwise("error")
     checked = gated.withColumn("outcome", state).withColumn("fallback_date", F.date_format("trade_date", "yyyyMMdd"))
     good = checked.filter(F.col("outcome") == "ok")
@@ -61,7 +51,7 @@ def collect(responses: DataFrame, calendar: DataFrame, close_grace_minutes: int
     outcomes = checked.select(
         "id", *_ACCOUNT, "trade_date", F.col("outcome").alias("status"), "reason",
         F.when(ok, source.order_count(F.col("payload"))).alias("order_count"),
-        F.when(ok, _storable(doc, F.col("fallback_date"))).alias("canonical_write_count"),
+        F.when(ok, source.storable_count(F.col("payload"), F.col("fallback_date"))).alias("canonical_write_count"),
         F.when(ok, "saved").alias("history_status"),
     )
     return Collection(observations, orders, rejects, outcomes)

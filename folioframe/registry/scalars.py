@@ -184,7 +184,7 @@ def _(t):
     plain = F.try_variant_get("doc", "$", "string")
     return rows.select(
         "event_id",
-        F.when(payload.is_object(F.col("doc")), payload.field(F.col("doc"), "k")).otherwise(plain).alias("k"),
+        F.when(payload.is_object(F.col("doc")), F.try_variant_get("doc", "$.k", "string")).otherwise(plain).alias("k"),
         text.encode_json(F.struct("event_id", F.lit(None).cast("string").alias("missing"))).alias("encoded"),
     )
 

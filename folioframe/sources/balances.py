@@ -37,31 +37,32 @@ def total_value(balance: Column) -> Column:
     `output2` may be an object or a list, of which the first element counts. A filled member that is not a
     number gives NULL; later members are not tried.
     """
-    doc = payload.parse(balance)
-    head = F.coalesce(
-        F.try_variant_get(doc, "$.output2[0]", "variant"), F.try_variant_get(doc, "$.output2", "variant")
-    )
-    return numbers.lenient_int(F.coalesce(*[payload.nonzero(head, name) for name in TOTAL_FIELDS]))
+    head = payload.once(F.from_json(balance, "output2 STRING")["output2"], lambda text: F.when(
+        text.startswith("["), F.get(F.from_json(text, "ARRAY<STRING>"), F.lit(0))
+    ).otherwise(text))
+    row = payload.Members(typed=TOTAL_FIELDS)
+    return numbers.lenient_int(payload.once(row.parse(head), lambda parsed: F.coalesce(*[
+        row.nonzero(name, parsed) for name in TOTAL_FIELDS
+    ])))
 
 
 def reshape_deposit(responses: DataFrame) -> DataFrame:
     """`payload` of present-balance responses to `currency_rows`, `totals` and `pair_rates` columns.
 
-    `currency_rows` is the list of per-currency objects, `totals` a map of the renamed totals, `pair_rates` a
-    map of rate by currency pair; each is NULL where the response lacks its part.
+    `currency_rows` is the list of per-currency objects as JSON texts, `totals` a map of the renamed totals,
+    `pair_rates` a map of rate by currency pair; each is NULL where the response lacks its part.
     """
-    doc = F.col("_doc")
-    totals = F.try_variant_get(doc, "$.output3", "variant")
+    totals = F.col("_parts.output3")
 
     def renamed(names: dict[str, str]) -> Column:
-        entries = [item for new, old in names.items()
-                   for item in (F.lit(new), F.try_variant_get(totals, f"$.{old}", "string"))]
-        return F.when(payload.is_object(totals), F.create_map(*entries))
+        entries = [item for new, old in names.items() for item in (F.lit(new), F.try_element_at(totals, F.lit(old)))]
+        return F.when(totals.isNotNull(), F.create_map(*entries))
 
     carried = [name for name in responses.columns if name != "payload"]
-    return responses.withColumn("_doc", payload.parse(F.col("payload"))).select(
+    parts = payload.parts(F.col("payload"), lists=("output2",), maps=("output3",))
+    return responses.withColumn("_parts", parts).select(
         *carried,
-        payload.first_list(doc, "$.output2").alias("currency_rows"),
+        F.col("_parts.output2").alias("currency_rows"),
         renamed(DEPOSIT_TOTALS).alias("totals"),
         renamed(DEPOSIT_PAIRS).alias("pair_rates"),
     )
@@ -69,13 +70,13 @@ def reshape_deposit(responses: DataFrame) -> DataFrame:
 
 def read_reshaped_deposit(deposits: DataFrame) -> DataFrame:
     """The same three columns from already reshaped deposits, stored as JSON text in `payload`."""
-    doc = F.col("_doc")
     carried = [name for name in deposits.columns if name != "payload"]
-    return deposits.withColumn("_doc", payload.parse(F.col("payload"))).select(
+    parts = payload.parts(F.col("payload"), lists=(DEPOSIT_LIST,), maps=(DEPOSIT_TOTAL, DEPOSIT_RATES))
+    return deposits.withColumn("_parts", parts).select(
         *carried,
-        payload.items(doc, f"$.{DEPOSIT_LIST}").alias("currency_rows"),
-        F.try_variant_get(doc, f"$.{DEPOSIT_TOTAL}", "map<string,string>").alias("totals"),
-        F.try_variant_get(doc, f"$.{DEPOSIT_RATES}", "map<string,string>").alias("pair_rates"),
+        F.col("_parts")[DEPOSIT_LIST].alias("currency_rows"),
+        F.col("_parts")[DEPOSIT_TOTAL].alias("totals"),
+        F.col("_parts")[DEPOSIT_RATES].alias("pair_rates"),
     )
 
 
@@ -90,16 +91,15 @@ def domestic_holdings(snapshots: DataFrame, balance: str = "balance_data") -> Da
 
     Columns of `snapshots` other than the response are carried. Blank symbols and values of 0 or less go.
     """
-    row = F.col("_row")
+    row = payload.Members("pdno", "prdt_name", "hldg_qty", "evlu_amt")
     carried = [name for name in snapshots.columns if name != balance]
-    exploded = payload.explode_rows(snapshots, payload.items(payload.parse(F.col(balance)), "$.output1"))
-    return exploded.select(
+    return row.explode(snapshots, payload.items(F.col(balance), "output1")).select(
         *carried,
-        F.trim(payload.field(row, "pdno")).alias("symbol"),
-        F.trim(F.coalesce(payload.field(row, "prdt_name"), F.lit(""))).alias("name"),
-        numbers.parse_number(payload.field(row, "hldg_qty")).alias("quantity"),
-        numbers.parse_int(payload.field(row, "evlu_amt")).alias("value_krw"),
-        F.to_json(row).alias("raw_data"),
+        F.trim(row.get("pdno")).alias("symbol"),
+        F.trim(F.coalesce(row.get("prdt_name"), F.lit(""))).alias("name"),
+        numbers.parse_number(row.get("hldg_qty")).alias("quantity"),
+        numbers.parse_int(row.get("evlu_amt")).alias("value_krw"),
+        F.col("_text").alias("raw_data"),
     ).filter((F.col("symbol") != "") & (F.col("value_krw") > 0))
 
 
@@ -108,29 +108,29 @@ def overseas_holdings(balances: DataFrame, balance: str = "balance_data") -> Dat
 
     The currency is the response's own, else the exchange's. Values of 0 or less, or missing, go.
     """
-    row = F.col("_row")
+    row = payload.Members(
+        "ovrs_pdno", "ovrs_item_name", "tr_crcy_cd", "ovrs_cblc_qty", "ord_psbl_qty", "ovrs_stck_evlu_amt",
+        "frcr_evlu_amt2", "frcr_evlu_pfls_amt", "evlu_pfls_rt",
+    )
     carried = [name for name in balances.columns if name != balance]
     by_exchange = balances.select(
-        *carried,
-        F.explode(F.try_variant_get(payload.parse(F.col(balance)), "$", "map<string,variant>"))
-        .alias("exchange", "_response"),
-    )
-    exploded = payload.explode_rows(by_exchange, payload.items(F.col("_response"), "$.output1"))
+        *carried, F.explode(payload.members(F.col(balance))).alias("exchange", "_response")
+    ).filter(F.col("_response").startswith("{"))
 
     def number(*names: str) -> Column:
-        return numbers.first_number(*[payload.field(row, name) for name in names])
+        return numbers.first_number(*[row.get(name) for name in names])
 
-    return exploded.select(
+    return row.explode(by_exchange, payload.items(F.col("_response"), "output1")).select(
         *carried,
         "exchange",
-        payload.field(row, "ovrs_pdno").alias("symbol"),
-        payload.field(row, "ovrs_item_name").alias("name"),
-        F.coalesce(payload.field(row, "tr_crcy_cd"), text.exchange_currency(F.col("exchange"))).alias("currency"),
+        row.get("ovrs_pdno").alias("symbol"),
+        row.get("ovrs_item_name").alias("name"),
+        F.coalesce(row.get("tr_crcy_cd"), text.exchange_currency(F.col("exchange"))).alias("currency"),
         number("ovrs_cblc_qty", "ord_psbl_qty").alias("quantity"),
         number("ovrs_stck_evlu_amt", "frcr_evlu_amt2").alias("value_foreign"),
         number("frcr_evlu_pfls_amt").alias("profit_foreign"),
         number("evlu_pfls_rt").alias("profit_rate_pct"),
-        F.to_json(row).alias("raw_data"),
+        F.col("_text").alias("raw_data"),
     ).filter(F.col("value_foreign") > 0)
 
 
@@ -144,11 +144,11 @@ def fx_rates(reshaped: DataFrame, by: list[str]) -> DataFrame:
         F.col("pair").contains("/") & (pair[1] == "KRW")
     ).select(*by, pair[0].alias("currency"), numbers.parse_number(F.col("rate")).alias("rate"),
              F.lit(-1).alias("_place"))
-    listed = reshaped.select(*by, F.posexplode("currency_rows").alias("_place", "_row"))
-    from_list = listed.select(
+    row = payload.Members("crcy_cd", "frst_bltn_exrt")
+    from_list = row.explode(reshaped.select(*by, "currency_rows"), F.col("currency_rows")).select(
         *by,
-        payload.field(F.col("_row"), "crcy_cd").alias("currency"),
-        numbers.parse_number(payload.field(F.col("_row"), "frst_bltn_exrt")).alias("rate"),
+        row.get("crcy_cd").alias("currency"),
+        numbers.parse_number(row.get("frst_bltn_exrt")).alias("rate"),
         "_place",
     )
     usable = from_pairs.unionByName(from_list).filter(
@@ -160,15 +160,15 @@ def fx_rates(reshaped: DataFrame, by: list[str]) -> DataFrame:
 
 def cash_rows(reshaped: DataFrame) -> DataFrame:
     """One row per currency of the deposit: balances in that currency, their KRW value and the rate."""
-    row = F.col("_row")
+    row = payload.Members("crcy_cd", "frcr_dncl_amt_2", "frcr_drwg_psbl_amt_1", "frcr_evlu_amt2", "frst_bltn_exrt")
     carried = [name for name in reshaped.columns if name not in ("currency_rows", "totals", "pair_rates")]
-    return payload.explode_rows(reshaped, F.col("currency_rows")).select(
+    return row.explode(reshaped, F.col("currency_rows")).select(
         *carried,
-        payload.field(row, "crcy_cd").alias("currency"),
-        numbers.parse_number(payload.field(row, "frcr_dncl_amt_2")).alias("cash_foreign"),
-        numbers.parse_number(payload.field(row, "frcr_drwg_psbl_amt_1")).alias("withdrawable_foreign"),
-        numbers.parse_int(payload.field(row, "frcr_evlu_amt2")).alias("cash_krw"),
-        numbers.parse_number(payload.field(row, "frst_bltn_exrt")).alias("fx_rate"),
+        row.get("crcy_cd").alias("currency"),
+        numbers.parse_number(row.get("frcr_dncl_amt_2")).alias("cash_foreign"),
+        numbers.parse_number(row.get("frcr_drwg_psbl_amt_1")).alias("withdrawable_foreign"),
+        numbers.parse_int(row.get("frcr_evlu_amt2")).alias("cash_krw"),
+        numbers.parse_number(row.get("frst_bltn_exrt")).alias("fx_rate"),
     )
 
 

@@ -36,33 +36,42 @@ TAIL_FIELDS = {
 }
 
 _IDENTITY = ("account_id", "account_product_code", "account_type")
+NUMBER, DATE, BRANCH, CANCELLED = "odno", "ord_dt", "ord_gno_brno", "cncl_yn"
+IDENTITY_MEMBERS = payload.all_spellings(NUMBER, DATE)
+ORDER_MEMBERS = payload.all_spellings(
+    NUMBER, DATE, BRANCH, CANCELLED,
+    *[name for fields in (TEXT_FIELDS, NUMBER_FIELDS, TAIL_FIELDS) for names in fields.values() for name in names],
+)
+
+
+def order_texts(response: Column) -> Column:
+    """The order list of a response, as JSON texts."""
+    return payload.items(response, "output1")
+
+
+def order_day(members: payload.Members, fallback: Column, row: Column | None = None) -> Column:
+    """Date of an order row: its own, else the fallback, with dashes ignored."""
+    return text.parse_day_or_iso(F.coalesce(members.pick(DATE, row=row), fallback))
 
 
 def _candidates(responses: DataFrame, source: Column) -> DataFrame:
-    row = F.col("_row")
-    doc = payload.parse(F.col("payload"))
-    place = responses.withColumn("_rows", payload.items(doc, "$.output1")).select(
-        *[name for name in responses.columns if name != "payload"],
-        F.posexplode("_rows").alias("_place", "_row"),
-    ).filter(payload.is_object(row))
-    day = F.replace(F.coalesce(payload.pick(row, "ord_dt"), F.col("fallback_date")), F.lit("-"), F.lit(""))
+    row = ORDER_MEMBERS
 
     def texts(fields: dict[str, tuple[str, ...]]) -> list[Column]:
-        return [payload.pick(row, *names).alias(column) for column, names in fields.items()]
+        return [row.pick(*names).alias(column) for column, names in fields.items()]
 
-    return place.select(
+    return row.explode(responses, order_texts(F.col("payload"))).select(
         *_IDENTITY,
-        text.parse_day(day).alias("order_date"),
-        F.coalesce(payload.pick(row, "ord_gno_brno"), F.lit("")).alias("order_branch_no"),
-        payload.pick(row, "odno").alias("order_no"),
+        order_day(row, F.col("fallback_date")).alias("order_date"),
+        F.coalesce(row.pick(BRANCH), F.lit("")).alias("order_branch_no"),
+        row.pick(NUMBER).alias("order_no"),
         *texts(TEXT_FIELDS),
-        *[numbers.strict_int(payload.pick(row, *names)).alias(column)
-          for column, names in NUMBER_FIELDS.items()],
-        text.yes_no(payload.pick(row, "cncl_yn")).alias("is_cancelled"),
+        *[numbers.strict_int(row.pick(*names)).alias(column) for column, names in NUMBER_FIELDS.items()],
+        text.yes_no(row.pick(CANCELLED)).alias("is_cancelled"),
         *texts(TAIL_FIELDS),
         source.alias("last_source"),
         F.col("observation_id").alias("last_order_history_id"),
-        F.to_json(row).alias("raw_data"),
+        F.col("_text").alias("raw_data"),
         F.col("fetched_at").alias("seen_at"),
         F.col("_place").alias("place"),
     )
@@ -83,8 +92,16 @@ def order_rows(responses: DataFrame, source: str = "batch") -> tuple[DataFrame,
 
 def order_count(response: Column) -> Column:
     """Length of the order list, 0 when it is not a list."""
-    listed = payload.items(payload.parse(response), "$.output1")
-    return F.coalesce(F.when(listed.isNotNull(), F.size(listed)), F.lit(0))
+    return payload.once(order_texts(response), payload.length)
+
+
+def storable_count(response: Column, fallback: Column) -> Column:
+    """How many rows of a response have an order number and a date, told without exploding it."""
+    members = IDENTITY_MEMBERS
+    rows = F.transform(payload.objects(order_texts(response)), members.parse)
+    kept = F.filter(rows, lambda row: members.pick(NUMBER, row=row).isNotNull()
+                    & order_day(members, fallback, row).isNotNull())
+    return payload.once(kept, payload.length)
 
 
 def display_rows(orders: DataFrame) -> DataFrame:

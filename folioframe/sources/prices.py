@@ -32,24 +32,19 @@ RATE_DATES = ("stck_bsop_date", "xymd")
 RATE_VALUES = ("ovrs_nmix_prpr", "clos")
 
 
-def _price_rows(responses: DataFrame, rows: Column, fields: PriceFields, exchange: Column) -> DataFrame:
-    row = F.col("_row")
-    return (
-        payload.explode_rows(responses, rows)
-        .select(
-            "symbol",
-            exchange.alias("exchange"),
-            text.first_filled(*[payload.field(row, name) for name in fields.dates]).alias("date"),
-            *[payload.field(row, getattr(fields, name)).alias(name)
-              for name in ("open", "high", "low", "close", "volume")],
-            *_carried(responses),
-        )
-        .filter(F.col("date").isNotNull())
-    )
-
-
-def _carried(responses: DataFrame) -> list[str]:
-    return [name for name in responses.columns if name not in ("symbol", "exchange", "payload")]
+_VALUES = ("open", "high", "low", "close", "volume")
+
+
+def _price_rows(responses: DataFrame, texts: Column, fields: PriceFields, exchange: Column) -> DataFrame:
+    row = payload.Members(*fields.dates, *[getattr(fields, name) for name in _VALUES])
+    carried = [name for name in responses.columns if name not in ("symbol", "exchange", "payload")]
+    return row.explode(responses, texts).select(
+        "symbol",
+        exchange.alias("exchange"),
+        F.coalesce(*[row.get(name) for name in fields.dates]).alias("date"),
+        *[row.get(getattr(fields, name)).alias(name) for name in _VALUES],
+        *carried,
+    ).filter(F.col("date").isNotNull())
 
 
 def domestic_price_rows(responses: DataFrame) -> DataFrame:
@@ -57,34 +52,26 @@ def domestic_price_rows(responses: DataFrame) -> DataFrame:
 
     Other columns (a sequence, say) are carried along. Rows without a date are dropped.
     """
-    doc = payload.parse(F.col("payload"))
-    return _price_rows(
-        responses, payload.first_list(doc, "$.output2", "$.output"), DOMESTIC_FIELDS, F.lit(DOMESTIC_EXCHANGE)
-    )
+    texts = payload.first_list(F.col("payload"), "output2", "output")
+    return _price_rows(responses, texts, DOMESTIC_FIELDS, F.lit(DOMESTIC_EXCHANGE))
 
 
 def overseas_price_rows(responses: DataFrame) -> DataFrame:
     """As `domestic_price_rows` for `(symbol, exchange, payload)` of foreign exchanges."""
-    doc = payload.parse(F.col("payload"))
-    return _price_rows(responses, payload.items(doc, "$.output2"), OVERSEAS_FIELDS, F.col("exchange"))
+    return _price_rows(responses, payload.items(F.col("payload"), "output2"), OVERSEAS_FIELDS, F.col("exchange"))
 
 
 def rate_rows(responses: DataFrame) -> DataFrame:
     """`(currency, period, payload)` to `(currency, period, date, rate)` text rows having both values."""
-    row = F.col("_row")
-    doc = payload.parse(F.col("payload"))
+    row = payload.Members(*RATE_DATES, typed=RATE_VALUES)
     carried = [name for name in responses.columns if name not in ("currency", "period", "payload")]
-    return (
-        payload.explode_rows(responses, payload.items(doc, "$.output2"))
-        .select(
-            "currency",
-            "period",
-            text.first_filled(*[payload.field(row, name) for name in RATE_DATES]).alias("date"),
-            text.first_filled(*[payload.nonzero(row, name) for name in RATE_VALUES]).alias("rate"),
-            *carried,
-        )
-        .filter(F.col("date").isNotNull() & F.col("rate").isNotNull())
-    )
+    return row.explode(responses, payload.items(F.col("payload"), "output2")).select(
+        "currency",
+        "period",
+        F.coalesce(*[row.get(name) for name in RATE_DATES]).alias("date"),
+        F.coalesce(*[row.nonzero(name) for name in RATE_VALUES]).alias("rate"),
+        *carried,
+    ).filter(F.col("date").isNotNull() & F.col("rate").isNotNull())
 
 
 def typed_prices(rows: DataFrame) -> DataFrame:
