@@ -42,22 +42,24 @@ def upsert(target: DataFrame, incoming: DataFrame, keys: tuple[str, ...], order:
     ones. The result has the columns of `target`.
     """
     values = [name for name in target.columns if name not in (*keys, touched, created)]
-    stamps = [name for name in (touched, created) if name]
     types = {name: target.schema[name].dataType for name in (*keys, *values)}
     given = {name: F.col(name) for name in incoming.columns}
     typed = incoming.select(*[
         given.get(name, F.lit(None)).cast(types[name]).alias(name) if name in types else given[name]
         for name in dict.fromkeys([*keys, *values, *order])
     ])
-    newest = one_per_key(typed, keys, order)
-    written = newest.select(*keys, F.struct(*values).alias("_row"), *[now.alias(name) for name in stamps],
-                            F.lit(1).alias("_new"))
-    kept = target.select(*keys, F.struct(*values).alias("_row"), *stamps, F.lit(0).alias("_new"))
-    columns = [F.max_by("_row", "_new").alias("_row"), F.max_by(touched, "_new").alias(touched)]
+    # The aggregate leaves the input partitioned by the keys, so the join moves the target alone.
+    newest = one_per_key(typed, keys, order).select(*keys, F.struct(*values).alias("_written"))
+    stamps = [name for name in (touched, created) if name]
+    kept = target.select(*keys, F.struct(*values).alias("_kept"), *stamps)
+    written = F.col("_written").isNotNull()
+    stamped = {touched: F.when(written, now).otherwise(F.col(touched))}
     if created:
-        columns.append(F.min_by(created, "_new").alias(created))
-    merged = kept.unionByName(written).groupBy(*keys).agg(*columns)
-    return merged.select(*keys, "_row.*", *stamps).select(*target.columns)
+        stamped[created] = F.when(F.col("_kept").isNull(), now).otherwise(F.col(created))
+    merged = kept.join(newest, list(keys), "full_outer").withColumns(stamped)
+    return merged.select(*keys, F.coalesce("_written", "_kept").alias("_row"), *stamps).select(
+        *keys, "_row.*", *stamps
+    ).select(*target.columns)
 
 
 def insert_prices(target: DataFrame, incoming: DataFrame, now: Column, order: list[str]) -> DataFrame:

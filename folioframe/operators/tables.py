@@ -52,6 +52,25 @@ def append(df: DataFrame, root: str, name: str) -> int:
     return seen.get["rows"]
 
 
+def touched(spark: SparkSession, root: str, name: str, incoming: DataFrame) -> DataFrame:
+    """The part of a stored table that `incoming` can meet: the months it has rows in.
+
+    Those months are a handful of values, at most twelve a year, so they are fetched and become a plain filter
+    that is sure to prune files.
+    """
+    target = read_table(spark, root, name)
+    if name not in TIME_COLUMN:
+        return target
+    months = [row[0] for row in incoming.select(month_of(TIME_COLUMN[name])).distinct().collect()]
+    return target.filter(F.col(MONTH).isin(months)).drop(MONTH)
+
+
+def insert(spark: SparkSession, root: str, name: str, incoming: DataFrame,
+           absent: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
+    """Append the rows that `absent(target, incoming)` finds missing, and return how many."""
+    return append(absent(touched(spark, root, name, incoming), incoming), root, name)
+
+
 def rewrite(spark: SparkSession, root: str, name: str, incoming: DataFrame,
             merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
     """Apply `merge(target, incoming)` to a stored table, touching only the months that `incoming` has.
@@ -59,15 +78,11 @@ def rewrite(spark: SparkSession, root: str, name: str, incoming: DataFrame,
     The merged months go to the shared folder first and replace the old ones in a second step, so the table
     is never read and overwritten by the same job. Tables that are not split by month are merged whole.
     """
-    target = read_table(spark, root, name)
-    monthly = name in TIME_COLUMN
-    if monthly:
-        # Spark prunes the scan of `target` to these months at run time.
-        months = incoming.select(month_of(TIME_COLUMN[name])).distinct()
-        target = target.join(months, MONTH, "left_semi").drop(MONTH)
-    merged = materialize(conform(merge(target, incoming), TABLES[name]), f"{name}-merged")
+    merged = materialize(
+        conform(merge(touched(spark, root, name, incoming), incoming), TABLES[name]), f"{name}-merged"
+    )
     writer = _laid_out(merged, name).write.mode("overwrite")
-    if monthly:
+    if name in TIME_COLUMN:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(MONTH)
     writer.parquet(f"{root}/{name}")
 

@@ -298,3 +298,17 @@ def _(t):
     tables.rewrite(t.spark, root, "domestic_orders", order_sightings(t),
                    lambda target, new: merge.upsert_orders(target, new, now()))
     return tables.read_table(t.spark, root, "domestic_orders").select(*_SHOWN[:-2])
+
+
+@query("stored_price_insert", "B1 D8", ctes(PRICES, _QUOTES) + f"""
+SELECT count(*) AS rows, CAST(count(*) FILTER (date >= DATE '{_MIDDLE}') AS BIGINT) AS inserted
+FROM (SELECT symbol, exchange, date FROM stored UNION SELECT symbol, exchange, date FROM quotes) AS p
+WHERE NOT (date < DATE '{_MIDDLE}' AND (symbol, exchange, date) NOT IN (SELECT (symbol, exchange, date) FROM stored))""")
+def _(t):
+    """Insert if absent against a stored table, twice; the second run finds nothing new."""
+    root = scratch_path(t.spark, "tables")
+    tables.append(stored_prices(t), root, "price_history")
+    for _run in range(2):
+        tables.insert(t.spark, root, "price_history", quotes(t), lambda target, new: merge.insert_prices(target, new, now(), ["seq"]))
+    stored = tables.read_table(t.spark, root, "price_history")
+    return stored.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("created_at") == now()).alias("inserted"))
