@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -46,11 +47,8 @@ _OUTCOMES = (
 
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:
-    """Whether upper-cased `text` holds one of the words."""
-    found = F.lit(False)
-    for word in dict.fromkeys(word.upper() for word in words):
-        found = found | F.contains(text, F.lit(word))
-    return found
+    """Whether upper-cased `text` holds one of the words: one pass over the text for the whole list."""
+    return F.rlike(text, F.lit("|".join(re.escape(word) for word in dict.fromkeys(w.upper() for w in words))))
 
 
 def _outcome_array() -> Column:
@@ -64,16 +62,18 @@ def _rule_number(name: Column, group: Column, words: Keywords) -> Column:
     upper = F.upper(name)
     overseas = contains_any(upper, words.overseas)
     domestic = contains_any(upper, words.domestic)
-    reit = group.isin("R", "RT")
+
+    def by_hints(abroad: int, home: int, unclear: int) -> Column:
+        # Nested so that each word list is searched once at most.
+        return F.when(overseas, F.when(domestic, unclear).otherwise(abroad)).otherwise(
+            F.when(domestic, home).otherwise(unclear)
+        )
+
     fund = group.isin("E", "EF") | contains_any(upper, words.etf_brands + words.reit)
     return (
         F.when(group == "FE", 1)
-        .when(reit & overseas & ~domestic, 2)
-        .when(reit & domestic & ~overseas, 3)
-        .when(reit, 4)
-        .when(fund & overseas & ~domestic, 5)
-        .when(fund & domestic & ~overseas, 6)
-        .when(fund, 7)
+        .when(group.isin("R", "RT"), by_hints(2, 3, 4))
+        .when(fund, by_hints(5, 6, 7))
         .otherwise(8)
     )
 

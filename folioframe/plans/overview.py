@@ -52,11 +52,15 @@ def _zero(name: str) -> Column:
 
 
 def _overseas_measures(valued: DataFrame, cash: DataFrame, by: list[str]) -> DataFrame:
-    """Holdings and deposits stacked, ready to be summed per overview."""
-    return valued.select(
-        *by, F.col("account_label").alias("overseas_account_label"), F.col("value_krw").alias("stock_krw"),
-        F.lit(1).alias("overseas_holding"),
-    ).unionByName(
+    """Holdings and deposits stacked, ready to be folded per overview.
+
+    Holdings are summed by account before that: numbers alone hash, where folding the label text with them
+    would sort every holding.
+    """
+    sums = valued.groupBy(*by, F.col("account_label").alias("overseas_account_label")).agg(
+        F.sum("value_krw").alias("stock_krw"), F.count(F.lit(1)).alias("overseas_holding")
+    )
+    return sums.unionByName(
         cash.select(
             *by, F.col("account_label").alias("overseas_account_label"),
             F.col("total_asset_amt_krw").alias("reported_krw"), F.col("cash_from_fields_amt_krw").alias("cash_krw"),

@@ -50,7 +50,7 @@ def test_rates_are_keyed_by_period_and_upper_currency(spark):
 
 def observation(number, filled, pending, seen, product="01", kind="brokerage"):
     day = dt.date(2026, 4, 23)
-    return ("12345678", product, kind, day, "", number, "005930", filled, pending, "kis" if seen == 1 else "batch", dt.datetime(2026, 4, 23, seen), 0)
+    return ("12345678", product, kind, day, "", number, "005930", filled, pending, "fetch" if seen == 1 else "batch", dt.datetime(2026, 4, 23, seen), 0)
 
 
 SEEN = ("account_id STRING, account_product_code STRING, account_type STRING, order_date DATE, order_branch_no STRING, order_no STRING, "
