@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioframe.schemas import TABLES, TIME_COLUMN
-from folioframe.session import materialize
+from folioframe.session import drop_scratch, materialize, scratch_path
 
 MONTH = "month"
 
@@ -26,12 +27,22 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     ])
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A stored table with its full schema; columns that older files lack read as NULL."""
+def read_table(spark: SparkSession, root: str, name: str, since: dt.date | None = None,
+               until: dt.date | None = None) -> DataFrame:
+    """A stored table with its full schema; columns that older files lack read as NULL.
+
+    `since` and `until` leave out the files of earlier and later months; the days themselves are up to the
+    caller's own filter.
+    """
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in TABLES[name].fields])
-    if name in TIME_COLUMN:
-        schema = schema.add(MONTH, T.StringType())
-    return spark.read.schema(schema).parquet(f"{root}/{name}")
+    if name not in TIME_COLUMN:
+        return spark.read.schema(schema).parquet(f"{root}/{name}")
+    rows = spark.read.schema(schema.add(MONTH, T.StringType())).parquet(f"{root}/{name}")
+    if since is not None:
+        rows = rows.filter(F.col(MONTH) >= f"{since:%Y-%m}")
+    if until is not None:
+        rows = rows.filter(F.col(MONTH) <= f"{until:%Y-%m}")
+    return rows
 
 
 def _laid_out(df: DataFrame, name: str) -> DataFrame:
@@ -78,13 +89,14 @@ def rewrite(spark: SparkSession, root: str, name: str, incoming: DataFrame,
     The merged months go to the shared folder first and replace the old ones in a second step, so the table
     is never read and overwritten by the same job. Tables that are not split by month are merged whole.
     """
-    merged = materialize(
-        conform(merge(touched(spark, root, name, incoming), incoming), TABLES[name]), f"{name}-merged"
-    )
+    stage = scratch_path(spark, f"{name}-merged")
+    merged = materialize(conform(merge(touched(spark, root, name, incoming), incoming), TABLES[name]), stage)
     writer = _laid_out(merged, name).write.mode("overwrite")
     if name in TIME_COLUMN:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(MONTH)
     writer.parquet(f"{root}/{name}")
+    # Kept until here: should the swap fail half-way, the merged months are still at hand.
+    drop_scratch(spark, stage)
 
 
 def create(spark: SparkSession, root: str, name: str) -> None:

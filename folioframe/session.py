@@ -20,6 +20,10 @@ SESSION_CONF = {
 }
 
 
+# Temporary folders of local sessions, by application.
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def build_session(app_name: str = "folioframe", **conf: str) -> SparkSession:
     """A session with the library's settings; `conf` entries (dots as `__`) win."""
     builder = SparkSession.builder.appName(app_name)
@@ -41,9 +45,10 @@ def shared_root(spark: SparkSession) -> str:
     master = spark.conf.get("spark.master", "")
     if not master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="folioframe-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    application = spark.conf.get("spark.app.id")
+    if application not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[application] = tempfile.mkdtemp(prefix="folioframe-")
+    return _LOCAL_ROOTS[application]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -51,9 +56,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write `df` to the shared folder and read it back: reuse without recomputing, and a cut lineage
-    that survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
+def materialize(df: DataFrame, path: str) -> DataFrame:
+    """Write `df` to a scratch path and read it back: reuse without recomputing, and a cut lineage that
+    survives lost executors."""
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path that is no longer needed; anything outside the shared folder is refused."""
+    if not path.startswith(shared_root(spark) + "/"):
+        raise ValueError(f"{path} is not under the shared folder")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

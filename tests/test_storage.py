@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from folioframe import session
 from folioframe.operators import export, merge, reads, tables
 from folioframe.plans import orders
 from folioframe.schemas import DOMESTIC_ORDERS, INSTRUMENT_MASTER, ORDER_HISTORY, PRICE_HISTORY, TABLES
@@ -108,6 +109,30 @@ def test_rewrite_touches_only_the_months_it_must(spark, tmp_path):
     assert out == {"2024-01-01": 9.0, "2024-01-05": 5.0, "2024-02-01": 2.0}
 
 
+def test_reads_skip_the_files_of_other_months(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    rows = [("A", "KRX", dt.date(2024, month, 1), 1.0, 1.0, 1.0, 1.0, 1, 1) for month in (1, 2, 3)]
+    tables.append(spark.createDataFrame(rows, PRICE_IN), root, "price_history")
+    some = tables.read_table(spark, root, "price_history", dt.date(2024, 2, 10), dt.date(2024, 2, 20))
+    assert [str(r.date) for r in some.collect()] == ["2024-02-01"]
+    assert "month" in some._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("PushedFilters")[0]
+
+
+def test_insert_appends_what_is_missing(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    tables.create(spark, root, "price_history")
+    def put(*rows):
+        return tables.insert(spark, root, "price_history", spark.createDataFrame(rows, PRICE_IN),
+                             lambda target, new: merge.insert_prices(target, new, now(), ["seq"]))
+    assert put(quote(1, 1.0, 1), quote(1, 2.0, 2), quote(2, 3.0, 3)) == 2
+    assert put(quote(1, 9.0, 1), quote(3, 4.0, 2)) == 1
+
+
+def test_scratch_is_only_cleared_inside_the_shared_folder(spark, tmp_path):
+    with pytest.raises(ValueError):
+        session.drop_scratch(spark, str(tmp_path))
+
+
 def test_export_refuses_an_existing_folder(spark, tmp_path):
     out = str(tmp_path / "run")
     manifest = export.export(spark, {"a": spark.range(3), "b": spark.range(0)}, out)
