@@ -58,7 +58,7 @@ def _(t):
 
 def _windowed(t, every):
     keys = ["account_id", "account_type"]
-    stream = _snapshots(t).withColumn("snapshot_at", F.col("snapshot_at").cast("timestamp"))
+    stream = _snapshots(t)
     out, state = scratch_path(t.spark, "windows"), scratch_path(t.spark, "windows-state")
     _wait(jobs.write_updates(jobs.last_per_window(stream, keys, "total_eval_amt", every=every), out, state))
     return jobs.read_updates(t.spark, out, [*keys, "window_start"])

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -52,14 +52,26 @@ def upsert_stream(stream: DataFrame, root: str, table: str, merge: Callable[[Dat
     )
 
 
+def _instant(utc: Column) -> Column:
+    """The instant of a zone-less UTC time: watermarks need one."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), utc).cast("timestamp")
+
+
+def _utc(instant: Column) -> Column:
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+
+
 def last_per_window(stream: DataFrame, keys: list[str], value: str, time: str = "snapshot_at",
-                    every: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Latest value of each key and window. State holds one row per open key and window, not its snapshots."""
+                    every: str = "1 day", late: str = "1 hour", start: str | None = None) -> DataFrame:
+    """Latest value of each key and window. State holds one row per open key and window, not its snapshots.
+
+    `time` is zone-less UTC and so are the windows; `start` shifts them (`15 hours` makes days of Seoul).
+    """
     return (
-        stream.filter(F.col(value).isNotNull()).withWatermark(time, late)
-        .groupBy(*keys, F.window(time, every))
-        .agg(F.max(time).alias(time), F.max_by(value, time).alias(value))
-        .select(*keys, F.col("window.start").alias("window_start"), time, value)
+        stream.filter(F.col(value).isNotNull()).withColumn("_at", _instant(F.col(time))).withWatermark("_at", late)
+        .groupBy(*keys, F.window("_at", every, startTime=start))
+        .agg(F.max("_at").alias("_at"), F.max_by(value, "_at").alias(value))
+        .select(*keys, _utc(F.col("window.start")).alias("window_start"), _utc(F.col("_at")).alias(time), value)
     )
 
 

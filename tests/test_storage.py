@@ -213,7 +213,7 @@ def test_fallback_date_and_bad_date(spark):
 
 def test_streams_resume_and_keep_the_newest(spark, tmp_path):
     source, state, out = str(tmp_path / "in"), str(tmp_path / "state"), str(tmp_path / "out")
-    schema = "account_id STRING, snapshot_at TIMESTAMP, total_eval_amt LONG"
+    schema = "account_id STRING, snapshot_at TIMESTAMP_NTZ, total_eval_amt LONG"
     def put(*rows):
         spark.createDataFrame([(a, dt.datetime(2024, 1, d, h), v) for a, d, h, v in rows], schema).coalesce(1).write.mode("append").parquet(source)
     def run():
