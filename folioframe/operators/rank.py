@@ -29,10 +29,10 @@ def largest_first(df: DataFrame, score: Column, limit: int, *ties: str) -> DataF
 
 
 def top_with_other(rows: DataFrame, keys: list[str], value: str, label: str, n: int, other: str,
-                   ties: list[str]) -> DataFrame:
+                   ties: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
     """The `n` largest values of each key and one row for the rest, if there is any.
 
-    Gives keys, `place` (1..n+1), `label` and `value`. The rest is the key's total less its top, so no key is
+    Gives keys, `place` (1..n+1), `label`, `value` and the `extra` columns, which the rest has none of. The rest is the key's total less its top, so no key is
     ever ranked whole: the top is cut per task, the totals are partial sums. NULL values count as 0.
     """
     amount = F.coalesce(F.col(value), F.lit(0))
@@ -41,9 +41,9 @@ def top_with_other(rows: DataFrame, keys: list[str], value: str, label: str, n:
     totals = rows.groupBy(*keys).agg(F.sum(amount).alias("_all"), F.count(F.lit(1)).alias("_rows"))
     sums = top.groupBy(*keys).agg(F.sum(amount).alias("_top"))
     rest = totals.filter(F.col("_rows") > n).join(sums, keys)
-    listed = top.select(*keys, "place", F.col(label).alias("label"), F.col(value).alias("value"))
+    listed = top.select(*keys, "place", F.col(label).alias("label"), F.col(value).alias("value"), *extra)
     remainder = rest.select(
         *keys, F.lit(n + 1).alias("place"), F.lit(other).alias("label"),
         (F.col("_all") - F.col("_top")).alias("value"),
     )
-    return listed.unionByName(remainder)
+    return listed.unionByName(remainder, allowMissingColumns=True)

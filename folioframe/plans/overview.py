@@ -44,6 +44,7 @@ class Overview(NamedTuple):
     holdings: DataFrame
     accounts: DataFrame
     charts: DataFrame
+    top: DataFrame
     warnings: DataFrame
 
 
@@ -106,15 +107,21 @@ def overseas_valuation(holdings: DataFrame, cash: DataFrame, rates: DataFrame, b
 
 
 def _top_holdings(valued: DataFrame, totals: DataFrame, by: list[str], top_n: int) -> DataFrame:
+    """Largest holdings with their shares of the overseas stock, the overseas total and, where `totals` has
+    it, the total of all assets."""
     label = F.coalesce("symbol", "name", F.lit("unknown"))
-    top = rank.top_with_other(
-        valued.withColumn("label", label), by, "value_krw", "label", limits.top_n(top_n), H.OTHER_OVERSEAS, ["label"]
-    )
-    amounts = totals.select(*by, "overseas_stock_eval_amt_krw", "overseas_total_asset_amt_krw")
-    return top.join(amounts, by).select(
-        *by, "place", "label", F.col("value").alias("value_krw"),
-        numbers.pct(F.col("value"), F.col("overseas_stock_eval_amt_krw")).alias("pct_of_overseas_stock"),
-        numbers.pct(F.col("value"), F.col("overseas_total_asset_amt_krw")).alias("pct_of_overseas_total"),
+    rows = valued.withColumns({"label": label, "value_foreign": F.round("value_foreign", 2)})
+    top = rank.top_with_other(rows, by, "value_krw", "label", limits.top_n(top_n), H.OTHER_OVERSEAS, ["label"],
+                              ("value_foreign", "currency"))
+    shares = {
+        "pct_of_overseas_stock": "overseas_stock_eval_amt_krw",
+        "pct_of_overseas_total": "overseas_total_asset_amt_krw",
+        "pct_of_total": "total_eval_amt_krw",
+    }
+    known = {name: whole for name, whole in shares.items() if whole in totals.columns}
+    return top.join(totals.select(*by, *known.values()), by).select(
+        *by, "place", "label", F.col("value").alias("value_krw"), "value_foreign", "currency",
+        *[numbers.pct(F.col("value"), F.col(whole)).alias(name) for name, whole in known.items()],
     )
 
 
@@ -201,7 +208,7 @@ def charts(summary: DataFrame, by: list[str]) -> DataFrame:
 
 def total_asset_overview(values: DataFrame, domestic: DataFrame, overseas: DataFrame, cash: DataFrame,
                          rates: DataFrame, master: DataFrame, overrides: DataFrame, by: list[str],
-                         words: Keywords = Keywords()) -> Overview:
+                         top_n: int = 10, words: Keywords = Keywords()) -> Overview:
     """Domestic accounts and overseas account together.
 
     `values` is `holdings.account_values`; `domestic` the exploded holdings of the same snapshots with
@@ -219,7 +226,8 @@ def total_asset_overview(values: DataFrame, domestic: DataFrame, overseas: DataF
         .unionByName(H.overseas_cash_rows(summary, by))
     )
     return Overview(
-        summary, rows, account_split(positions, summary, by), charts(summary, by), H.warnings(classified, by)
+        summary, rows, account_split(positions, summary, by), charts(summary, by),
+        _top_holdings(valued, summary, by, top_n), H.warnings(classified, by),
     )
 
 

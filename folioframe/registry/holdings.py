@@ -157,15 +157,24 @@ def _(t):
     return overview.overseas_valuation(overseas(t), cash(t), rates(t), BY).totals
 
 
-@query("overseas_top_holdings", "H4 G10 J7", ctes(_BASE, _VALUED, _CASH) + """,
-ranked AS (SELECT owner_id, symbol, value_krw, CAST(row_number() OVER (PARTITION BY owner_id ORDER BY coalesce(value_krw, 0) DESC, symbol) AS INTEGER) AS place FROM valued),
-listed AS (SELECT owner_id, place, symbol AS label, value_krw FROM ranked WHERE place <= 3
-           UNION ALL SELECT owner_id, 4, '기타 해외주식', CAST(sum(coalesce(value_krw, 0)) AS BIGINT) FROM ranked WHERE place > 3 GROUP BY owner_id)
-SELECT owner_id, place, label, value_krw, round(CAST(value_krw AS DOUBLE) / nullif(CAST(stock AS DOUBLE), 0) * 100, 2) AS pct_of_overseas_stock,
-       round(CAST(value_krw AS DOUBLE) / nullif(CAST(total AS DOUBLE), 0) * 100, 2) AS pct_of_overseas_total
+_TOP = """
+ranked AS (SELECT owner_id, symbol, value_krw, round(value_foreign, 2) AS value_foreign, currency,
+                  CAST(row_number() OVER (PARTITION BY owner_id ORDER BY coalesce(value_krw, 0) DESC, symbol) AS INTEGER) AS place FROM valued),
+listed AS (SELECT owner_id, place, symbol AS label, value_krw, value_foreign, currency FROM ranked WHERE place <= 3
+           UNION ALL SELECT owner_id, 4, '기타 해외주식', CAST(sum(coalesce(value_krw, 0)) AS BIGINT), NULL, NULL FROM ranked WHERE place > 3 GROUP BY owner_id)"""
+_SHARE = "round(CAST(value_krw AS DOUBLE) / nullif(CAST({0} AS DOUBLE), 0) * 100, 2) AS {1}"
+
+
+def _without_ties(df):
+    """Amounts only: of holdings of one symbol with equal value in KRW, either may be listed."""
+    return df.drop("value_foreign", "currency")
+
+
+@query("overseas_top_holdings", "H4 G10 J7", ctes(_BASE, _VALUED, _CASH, _TOP) + f"""
+SELECT owner_id, place, label, value_krw, {_SHARE.format('stock', 'pct_of_overseas_stock')}, {_SHARE.format('total', 'pct_of_overseas_total')}
 FROM listed JOIN parts USING (owner_id)""")
 def _(t):
-    return overview.overseas_valuation(overseas(t), cash(t), rates(t), BY, top_n=3).top
+    return _without_ties(overview.overseas_valuation(overseas(t), cash(t), rates(t), BY, top_n=3).top)
 
 
 @query("top_parts_with_other", "H4", f"""
@@ -214,9 +223,9 @@ def _(t):
     return H.residual_cash_rows(positions, BY).select("owner_id", "account_label", "value_krw", "name", "exposure_type")
 
 
-def full(t):
+def full(t, top_n=10):
     return overview.total_asset_overview(
-        values(t), domestic(t), overseas(t), cash(t), rates(t), t.master(), t.overrides(), BY)
+        values(t), domestic(t), overseas(t), cash(t), rates(t), t.master(), t.overrides(), BY, top_n)
 
 
 _PCT = "round(CAST({0} AS DOUBLE) / nullif(CAST({1} AS DOUBLE), 0) * 100, 2)"
@@ -291,6 +300,14 @@ def _(t):
     return full(t).charts
 
 
+@query("overview_top_holdings", "H4 G11", ctes(_BASE, MASTER, OVERRIDES, _CLASSED, _ACCOUNTS, _VALUED, _CASH, _SUMMARY, _TOP) + f"""
+SELECT owner_id, place, label, value_krw, {_SHARE.format('overseas_stock_eval_amt_krw', 'pct_of_overseas_stock')},
+       {_SHARE.format('overseas_total_asset_amt_krw', 'pct_of_overseas_total')}, {_SHARE.format('total_eval_amt_krw', 'pct_of_total')}
+FROM listed JOIN summary USING (owner_id)""")
+def _(t):
+    return _without_ties(full(t, 3).top)
+
+
 @query("overview_inconsistencies", "G15", _OVERVIEW + """
 SELECT owner_id, total_eval_amt_krw, overseas_total_asset_amt_krw, overseas_stock_eval_amt_krw, overseas_cash_amt_krw FROM summary
 WHERE overseas_total_asset_amt_krw <> overseas_stock_eval_amt_krw + overseas_cash_amt_krw""")
