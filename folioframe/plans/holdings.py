@@ -101,11 +101,10 @@ def account_positions(values: DataFrame, classified: DataFrame, by: list[str]) -
     large account could skew.
     """
     keys = [*by, "account_label"]
-    stacked = values.select(*keys, "display_name", F.col("value_krw").alias("account_krw")).unionByName(
+    stacked = values.select(*keys, F.col("value_krw").alias("account_krw")).unionByName(
         classified.select(*keys, "value_krw", "exposure_type"), allowMissingColumns=True
     )
     return stacked.groupBy(*keys).agg(
-        F.max("display_name").alias("display_name"),
         F.coalesce(F.sum("account_krw"), F.lit(0)).alias("account_krw"),
         F.coalesce(F.sum("value_krw"), F.lit(0)).alias("holdings_krw"),
         F.count("account_krw").alias("accounts"),

@@ -33,7 +33,8 @@ def collect(responses: DataFrame, calendar: DataFrame, close_grace_minutes: int
 
     `responses` holds id, account_id, account_product_code, account_type, market, trade_date, now (UTC,
     without zone) and payload. Responses the gate holds back are reported as skipped. One that is not a JSON
-    object is reported as an error; the others are stored whatever happens to it.
+    object is reported as an error; the others are stored whatever happens to it. The four results are lazy
+    and share their input: `responses` should be a stored table, as a landing folder is.
     """
     gated = collection_gate(responses, calendar, close_grace_minutes)
     readable = payload.members(F.col("payload")).isNotNull()

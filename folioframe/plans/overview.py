@@ -165,11 +165,16 @@ def summarize(positions: DataFrame, valued: DataFrame, cash: DataFrame, by: list
     )
 
 
-def account_split(positions: DataFrame, summary: DataFrame, by: list[str]) -> DataFrame:
-    """Value and share per domestic account, and one row for the overseas account."""
+def account_split(positions: DataFrame, values: DataFrame, summary: DataFrame, by: list[str]) -> DataFrame:
+    """Value and share per domestic account, and one row for the overseas account.
+
+    Positions and names come out of aggregates on the same keys, so they meet without another shuffle.
+    """
     total = F.col("total_eval_amt_krw")
-    shares = positions.filter(F.col("accounts") > 0).join(summary.select(*by, "total_eval_amt_krw"), by).select(
-        *by, "account_label", F.col("display_name").alias("label"), F.col("account_krw").alias("value_krw"),
+    keys = [*by, "account_label"]
+    names = values.groupBy(*keys).agg(F.max("display_name").alias("label"))
+    shares = positions.join(names, keys).join(summary.select(*by, "total_eval_amt_krw"), by).select(
+        *by, "account_label", "label", F.col("account_krw").alias("value_krw"),
         numbers.pct(F.col("account_krw"), total).alias("pct"),
     )
     overseas = F.col("overseas_total_asset_amt_krw")
@@ -226,7 +231,7 @@ def total_asset_overview(values: DataFrame, domestic: DataFrame, overseas: DataF
         .unionByName(H.overseas_cash_rows(summary, by))
     )
     return Overview(
-        summary, rows, account_split(positions, summary, by), charts(summary, by),
+        summary, rows, account_split(positions, values, summary, by), charts(summary, by),
         _top_holdings(valued, summary, by, top_n), H.warnings(classified, by),
     )
 
