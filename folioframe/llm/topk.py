@@ -25,12 +25,19 @@ RING = 4096
 # Doubles hold whole numbers up to here exactly.
 EXACT = float(1 << 53)
 SLACK = 1e-6
-RINGS = """block bigint, dimension int, pivot int, low double, high double, norm double, ids binary, vectors binary,
-           q_ids binary, q_vectors binary, q_floor binary, q_count int, q_norm double, q_least double,
+RINGS = """block bigint, dimension int, pivot int, low double, high double, norm double, kind string, ids binary,
+           vectors binary, q_ids binary, q_vectors binary, q_floor binary, q_count int, q_norm double, q_least double,
            reach array<struct<pivot: int, low: double, high: double>>"""
 ANSWER = "query_id bigint, vec_id bigint, score bigint"
 
 
+def packed(x: np.ndarray) -> tuple[str, np.ndarray]:
+    """Whole numbers in the narrowest type that holds them."""
+    most = np.abs(x).max(initial=0.0)
+    kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<f8"
+    return kind, x.astype(kind)
+
+
 def quantise(rows: list) -> np.ndarray:
     return np.floor(256.0 * np.asarray(rows, np.float64))
 
@@ -127,8 +134,9 @@ def build_rings(vectors: DataFrame, pivots: dict[int, np.ndarray], k: int, every
         to_pivots = distances(q, near) if len(q) and len(near) else np.zeros((len(q), max(len(near), 1)))
         reach = [{"pivot": j, "low": float(to_pivots[:, j].min()), "high": float(to_pivots[:, j].max())}
                  for j in range(to_pivots.shape[1])] if len(q) else []
-        return (block, dimension, pivot, float(apart.min()), float(apart.max()), float(norms.max()), ids.tobytes(),
-                x.tobytes(), q_ids.tobytes(), q.tobytes(), floor.tobytes(), len(q_ids),
+        kind, small = packed(x)
+        return (block, dimension, pivot, float(apart.min()), float(apart.max()), float(norms.max()), kind,
+                ids.tobytes(), small.tobytes(), q_ids.tobytes(), small[asks].tobytes(), floor.tobytes(), len(q_ids),
                 float(norms[asks].max()) if len(q) else 0.0, float(floor.min()) if len(q) else 0.0, reach)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,19 +194,21 @@ def search(embeddings: DataFrame, k: int = K, every: int = EVERY, pivots: int =
     pairs = asking.join(known, ["dimension", "pivot"]).filter(
         (F.pow("q_norm", F.lit(2)) + F.pow("norm", F.lit(2)) - F.pow(gap, F.lit(2))) / 2 * (1 + SLACK) + 1
         >= F.col("q_least")).select("q_block", "block")
-    questions = rings.filter("q_count > 0").select(F.col("block").alias("q_block"), "q_ids", "q_vectors", "q_floor")
-    holds = rings.select("block", "dimension", "pivot", "low", "high", "norm", "ids", "vectors")
+    questions = rings.filter("q_count > 0").select(F.col("block").alias("q_block"), F.col("kind").alias("q_kind"), "q_ids", "q_vectors", "q_floor")
+    holds = rings.select("block", "dimension", "pivot", "low", "high", "norm", "kind", "ids", "vectors")
     met = pairs.join(questions, "q_block").join(holds, "block").select(
-        "dimension", "pivot", "low", "high", "norm", "q_ids", "q_vectors", "q_floor", "ids", "vectors")
+        "dimension", "pivot", "low", "high", "norm", "q_kind", "q_ids", "q_vectors", "q_floor", "kind", "ids", "vectors")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                # One pair of blocks at a time, whatever the batch holds.
+                row = {name: batch.column(name)[at].as_py() for name in batch.schema.names}
                 size = row["dimension"]
                 ids = np.frombuffer(row["ids"], np.int64)
-                x = np.frombuffer(row["vectors"]).reshape(len(ids), size)
+                x = np.frombuffer(row["vectors"], row["kind"]).reshape(len(ids), size).astype(float)
                 q_ids = np.frombuffer(row["q_ids"], np.int64)
-                q = np.frombuffer(row["q_vectors"]).reshape(len(q_ids), size)
+                q = np.frombuffer(row["q_vectors"], row["q_kind"]).reshape(len(q_ids), size).astype(float)
                 floor = np.frombuffer(row["q_floor"])
                 if size in places and size:
                     apart = distances(q, places[size][row["pivot"]:row["pivot"] + 1])[:, 0]
