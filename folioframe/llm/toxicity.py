@@ -1,11 +1,17 @@
-"""Toxicity scores: gradient-boosted trees over dense features of the text, calibrated by isotonic regression."""
+"""Toxicity scores: gradient-boosted trees over dense features of the text, calibrated by isotonic regression.
+
+The lexicon whose densities are features is a fixed list of abusive words and the terms that labelled texts teach:
+words and beginnings of words that occur in toxic texts and hardly elsewhere.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,19 +21,19 @@ from folioframe.llm.common import map_texts, remainder, stored, unit_hash
 from folioframe.llm.quality import labels_by_document, score_rows
 
 FEATURES = (
-    "log_words", "lexicon_density", "log_lexicon_hits", "distinct_terms", "densest_window", "second_person",
+    "log_words", "learned_density", "log_learned_hits", "distinct_learned", "lexicon_density", "log_lexicon_hits", "distinct_terms", "densest_window", "second_person",
     "near_second_person", "upper", "capital_words", "exclamations", "questions", "repeated_marks", "symbols",
     "digits", "masked_words", "masked_hits", "word_length",
 )
 # Abusive words in the languages of the corpora, and words that address the reader.
 LEXICON = frozenset("""
-    arse ass asshole bastard bitch bollocks bullshit clown coward creep crap cretin cunt damn degenerate dick dimwit
+    arse asshole bastard bitch bollocks bullshit clown coward creep cretin cunt damn degenerate dick dimwit
     dipshit disgusting douche dumb dumbass dumb fag fatass filth filthy fool freak fuck fucker fucking garbage halfwit
-    hate hateful hideous idiot idiotic idiots imbecile jackass jerk kill liar lame loser losers lowlife lunatic maggot
-    moron moronic morons nasty nitwit pathetic pig piss prick psycho puke punk rat repulsive retard retarded rotten
-    rubbish savage scum scumbag shit shitty shut sick sissy slut skank stupid sucker sucks swine thug traitor trash
+    hateful hideous idiot idiotic idiots imbecile jackass jerk loser losers lowlife lunatic maggot
+    moron moronic morons nasty nitwit pathetic prick psycho puke punk repulsive retard retarded rotten
+    rubbish savage scum scumbag shit shitty sissy slut skank stupid sucker sucks swine thug traitor trash
     twat twit ugly useless vermin vile wanker weakling weirdo whore worthless wretch wretched
-    abruti batard connard connasse con debile merde putain salaud salope
+    abruti batard connard connasse debile merde putain salaud salope
     arschloch bloed depp dumm dummkopf fotze hure idioten mistkerl schlampe schwein trottel wichser
     cabron estupido gilipollas idiota imbecil mierda pendejo puta puto zorra
 """.split())
@@ -42,6 +48,7 @@ REPEATED_MARKS = re.compile(r"[!?.]{2,}")
 STRETCHED = re.compile(r"(.)\1{2,}")
 FIELDS = [T.StructField("features", T.ArrayType(T.DoubleType()))]
 WINDOW, NEAR = 20, 5
+STEMS = (4, 5, 6)
 
 
 def plain(word: str) -> str:
@@ -56,14 +63,38 @@ def is_masked_hit(word: str, lexicon: frozenset) -> bool:
     return plain(word) in lexicon
 
 
-def features(text: str, lexicon: frozenset = LEXICON) -> list[float]:
+@dataclass(frozen=True)
+class Terms:
+    """Learned terms: whole words, and beginnings of words of the lengths in STEMS."""
+
+    words: frozenset = frozenset()
+    stems: frozenset = frozenset()
+
+    def openings(self) -> frozenset:
+        """The first letters of all terms, which most words miss at once."""
+        return frozenset(t[:STEMS[0]] for t in self.words | self.stems)
+
+    def has(self, word: str) -> bool:
+        return word in self.words or any(len(word) > n and word[:n] in self.stems for n in STEMS)
+
+
+def candidate_terms(text: str) -> set[str]:
+    """Distinct words of a text, and their beginnings marked by a trailing `-`."""
+    words = {w.strip(EDGES) for w in text.lower().split()}
+    return {w for w in words if len(w) >= 3} | {f"{w[:n]}-" for n in STEMS for w in words if len(w) > n}
+
+
+def features(text: str, lexicon: frozenset = LEXICON, terms: Terms = Terms(),
+             openings: frozenset = frozenset()) -> list[float]:
     """The numbers of FEATURES for one text; an empty text gives zeros."""
     words = text.split()
     n, chars = len(words), len(text)
     if not n:
         return [0.0] * len(FEATURES)
     lower = [w.strip(EDGES) for w in text.lower().split()]
-    hits = [i for i, w in enumerate(lower) if w in lexicon]
+    learned = [i for i, w in enumerate(lower) if w[:STEMS[0]] in openings and terms.has(w)]
+    in_lexicon = [i for i, w in enumerate(lower) if w in lexicon]
+    hits = sorted({*learned, *in_lexicon})
     masked = [m.group(0).lower().strip(".,!?") for m in MASKED.finditer(text)]
     masked_hits = sum(w not in lexicon and is_masked_hit(w, lexicon) for w in masked)
     second = [i for i, w in enumerate(lower) if w in SECOND_PERSON]
@@ -79,7 +110,9 @@ def features(text: str, lexicon: frozenset = LEXICON) -> list[float]:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     low = np.bincount(np.minimum(codes, 255), minlength=256)
     return [
-        float(np.log1p(n)), 100.0 * len(hits) / n, float(np.log1p(len(hits))), float(len({lower[i] for i in hits})),
+        float(np.log1p(n)), 100.0 * len(learned) / n, float(np.log1p(len(learned))),
+        float(len({lower[i] for i in learned})), 100.0 * len(in_lexicon) / n, float(np.log1p(len(in_lexicon))),
+        float(len({lower[i] for i in in_lexicon})),
         float(densest), 100.0 * len(second) / n, 100.0 * near / n, low[65:91].sum() / chars,
         sum(map(str.isupper, words)) / n, 100.0 * low[33] / chars, 100.0 * low[63] / chars,
         100.0 * sum(1 for _ in REPEATED_MARKS.finditer(text)) / n,
@@ -158,6 +191,41 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate:
     return model
 
 
+def learn_terms(documents: DataFrame, targets: DataFrame, rows: int = 20_000, least: int = 5, purity: float = 0.9,
+                most: int = 5000) -> Terms:
+    """Terms in at least `least` toxic texts, of which at least `purity` of the texts that hold them are toxic.
+
+    Learned from about `rows` labelled texts at most, chosen by a hash of the id, and those alone are joined with
+    their labels. Tasks count their own texts first; at most the `most` commonest terms reach the driver. A stem whose
+    beginning is a term already adds nothing and is left out.
+    """
+    rate = rows / max(targets.count(), 1)
+    chosen = documents.filter(unit_hash("doc_id", seed="terms") < rate).select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sample = chosen.join(targets.filter(unit_hash("doc_id", seed="terms") < rate), "doc_id").select("text", "target")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[str, list[int]] = {}
+            for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for term in candidate_terms(text):
+                    entry = seen.setdefault(term, [0, 0])
+                    entry[0] += 1
+                    entry[1] += target >= 0.5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(seen), pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()),
+                 pa.array([v[1] for v in seen.values()], pa.int64())], names=["term", "n", "toxic"])
+
+    found = sample.mapInArrow(count, "term string, n bigint, toxic bigint").groupBy("term").agg(
+        F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).filter(
+        (F.col("toxic") >= least) & (F.col("toxic") >= F.col("n") * purity)).orderBy(F.desc("toxic"), "term").limit(
+        most).collect()
+    stems = {r["term"][:-1] for r in found if r["term"].endswith("-") and len(r["term"]) - 1 in STEMS}
+    stems = {s for s in stems if not any(s[:n] in stems for n in STEMS if n < len(s))}
+    words = {r["term"] for r in found if not r["term"].endswith("-")}
+    return Terms(frozenset(w for w in words if not any(w[:n] in stems for n in STEMS if n < len(w))), frozenset(stems))
+
+
 def fit(train: DataFrame, fit_rows: int = 60_000) -> tuple[Trees, Isotonic]:
     """Trees from about `fit_rows` labelled rows at most, chosen by a hash of the id (the bound on what reaches the
     driver: 17 numbers a row); the calibration from every labelled row of another quarter, by score bins."""
@@ -171,20 +239,25 @@ def fit(train: DataFrame, fit_rows: int = 60_000) -> tuple[Trees, Isotonic]:
     return model, fit_binned(raw, "raw", "target", -8.0, 8.0)
 
 
-def score(documents: DataFrame, labels: DataFrame, fit_rows: int = 60_000,
+def score(documents: DataFrame, labels: DataFrame, fit_rows: int = 60_000, term_rows: int = 20_000,
           lexicon: frozenset = LEXICON) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.3) and raw for every row of `documents`.
 
     Learns from labelled rows whose crc32(doc_id) mod 4 is not 2. NULL texts count as empty; an empty text gets the
     score of its features (all zero). A row with a NULL id is scored, not learned from, and not held out. NULL labels
     are left out, repeated ones averaged; a mean label of 0.5 counts as 1. Without labels every score is 0.5.
-    Features are computed once, map-side, and stored; only that table is joined with the labels.
+    Features are computed once, map-side, and stored; only that table is joined with all labels.
     """
-    table = stored(
-        map_texts(documents, ["doc_id"], lambda texts: {"features": [features(t, lexicon) for t in texts]}, FIELDS),
-        "toxicity-features")
-    train = table.filter(remainder("doc_id", 4) != 2).join(
-        labels_by_document(labels, "toxic").withColumn("target", (F.col("target") >= 0.5).cast("double")), "doc_id")
+    targets = labels_by_document(labels, "toxic").filter(remainder("doc_id", 4) != 2).withColumn(
+        "target", (F.col("target") >= 0.5).cast("double"))
+    terms = learn_terms(documents, targets.filter(unit_hash("doc_id", seed="calibrate") >= 0.25), term_rows)
+
+    def work(texts: list[str]) -> dict[str, list]:
+        openings = terms.openings()
+        return {"features": [features(t, lexicon, terms, openings) for t in texts]}
+
+    table = stored(map_texts(documents, ["doc_id"], work, FIELDS), "toxicity-features")
+    train = table.join(targets, "doc_id")
     trees, calibrated = fit(train.select("doc_id", "features", "target"), fit_rows)
     scored = score_rows(table, ["doc_id"], "features",
                         lambda m: {"raw": (r := trees.raw(m)), "score": calibrated(r)}, ["raw", "score"])
