@@ -1,36 +1,40 @@
-"""Bounds on query parameters, applied on the driver before a plan is built."""
+"""Checks of query parameters, made on the driver before a plan is built. Nothing is cut: a bad value raises."""
 
 from __future__ import annotations
 
-MAX_DAYS = 3650
 
-
-def clamp(value: float, low: float, high: float) -> int:
-    return int(max(low, min(int(value), high)))
+def _whole(value: float, low: int, what: str) -> int:
+    if int(value) != value or value < low:
+        raise ValueError(f"{what} must be a whole number of at least {low}, not {value}")
+    return int(value)
 
 
 def lookback(days: int, low: int = 1) -> int:
-    return clamp(days, low, MAX_DAYS)
+    """A number of days or rows, of any size from `low` on."""
+    return _whole(days, low, "a lookback")
 
 
 def band_window(window: int) -> int:
-    return clamp(window, 2, 252)
+    return _whole(window, 2, "a band window")
 
 
-def row_limit(limit: int, high: int = 250) -> int:
-    return clamp(limit, 1, high)
+def row_limit(limit: int | None) -> int | None:
+    """A number of rows, or None for all of them."""
+    return None if limit is None else _whole(limit, 1, "a limit")
 
 
 def at_least(value: float, low: float = 0.1) -> float:
-    return max(low, float(value))
+    if not value >= low:
+        raise ValueError(f"must be at least {low}, not {value}")
+    return float(value)
 
 
 def trend_windows(short: int, long: int, days: int) -> tuple[int, int, int]:
-    """Short window, long window not below it, and a lookback not below that."""
-    short = clamp(short, 2, 365)
-    long = clamp(long, short, MAX_DAYS)
-    return short, long, clamp(days, long, MAX_DAYS)
+    """Short window, long window not below it, and a lookback not below that, as asked for."""
+    short = _whole(short, 2, "a short window")
+    long = _whole(long, short, "a long window")
+    return short, long, _whole(days, long, "a trend's lookback")
 
 
 def top_n(n: int) -> int:
-    return clamp(n, 1, 50)
+    return _whole(n, 1, "a top list")

@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def newest(df: DataFrame, limit: int, day: str, *ties: str) -> DataFrame:
-    """Latest `limit` rows; Spark keeps only that many per task."""
-    return df.orderBy(F.desc(day), *ties).limit(limit)
+def newest(df: DataFrame, limit: int | None, day: str, *ties: str | Column) -> DataFrame:
+    """Latest `limit` rows, of which Spark keeps only that many per task; without a limit all, sorted."""
+    rows = df.orderBy(F.desc(day), *ties)
+    return rows if limit is None else rows.limit(limit)
 
 
-def newest_per_key(df: DataFrame, keys: list[str], limit: int, day: str) -> DataFrame:
-    """Latest `limit` rows of each key."""
-    return first_per_key(df, keys, [F.desc(day)], limit)
+def newest_per_key(df: DataFrame, keys: list[str], limit: int | None, day: str) -> DataFrame:
+    """Latest `limit` rows of each key, all without a limit."""
+    return df if limit is None else first_per_key(df, keys, [F.desc(day)], limit)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], limit: int) -> DataFrame:
@@ -23,9 +24,10 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column], limit: in
     return df.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
 
 
-def largest_first(df: DataFrame, score: Column, limit: int, *ties: str) -> DataFrame:
-    """Highest scores first, rows without a score last."""
-    return df.orderBy(score.desc_nulls_last(), *ties).limit(limit)
+def largest_first(df: DataFrame, score: Column, limit: int | None, *ties: str) -> DataFrame:
+    """Highest scores first, rows without a score last; all rows without a limit."""
+    rows = df.orderBy(score.desc_nulls_last(), *ties)
+    return rows if limit is None else rows.limit(limit)
 
 
 def top_with_other(rows: DataFrame, keys: list[str], value: str, label: str, n: int, other: str,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions import limits
+from folioframe.operators import rank
 
 Day = dt.date | str
 
@@ -52,23 +53,24 @@ def rates(history: DataFrame, currency: str, start: Day | None = None, end: Day
     ).orderBy("date")
 
 
-def _snapshot_range(rows: DataFrame, start: Day | None, end: Day | None, limit: int, tie: str) -> DataFrame:
-    """Newest first. The end day counts up to its last instant."""
+def _snapshot_range(rows: DataFrame, start: Day | None, end: Day | None, limit: int | None,
+                    tie: str) -> DataFrame:
+    """Newest first, all or the first `limit`. The end day counts up to its last instant."""
     if start:
         rows = rows.filter(F.col("snapshot_at") >= F.lit(as_day(start)).cast("timestamp_ntz"))
     if end:
         after = as_day(end) + dt.timedelta(days=1)
         rows = rows.filter(F.col("snapshot_at") < F.lit(after).cast("timestamp_ntz"))
-    return rows.orderBy(F.desc("snapshot_at"), F.desc(tie)).limit(limit)
+    return rank.newest(rows, limits.row_limit(limit), "snapshot_at", F.desc(tie))
 
 
 def portfolio_snapshots(snapshots: DataFrame, account_id: str, start: Day | None = None,
-                        end: Day | None = None, limit: int = 100) -> DataFrame:
+                        end: Day | None = None, limit: int | None = None) -> DataFrame:
     return _snapshot_range(snapshots.filter(F.col("account_id") == account_id), start, end, limit, "id")
 
 
 def overview_snapshots(snapshots: DataFrame, start: Day | None = None, end: Day | None = None,
-                       limit: int = 100) -> DataFrame:
+                       limit: int | None = None) -> DataFrame:
     return _snapshot_range(snapshots, start, end, limit, "id")
 
 
@@ -147,5 +149,5 @@ def since(as_of: Day | Column | None, days: int) -> Column:
 
 
 def lookback(daily: DataFrame, as_of: Day | Column | None, days: int) -> DataFrame:
-    """Rows from the clamped lookback on."""
+    """Rows of the last `days` days."""
     return daily.filter(F.col("snap_date") >= since(as_of, limits.lookback(days)))

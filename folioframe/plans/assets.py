@@ -20,10 +20,10 @@ _ALLOCATION = (
 )
 
 
-def history(daily: DataFrame, days: int = 30, limit: int = 60, as_of: reads.Day | None = None) -> DataFrame:
-    """Asset totals per day, newest first."""
+def history(daily: DataFrame, days: int = 30, limit: int | None = None, as_of: reads.Day | None = None) -> DataFrame:
+    """Asset totals per day, newest first: all of the lookback, or the first `limit`."""
     rows = reads.lookback(daily, as_of, days).select(*_HISTORY)
-    return rank.newest(rows, limits.row_limit(limit, limits.MAX_DAYS), "snap_date")
+    return rank.newest(rows, limits.row_limit(limit), "snap_date")
 
 
 def daily_change(daily: DataFrame, days: int = 14) -> DataFrame:

@@ -74,7 +74,7 @@ def changes(rows: DataFrame, value: str, keys: list[str], day: str = "snap_date"
 
 
 def daily_change(daily: DataFrame, account_id: str = "", days: int = 14) -> DataFrame:
-    """Day-to-day change of one account or of all together: the latest `days` rows.
+    """Day-to-day change of one account or of all together: the latest `days` rows, a feature of the operator.
 
     The previous day is sought in the whole history, before the rows are cut.
     """
@@ -106,12 +106,12 @@ def daily_returns(daily: DataFrame, lookback_days: int, as_of: reads.Day | None,
 
 
 def anomalies(daily: DataFrame, account_id: str = "", z_threshold: float = 2.0, lookback_days: int = 90,
-              limit: int | None = 20, as_of: reads.Day | None = None,
+              limit: int | None = None, as_of: reads.Day | None = None,
               names: labels.StatusLabels = labels.StatusLabels()) -> DataFrame:
     """Daily returns scored against the account's own mean and deviation in the lookback, farthest first.
 
     The lookback is cut before the previous day is sought. Without an account, every account is scored on its
-    own returns. `limit=None` keeps all rows.
+    own returns. `limit` keeps the farthest rows of all accounts together; without one all rows stay, unsorted.
     """
     own = Window.partitionBy("account_id")
     returns = daily_returns(daily, lookback_days, as_of, account_id)

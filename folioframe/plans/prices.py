@@ -12,12 +12,12 @@ _KEYS = ["symbol", "exchange"]
 
 
 def bollinger_bands(history: DataFrame, symbol: str = "", exchange: str = "KRX", window: int = 20,
-                    num_std: float = 2.0, limit: int = 60,
+                    num_std: float = 2.0, limit: int | None = None,
                     names: labels.BandLabels = labels.BandLabels()) -> DataFrame:
     """Moving mean of closes with bands `num_std` deviations around it, newest first.
 
-    Rows need a full window. Without a symbol all symbols of all exchanges are done in one pass, `limit` rows
-    each. The signal compares unrounded values.
+    Rows need a full window. Without a symbol all symbols of all exchanges are done in one pass. `limit` keeps
+    the newest rows of each symbol; without one all rows stay. The signal compares unrounded values.
     """
     window, limit = limits.band_window(window), limits.row_limit(limit)
     reach = F.lit(limits.at_least(num_std))

@@ -60,18 +60,20 @@ def _(t):
     return portfolio.daily_totals(daily(t), "00000007")
 
 
-_RETURNS = f"""
-prior AS (SELECT account_id, snap_date, total_eval_amt,
-                 lag(total_eval_amt) OVER (PARTITION BY account_id ORDER BY snap_date) AS prev
-          FROM daily WHERE snap_date >= {AS_OF_SQL} - INTERVAL 20 DAY),
-returns AS (SELECT *, (total_eval_amt - prev) / nullif(CAST(prev AS DOUBLE), 0) * 100 AS ret
-            FROM prior WHERE prev IS NOT NULL),
-stats AS (SELECT account_id, avg(ret) AS mean_return, stddev_samp(ret) AS std_return FROM returns
-          GROUP BY account_id)"""
+_MOVES = f"""
+paired AS (SELECT account_id, snap_date, total_eval_amt AS today,
+                  lag(total_eval_amt) OVER (PARTITION BY account_id ORDER BY snap_date) AS yesterday
+           FROM daily WHERE snap_date >= {AS_OF_SQL} - INTERVAL 20 DAY),
+moves AS (SELECT account_id, snap_date, today, yesterday,
+                 (today - yesterday) / nullif(CAST(yesterday AS DOUBLE), 0) * 100 AS move
+          FROM paired WHERE yesterday IS NOT NULL),
+placed AS (SELECT *, move - avg(move) OVER own AS off_centre, stddev_samp(move) OVER own AS spread
+           FROM moves WINDOW own AS (PARTITION BY account_id))"""
 
 
-@query("return_statistics", "E4", ctes(SNAPS, DAILY, _RETURNS) + """
-SELECT account_id, round(mean_return, 4) AS mean_return, round(std_return, 4) AS std_return FROM stats""")
+@query("return_statistics", "E4", ctes(SNAPS, DAILY, _MOVES) + """
+SELECT account_id, round(avg(move), 4) AS mean_return, round(stddev_samp(move), 4) AS std_return FROM moves
+GROUP BY account_id""")
 def _(t):
     returns = portfolio.daily_returns(daily(t), 20, AS_OF)
     return returns.groupBy("account_id").agg(
@@ -171,7 +173,7 @@ bands AS (SELECT symbol, exchange, date, close, round(mean, 2) AS sma, round(mea
 
 @query("bollinger_bands_all_symbols", "G1", ctes(PRICES, _bands_sql(10, "prices")) + "SELECT * FROM bands", dates="date")
 def _(t):
-    return prices.bollinger_bands(t.prices(), window=10, limit=60)
+    return prices.bollinger_bands(t.prices(), window=10)
 
 
 @query("bollinger_bands_one_symbol", "G1", ctes(PRICES, _bands_sql(10, "prices")) + """
@@ -209,11 +211,11 @@ def _(t):
     return portfolio.daily_change_per_account(daily(t))
 
 
-_SCORED = ctes(SNAPS, DAILY, _RETURNS) + """
-SELECT account_id, snap_date, total_eval_amt, prev AS prev_total_eval_amt, round(ret, 2) AS return_pct,
-       round((ret - mean_return) / nullif(std_return, 0), 2) AS z_score,
-       CASE WHEN abs((ret - mean_return) / nullif(std_return, 0)) >= 2e0 THEN '이상치' ELSE '정상' END AS status
-FROM returns JOIN stats USING (account_id)"""
+_SCORED = ctes(SNAPS, DAILY, _MOVES) + """
+SELECT account_id, snap_date, today AS total_eval_amt, yesterday AS prev_total_eval_amt, round(move, 2) AS return_pct,
+       round(off_centre / nullif(spread, 0), 2) AS z_score,
+       CASE WHEN abs(off_centre / nullif(spread, 0)) >= 2e0 THEN '이상치' ELSE '정상' END AS status
+FROM placed"""
 
 
 @query("portfolio_anomalies_all_accounts", "G4 D1", _SCORED, dates="snap_date")
@@ -223,14 +225,14 @@ def _(t):
 
 @query("portfolio_anomalies_one_account", "G4 H2", _SCORED + """
 WHERE account_id = '00000007'
-ORDER BY abs((ret - mean_return) / nullif(std_return, 0)) DESC NULLS LAST, account_id, snap_date LIMIT 20""",
+ORDER BY abs(off_centre / nullif(spread, 0)) DESC NULLS LAST, account_id, snap_date LIMIT 20""",
        dates="snap_date")
 def _(t):
-    return portfolio.anomalies(daily(t), "00000007", lookback_days=20, as_of=AS_OF)
+    return portfolio.anomalies(daily(t), "00000007", lookback_days=20, limit=20, as_of=AS_OF)
 
 
-@query("returns_joined_to_statistics", "D1", ctes(SNAPS, DAILY, _RETURNS) + """
-SELECT account_id, snap_date, round(ret - mean_return, 4) AS deviation FROM returns JOIN stats USING (account_id)""",
+@query("returns_joined_to_statistics", "D1", ctes(SNAPS, DAILY, _MOVES) + """
+SELECT account_id, snap_date, round(off_centre, 4) AS deviation FROM placed""",
        dates="snap_date")
 def _(t):
     returns = portfolio.daily_returns(daily(t), 20, AS_OF)
@@ -273,10 +275,10 @@ def _(t):
 @query("total_asset_history", "G6", _ASSETS + f"""
 SELECT snap_date, snapshot_at, domestic_eval_amt_krw, overseas_stock_eval_amt_krw, overseas_cash_amt_krw,
        overseas_total_asset_amt_krw, total_eval_amt_krw
-FROM overview_daily WHERE snap_date >= {AS_OF_SQL} - INTERVAL 30 DAY ORDER BY snap_date DESC LIMIT 20""",
+FROM overview_daily WHERE snap_date >= {AS_OF_SQL} - INTERVAL 30 DAY""",
        dates="snap_date", times="snapshot_at")
 def _(t):
-    return assets.history(asset_days(t), 30, 20, AS_OF)
+    return assets.history(asset_days(t), 30, as_of=AS_OF)
 
 
 @query("total_asset_daily_change", "G7", _ASSETS + """
@@ -311,9 +313,9 @@ def _(t):
     return rank.newest(daily(t).select("snap_date", "account_id", "total_eval_amt"), 25, "snap_date", "account_id")
 
 
-@query("largest_returns_first", "H2", ctes(SNAPS, DAILY, _RETURNS) + """
-SELECT account_id, snap_date, round(ret, 2) AS return_pct FROM returns
-ORDER BY abs(ret) DESC NULLS LAST, account_id, snap_date LIMIT 40""", dates="snap_date")
+@query("largest_returns_first", "H2", ctes(SNAPS, DAILY, _MOVES) + """
+SELECT account_id, snap_date, round(move, 2) AS return_pct FROM moves
+ORDER BY abs(move) DESC NULLS LAST, account_id, snap_date LIMIT 40""", dates="snap_date")
 def _(t):
     returns = portfolio.daily_returns(daily(t), 20, AS_OF)
     return rank.largest_first(returns, F.abs("_return"), 40, "account_id", "snap_date").select(
@@ -322,28 +324,27 @@ def _(t):
 
 
 @query("summary_sorted", "H5", ctes(SNAPS, DAILY, _LATEST) + """
-SELECT CAST(row_number() OVER (ORDER BY account_type, account_id) AS INTEGER) AS place, account_type, account_id FROM latest
-ORDER BY 1 LIMIT 50""")
+SELECT CAST(row_number() OVER (PARTITION BY account_type ORDER BY account_id) AS INTEGER) AS place, account_type, account_id
+FROM latest""")
 def _(t):
     summary = portfolio.latest_summary(daily(t), lookback_days=5, as_of=AS_OF)
-    top = summary.select("account_type", "account_id").orderBy("account_type", "account_id").limit(50)
-    # Fifty rows are left to number.
-    return top.select(F.row_number().over(windows.series([], "account_type").orderBy("account_type", "account_id"))
-                      .alias("place"), "account_type", "account_id")
+    # The order of the whole sort shows in each type's numbers; no task numbers all accounts.
+    return summary.select("account_type", "account_id", F.row_number().over(
+        windows.series(["account_type"], "account_id")).alias("place"))
 
 
-@query("lookback_clamped", "C12 C13", _DAILY + f"""
-SELECT account_id, snap_date, total_eval_amt FROM daily WHERE snap_date >= {AS_OF_SQL} - INTERVAL 3650 DAY""",
+@query("lookback_as_long_as_asked", "C12 C13", _DAILY + f"""
+SELECT account_id, snap_date, total_eval_amt FROM daily WHERE snap_date >= {AS_OF_SQL} - INTERVAL 99999 DAY""",
        dates="snap_date")
 def _(t):
     return reads.lookback(daily(t), AS_OF, 99_999).select("account_id", "snap_date", "total_eval_amt")
 
 
-@query("trend_with_clamped_windows", "C13", ctes(
+@query("trend_with_equal_windows", "C13", ctes(
     SNAPS, DAILY, f"recent AS (SELECT * FROM daily WHERE snap_date >= {AS_OF_SQL} - INTERVAL 12 DAY)",
     _trend_sql("account_id", "total_eval_amt", "recent", 12, 12)) + "SELECT * FROM trend", dates="snap_date")
 def _(t):
-    short, long, days = limits.trend_windows(12, 3, 1)
+    short, long, days = limits.trend_windows(12, 12, 12)
     return portfolio.trend(daily(t), short_window=short, long_window=long, lookback_days=days, as_of=AS_OF)
 
 

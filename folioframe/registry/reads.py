@@ -61,14 +61,13 @@ def _(t):
 
 @query("snapshot_range", "C4", ctes(SNAPS) + """
 SELECT * FROM snaps WHERE account_id = '00000007' AND snapshot_at >= TIMESTAMP '2024-01-03'
-AND snapshot_at < TIMESTAMP '2024-01-21' ORDER BY snapshot_at DESC LIMIT 100""", times="snapshot_at")
+AND snapshot_at < TIMESTAMP '2024-01-21'""", times="snapshot_at")
 def _(t):
     return reads.portfolio_snapshots(t.snapshots(), "00000007", "20240103", "2024-01-20")
 
 
 @query("overview_range", "C5", ctes(OVERVIEWS) + """
-SELECT * FROM overviews WHERE snapshot_at >= TIMESTAMP '2024-01-03' AND snapshot_at < TIMESTAMP '2024-01-21'
-ORDER BY snapshot_at DESC LIMIT 100""", times="snapshot_at")
+SELECT * FROM overviews WHERE snapshot_at >= TIMESTAMP '2024-01-03' AND snapshot_at < TIMESTAMP '2024-01-21'""", times="snapshot_at")
 def _(t):
     return reads.overview_snapshots(t.overviews(), "2024-01-03", "20240120")
 

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from folioframe.functions import limits
 from folioframe.operators import curate, reads
 from folioframe.plans import assets, portfolio, prices
 
@@ -85,7 +86,7 @@ def test_unknown_z_sorts_last_as_normal(spark):
     rows = [("a", "t", at(d), v) for d, v in ((1, 0), (2, 100), (3, 110), (4, 130))]
     daily = spark.createDataFrame(rows, "account_id STRING, account_type STRING, snapshot_at TIMESTAMP_NTZ, total_eval_amt LONG")
     daily = daily.withColumn("snap_date", F.col("snapshot_at").cast("date"))
-    out = portfolio.anomalies(daily, "a", lookback_days=90, as_of=AS_OF).collect()
+    out = portfolio.anomalies(daily, "a", lookback_days=90, limit=20, as_of=AS_OF).collect()
     assert out[-1].z_score is None and out[-1].status == "정상" and out[-1].snap_date == day(2)
 
 
@@ -158,8 +159,35 @@ def test_snapshot_range_keeps_the_last_instant_of_the_end_day(spark):
     assert [r.id for r in out] == ["2", "1"]
 
 
-@pytest.mark.parametrize("asked, used", [(0, 1), (5, 5), (99_999, 3650)])
-def test_lookback_is_clamped(spark, asked, used):
-    first = AS_OF and reads.as_day(AS_OF) - dt.timedelta(days=used)
-    row = spark.range(1).select(reads.since(AS_OF, __import__("folioframe.functions.limits", fromlist=["x"]).lookback(asked)).alias("d")).first()
-    assert row.d == first
+@pytest.mark.parametrize("asked", [1, 5, 99_999])
+def test_lookback_is_as_long_as_asked(spark, asked):
+    first = reads.as_day(AS_OF) - dt.timedelta(days=asked)
+    assert spark.range(1).select(reads.since(AS_OF, limits.lookback(asked)).alias("d")).first().d == first
+
+
+def test_bad_parameters_raise():
+    for bad in (lambda: limits.lookback(0), lambda: limits.band_window(1), lambda: limits.row_limit(0),
+                lambda: limits.at_least(0.01), lambda: limits.trend_windows(1, 3, 9),
+                lambda: limits.trend_windows(5, 3, 9), lambda: limits.trend_windows(3, 5, 4),
+                lambda: limits.top_n(0), lambda: limits.lookback(2.5)):
+        with pytest.raises(ValueError):
+            bad()
+    assert limits.row_limit(None) is None and limits.row_limit(10_000) == 10_000 and limits.top_n(5000) == 5000
+    assert limits.trend_windows(1000, 5000, 9000) == (1000, 5000, 9000)
+
+
+def test_nothing_is_cut_unasked(spark):
+    days = 4200
+    history = price_rows(spark, days)
+    assert prices.bollinger_bands(history, window=10).count() == days - 9
+    assert prices.bollinger_bands(history, "005930", window=10).count() == days - 9
+    assert prices.bollinger_bands(history, "005930", window=400, limit=3000).count() == 3000
+    daily = spark.range(days).select(
+        F.lit("a").alias("account_id"), F.lit("t").alias("account_type"),
+        F.expr("date_sub(DATE '2024-01-31', CAST(id AS INT))").alias("snap_date"),
+        (F.col("id") % 7 + 100).alias("total_eval_amt")).withColumn("snapshot_at", F.col("snap_date").cast("timestamp_ntz"))
+    assert reads.lookback(daily, "20240131", 5000).count() == days
+    assert portfolio.anomalies(daily, lookback_days=5000, as_of="20240131").count() == days - 1
+    assert portfolio.daily_change(daily, days=4000).count() == 4000
+    assert portfolio.trend(daily, short_window=300, long_window=400, lookback_days=5000, as_of="20240131").count() == days - 399
+    assert reads.portfolio_snapshots(daily.withColumn("id", F.lit("x")), "a").count() == days
