@@ -29,18 +29,24 @@ def one_per_key(rows: DataFrame, keys: tuple[str, ...], order: list[str], keep:
 
 
 def insert_absent(target: DataFrame, incoming: DataFrame, keys: tuple[str, ...], order: list[str]) -> DataFrame:
-    """The incoming rows to append: the first of each key not in `target`."""
-    fresh = one_per_key(incoming, keys, order, keep="first")
+    """The incoming rows to append: the first of each key not in `target`. Rows with a NULL in the key are
+    rejects (see `split_bad`) and left out: they match nothing, and would be stored again at every run."""
+    fresh = one_per_key(split_bad(incoming, *keys)[0], keys, order, keep="first")
     return fresh.join(target.select(*keys), list(keys), "left_anti")
 
 
 def upsert(target: DataFrame, incoming: DataFrame, keys: tuple[str, ...], order: list[str], now: Column,
-           touched: str, created: str | None = None) -> DataFrame:
+           touched: str, created: str | None = None, observed: dict[str, str] | None = None) -> DataFrame:
     """`target` with the last incoming row of each key written over it, NULLs included.
 
-    Columns the input lacks count as NULL. `touched` is set to `now` on written rows. `created`, if given, is `now` for new keys and kept for old
-    ones. The result has the columns of `target`.
+    Columns the input lacks count as NULL; rows with a NULL in the key are rejects and left out. `touched` is set to
+    `now` on written rows. `created`, if given, is `now` for new keys and kept for old ones. `observed` names columns
+    of `target` that hold the order columns of the stored row: with it a row is written over only by one that is not
+    older, so merges may come in any order. The result has the columns of `target`.
     """
+    incoming = split_bad(incoming, *keys)[0]
+    if observed:
+        incoming = incoming.withColumns({name: F.col(source) for name, source in observed.items()})
     values = [name for name in target.columns if name not in (*keys, touched, created)]
     types = {name: target.schema[name].dataType for name in (*keys, *values)}
     given = {name: F.col(name) for name in incoming.columns}
@@ -53,11 +59,16 @@ def upsert(target: DataFrame, incoming: DataFrame, keys: tuple[str, ...], order:
     stamps = [name for name in (touched, created) if name]
     kept = target.select(*keys, F.struct(*values).alias("_kept"), *stamps)
     written = F.col("_written").isNotNull()
+    if observed:
+        # NULL orders before all times; a target row without one was stored before times were kept.
+        times = [F.struct(*[F.col(f"{side}.{name}") for name in observed]) for side in ("_written", "_kept")]
+        written = written & (F.col("_kept").isNull() | (times[0] >= times[1]))
     stamped = {touched: F.when(written, now).otherwise(F.col(touched))}
     if created:
         stamped[created] = F.when(F.col("_kept").isNull(), now).otherwise(F.col(created))
-    merged = kept.join(newest, list(keys), "full_outer").withColumns(stamped)
-    return merged.select(*keys, F.coalesce("_written", "_kept").alias("_row"), *stamps).select(
+    merged = kept.join(newest, list(keys), "full_outer")
+    row = F.when(written, F.col("_written")).otherwise(F.col("_kept")).alias("_row")
+    return merged.select(*keys, row, *[value.alias(name) for name, value in stamped.items()]).select(
         *keys, "_row.*", *stamps
     ).select(*target.columns)
 
@@ -85,9 +96,15 @@ def insert_rates(target: DataFrame, incoming: DataFrame, now: Column, order: lis
 
 def upsert_orders(target: DataFrame, incoming: DataFrame, now: Column,
                   order: tuple[str, ...] = ("seen_at", "place")) -> DataFrame:
-    """Canonical orders after new observations: the latest one wins, the first sighting is remembered."""
+    """Canonical orders after new observations: the latest one wins, the first sighting is remembered.
+
+    The order columns of an observation are stored with the row, if it has columns for them, so an observation that
+    comes late does not write over a newer one.
+    """
     keys = ("account_id", "account_product_code", "order_date", "order_branch_no", "order_no")
-    return upsert(target, incoming, keys, list(order), now, "last_seen_at", "first_seen_at")
+    held = dict(zip(("last_observed_at", "last_observed_place"), order, strict=False))
+    observed = {name: source for name, source in held.items() if name in target.columns and source in incoming.columns}
+    return upsert(target, incoming, keys, list(order), now, "last_seen_at", "first_seen_at", observed)
 
 
 def upsert_calendar(target: DataFrame, incoming: DataFrame, now: Column, order: list[str]) -> DataFrame:

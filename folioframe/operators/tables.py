@@ -1,24 +1,46 @@
-"""Stored tables: Parquet split by month, appended to or rewritten month by month."""
+"""Stored tables: Parquet split by month, year or market, appended to or rewritten part by part."""
 
 from __future__ import annotations
 
 import datetime as dt
-from typing import Callable
+from typing import Callable, NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioframe.schemas import TABLES, TIME_COLUMN
-from folioframe.session import drop_scratch, materialize, scratch_path
+from folioframe.operators.merge import split_bad
+from folioframe.schemas import KEYS, SPLIT_COLUMN, TABLES, TIME_COLUMN
+from folioframe.session import drop_scratch, is_written, scratch_path, shared_root
 
 MONTH = "month"
+PART = "part"
+
+
+class Written(NamedTuple):
+    """Rows that a rewrite took, and those it left out because a key column was NULL."""
+
+    processed: int
+    rejected: int
 
 
 def month_of(time: str) -> Column:
     return F.date_format(time, "yyyy-MM").alias(MONTH)
 
 
+def part_name(name: str) -> str:
+    return MONTH if name in TIME_COLUMN else PART
+
+
+def part_of(name: str) -> Column:
+    """The part of the stored table that a row belongs to: its month, or the year or market of reference tables."""
+    if name in TIME_COLUMN:
+        return month_of(TIME_COLUMN[name])
+    column = SPLIT_COLUMN[name]
+    kind = TABLES[name][column].dataType.typeName()
+    return (F.date_format(column, "yyyy") if kind == "date" else F.concat(F.lit("p-"), F.col(column))).alias(PART)
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns of `schema`, in its order and types: missing ones are added as NULL, others dropped."""
     return df.select(*[
@@ -29,15 +51,15 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def read_table(spark: SparkSession, root: str, name: str, since: dt.date | None = None,
                until: dt.date | None = None) -> DataFrame:
-    """A stored table with its full schema; columns that older files lack read as NULL.
+    """A stored table with its full schema and its part; columns that older files lack read as NULL.
 
     `since` and `until` leave out the files of earlier and later months; the days themselves are up to the
     caller's own filter.
     """
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in TABLES[name].fields])
+    rows = spark.read.schema(schema.add(part_name(name), T.StringType())).parquet(f"{root}/{name}")
     if name not in TIME_COLUMN:
-        return spark.read.schema(schema).parquet(f"{root}/{name}")
-    rows = spark.read.schema(schema.add(MONTH, T.StringType())).parquet(f"{root}/{name}")
+        return rows.drop(PART)
     if since is not None:
         rows = rows.filter(F.col(MONTH) >= f"{since:%Y-%m}")
     if until is not None:
@@ -46,62 +68,90 @@ def read_table(spark: SparkSession, root: str, name: str, since: dt.date | None
 
 
 def _laid_out(df: DataFrame, name: str) -> DataFrame:
-    rows = conform(df, TABLES[name])
-    if name not in TIME_COLUMN:
-        return rows
-    # Without this each task would open a file in every month. AQE splits a month too large for one task.
-    return rows.withColumn(MONTH, month_of(TIME_COLUMN[name])).hint("rebalance", MONTH)
+    # Without the hint each task would open a file in every part. AQE splits a part too large for one task.
+    part = part_name(name)
+    return conform(df, TABLES[name]).withColumn(part, part_of(name)).hint("rebalance", part)
+
+
+def usable(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that a keyed table can hold, and the rejects: those with a NULL in the key."""
+    return split_bad(rows, *[key for key in KEYS.get(name, ()) if key in rows.columns])
 
 
 def append(df: DataFrame, root: str, name: str) -> int:
-    """Append rows to a stored table and return how many; they are counted as they are written."""
-    seen = Observation()
-    writer = _laid_out(df, name).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append")
-    if name in TIME_COLUMN:
-        writer = writer.partitionBy(MONTH)
-    writer.parquet(f"{root}/{name}")
+    """Append rows to a stored table and return how many; they are counted as they are written.
+
+    Rows with a NULL key are not for a keyed table: the merges leave them out, and here they raise.
+    """
+    seen, none = Observation(), F.lit(False)
+    for key in KEYS.get(name, ()):
+        none = none | F.col(key).isNull()
+    checked = df.filter(F.when(none, F.raise_error(F.lit(f"NULL in the key of {name}"))).otherwise(F.lit(True))) \
+        if name in KEYS else df
+    counted = _laid_out(checked, name).observe(seen, F.count(F.lit(1)).alias("rows"))
+    counted.write.mode("append").partitionBy(part_name(name)).parquet(f"{root}/{name}")
     return seen.get["rows"]
 
 
 def touched(spark: SparkSession, root: str, name: str, incoming: DataFrame) -> DataFrame:
-    """The part of a stored table that `incoming` can meet: the months it has rows in.
+    """The parts of a stored table that `incoming` can meet.
 
-    Those months are a handful of values, at most twelve a year, so they are fetched and become a plain filter
-    that is sure to prune files.
+    They are a handful of values, at most twelve months a year, or the markets or years at hand, so they are
+    fetched and become a plain filter that is sure to prune files.
     """
-    target = read_table(spark, root, name)
-    if name not in TIME_COLUMN:
-        return target
-    months = [row[0] for row in incoming.select(month_of(TIME_COLUMN[name])).distinct().collect()]
-    return target.filter(F.col(MONTH).isin(months)).drop(MONTH)
+    part = part_name(name)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in TABLES[name].fields])
+    parts = [row[0] for row in incoming.select(part_of(name)).distinct().collect() if row[0] is not None]
+    stored = spark.read.schema(schema.add(part, T.StringType())).parquet(f"{root}/{name}")
+    return stored.filter(F.col(part).isin(parts)).drop(part)
 
 
 def insert(spark: SparkSession, root: str, name: str, incoming: DataFrame,
            absent: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
     """Append the rows that `absent(target, incoming)` finds missing, and return how many."""
-    return append(absent(touched(spark, root, name, incoming), incoming), root, name)
+    good, _ = usable(incoming, name)
+    return append(absent(touched(spark, root, name, good), good), root, name)
 
 
 def rewrite(spark: SparkSession, root: str, name: str, incoming: DataFrame,
-            merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    """Apply `merge(target, incoming)` to a stored table, touching only the months that `incoming` has.
+            merge: Callable[[DataFrame, DataFrame], DataFrame], batch: str | None = None) -> Written:
+    """Apply `merge(target, incoming)` to a stored table, touching only the parts that `incoming` has.
 
-    The merged months go to the shared folder first and replace the old ones in a second step, so the table
-    is never read and overwritten by the same job. Tables that are not split by month are merged whole.
+    The input is read once, into the shared folder; the merged parts follow it there and replace the old ones in a
+    last step, so the table is never read and overwritten by the same job, and parts that `incoming` lacks stay as
+    they are. Under a `batch` name the merged parts are found again: should the last step have failed half-way, a
+    retry finishes it from them. Rows with a NULL key are left out and counted.
     """
-    stage = scratch_path(spark, f"{name}-merged")
-    merged = materialize(conform(merge(touched(spark, root, name, incoming), incoming), TABLES[name]), stage)
-    writer = _laid_out(merged, name).write.mode("overwrite")
-    if name in TIME_COLUMN:
-        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(MONTH)
-    writer.parquet(f"{root}/{name}")
-    # Kept until here: should the swap fail half-way, the merged months are still at hand.
-    drop_scratch(spark, stage)
+    where = f"{shared_root(spark)}/{name}-{batch}" if batch else scratch_path(spark, name)
+    given, merged = f"{where}-given", f"{where}-merged"
+    counts = Written(0, 0)
+    if not (batch and is_written(spark, merged)):
+        seen = Observation()
+        bad = F.lit(False)
+        for key in KEYS.get(name, ()):
+            bad = bad | (F.col(key).isNull() if key in incoming.columns else F.lit(True))
+        marked = incoming.withColumn("_bad", bad)
+        marked.observe(
+            seen, F.count_if(~F.col("_bad")).alias("good"), F.count_if("_bad").alias("bad")
+        ).write.mode("overwrite").parquet(given)
+        counts = Written(seen.get["good"], seen.get["bad"])
+        rows = spark.read.schema(marked.schema).parquet(given).filter("not _bad").drop("_bad")
+        _laid_out(merge(touched(spark, root, name, rows), rows), name).write.mode("overwrite").parquet(merged)
+    swap(spark, root, name, merged)
+    for path in (given, merged):
+        drop_scratch(spark, path)
+    return counts
+
+
+def swap(spark: SparkSession, root: str, name: str, merged: str) -> None:
+    """Put the parts at `merged` in place of the stored ones of the same names."""
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in TABLES[name].fields])
+    rows = spark.read.schema(schema).parquet(merged)
+    _laid_out(rows, name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        part_name(name)).parquet(f"{root}/{name}")
 
 
 def create(spark: SparkSession, root: str, name: str) -> None:
     """An empty stored table."""
-    writer = _laid_out(spark.createDataFrame([], TABLES[name]), name).write.mode("errorifexists")
-    if name in TIME_COLUMN:
-        writer = writer.partitionBy(MONTH)
-    writer.parquet(f"{root}/{name}")
+    _laid_out(spark.createDataFrame([], TABLES[name]), name).write.mode("errorifexists").partitionBy(
+        part_name(name)).parquet(f"{root}/{name}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioframe.functions.text import parse_day
 from folioframe.operators import append, merge, tables
 from folioframe.registry.core import ctes, query
 from folioframe.registry.standins import (
@@ -75,7 +76,7 @@ def _(t):
 
 
 @query("overwrite_adjusted_prices", "B2", ctes(PRICES, _QUOTES) + """,
-newest AS (SELECT symbol, exchange, date, arg_max(c, event_id) AS c, max(event_id) AS v FROM quotes WHERE c > 5000
+newest AS (SELECT symbol, exchange, date, arg_max(c, event_id) AS c, max(event_id) AS v FROM quotes
            GROUP BY symbol, exchange, date)
 SELECT coalesce(n.symbol, s.symbol) AS symbol, coalesce(n.exchange, s.exchange) AS exchange, coalesce(n.date, s.date) AS date,
        coalesce(n.c, s.open) AS open, coalesce(n.c, s.high) AS high, coalesce(n.c, s.low) AS low, coalesce(n.c, s.close) AS close,
@@ -84,7 +85,7 @@ SELECT coalesce(n.symbol, s.symbol) AS symbol, coalesce(n.exchange, s.exchange)
 FROM stored s FULL JOIN newest n ON s.symbol = n.symbol AND s.exchange = n.exchange AND s.date = n.date""",
        dates="date", times="created_at")
 def _(t):
-    return merge.overwrite_adjusted(stored_prices(t), quotes(t).filter("close > 5000"), now(), ["seq"])
+    return merge.overwrite_adjusted(stored_prices(t), quotes(t), now(), ["seq"])
 
 
 @query("insert_absent_rates", "B3 D8", ctes(RATES) + f"""
@@ -132,10 +133,10 @@ def _(t):
 
 
 @query("upsert_orders_kept_rows", "B4", ctes(ORDERS) + """
-SELECT order_no, CASE WHEN side_code = 'O' THEN 'changed' ELSE 'stored' END AS last_source,
-       side_code = 'O' AS written FROM seen WHERE side_code IN ('O', 'F')""")
+SELECT order_no, CASE WHEN side_code = 'F' THEN 'stored' ELSE 'changed' END AS last_source,
+       side_code <> 'F' AS written FROM seen""")
 def _(t):
-    changed = t.orders().filter("side_code = 'O'").withColumns({
+    changed = t.orders().filter("side_code <> 'F'").withColumns({
         "last_source": F.lit("changed"), "seen_at": F.col("o_orderdate"), "place": F.lit(0)})
     merged = merge.upsert_orders(stored_orders(t), changed, now())
     return merged.select("order_no", "last_source", (F.col("last_seen_at") == now()).alias("written"))
@@ -301,14 +302,96 @@ def _(t):
 
 
 @query("stored_price_insert", "B1 D8", ctes(PRICES, _QUOTES) + f"""
-SELECT count(*) AS rows, CAST(count(*) FILTER (date >= DATE '{_MIDDLE}') AS BIGINT) AS inserted
-FROM (SELECT symbol, exchange, date FROM stored UNION SELECT symbol, exchange, date FROM quotes) AS p
-WHERE NOT (date < DATE '{_MIDDLE}' AND (symbol, exchange, date) NOT IN (SELECT (symbol, exchange, date) FROM stored))""")
+SELECT symbol, exchange, date, close, TIMESTAMP '2020-01-01' AS created_at FROM stored
+UNION ALL
+SELECT symbol, exchange, date, arg_min(c, event_id), TIMESTAMP '2024-02-01 12:00:00' FROM quotes q
+WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.symbol = q.symbol AND s.exchange = q.exchange AND s.date = q.date)
+GROUP BY symbol, exchange, date""", dates="date", times="created_at")
 def _(t):
     """Insert if absent against a stored table, twice; the second run finds nothing new."""
     root = scratch_path(t.spark, "tables")
     tables.append(stored_prices(t), root, "price_history")
     for _run in range(2):
         tables.insert(t.spark, root, "price_history", quotes(t), lambda target, new: merge.insert_prices(target, new, now(), ["seq"]))
-    stored = tables.read_table(t.spark, root, "price_history")
-    return stored.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("created_at") == now()).alias("inserted"))
+    return tables.read_table(t.spark, root, "price_history").select("symbol", "exchange", "date", "close", "created_at")
+
+
+_BROKEN = "CASE WHEN event_id % 11 = 0 THEN 'n/a' ELSE {day} END"
+
+
+@query("stored_price_insert_bad_dates", "B1 B2 J11", ctes(PRICES, _QUOTES) + f"""
+SELECT symbol, exchange, date, arg_max(c, event_id) AS close, true AS adjusted,
+       (SELECT count(*) FROM events WHERE event_id % 11 = 0) AS rejected
+FROM quotes JOIN (SELECT event_id FROM events WHERE event_id % 11 <> 0) USING (event_id)
+GROUP BY symbol, exchange, date""", dates="date")
+def _(t):
+    """Days that do not parse are rejects of every merge: counted, never stored, and not stored again by a second run."""
+    root = scratch_path(t.spark, "tables")
+    tables.create(t.spark, root, "price_history")
+    day = F.expr(_BROKEN.format(day="date_format(date, 'yyyyMMdd')").replace("event_id", "seq"))
+    given = quotes(t).withColumn("date", parse_day(day))
+    for _run in range(2):
+        tables.insert(t.spark, root, "price_history", given, lambda target, new: merge.insert_prices(target, new, now(), ["seq"]))
+        counts = tables.rewrite(t.spark, root, "price_history", given,
+                                lambda target, new: merge.overwrite_adjusted(target, new, now(), ["seq"]))
+    return tables.read_table(t.spark, root, "price_history").select(
+        "symbol", "exchange", "date", "close", "adjusted", F.lit(counts.rejected).cast("bigint").alias("rejected"))
+
+
+@query("stored_calendar_merge", "B5", ctes(CALENDAR) + """
+SELECT market, trade_date, is_open, note,
+       CASE WHEN isodow(trade_date) = 1 THEN TIMESTAMP '2024-02-01 12:00:00' ELSE TIMESTAMP '2020-01-01' END AS updated_at,
+       (SELECT count(*) FROM calendar WHERE isodow(trade_date) = 1) AS processed
+FROM (SELECT market, trade_date, CASE WHEN isodow(trade_date) = 1 THEN false ELSE is_open END AS is_open,
+             CASE WHEN isodow(trade_date) = 1 THEN NULL ELSE note END AS note FROM calendar) AS c""",
+       dates="trade_date", times="updated_at")
+def _(t):
+    """The calendar stored by year; a merge under a batch name, and the same batch again."""
+    root = scratch_path(t.spark, "tables")
+    full = dimensions.trading_calendar(t.years(), t.holidays())
+    tables.append(full.withColumn("updated_at", before()), root, "market_calendar")
+    mondays = full.filter(F.weekday("trade_date") == 0).withColumns({
+        "is_open": F.lit(False), "note": F.lit(None).cast("string"), "seq": F.lit(1)})
+    for _run in range(2):
+        counts = tables.rewrite(t.spark, root, "market_calendar", mondays,
+                                lambda target, new: merge.upsert_calendar(target, new, now(), ["seq"]),
+                                batch=f"mondays-{root.rpartition('-')[2]}")
+    return tables.read_table(t.spark, root, "market_calendar").select(
+        "market", "trade_date", "is_open", "note", "updated_at", F.lit(counts.processed).cast("bigint").alias("processed"))
+
+
+@query("stored_master_merge", "B6", ctes(MASTER) + """
+SELECT symbol, CASE WHEN idx_mid_code = 'Brand#11' THEN 'NYS' ELSE market END AS market, concat('second ', name) AS name,
+       TIMESTAMP '2024-02-01 12:00:00' AS updated_at FROM master WHERE idx_mid_code <> 'Brand#1'
+UNION ALL SELECT symbol, market, name, TIMESTAMP '2020-01-01' FROM master WHERE idx_mid_code IN ('Brand#1', 'Brand#11')""",
+       times="updated_at")
+def _(t):
+    """The master stored by market: only the markets of the new rows are rewritten."""
+    root = scratch_path(t.spark, "tables")
+    tables.append(t.master().withColumn("updated_at", before()), root, "instrument_master")
+    new = t.master().filter("idx_mid_code <> 'Brand#1'").withColumn(
+        "market", F.when(F.col("idx_mid_code") == "Brand#11", "NYS").otherwise(F.col("market")))
+    first = new.withColumns({"name": F.concat(F.lit("first "), "name"), "listing": F.lit(0)})
+    second = new.withColumns({"name": F.concat(F.lit("second "), "name"), "listing": F.lit(1)})
+    tables.rewrite(t.spark, root, "instrument_master", first.unionByName(second),
+                   lambda target, rows: merge.upsert_master(target, rows, now(), ["listing"]))
+    return tables.read_table(t.spark, root, "instrument_master").select("symbol", "market", "name", "updated_at")
+
+
+@query("late_observations_keep_the_newest", "B4 K2", f"""
+SELECT {account_sql('user_id')} AS account_id, CAST(ts AS DATE) AS order_date, event_type AS order_no,
+       arg_max({cents_sql('value')}, (ts, event_id)) AS filled_amount FROM events
+GROUP BY user_id, CAST(ts AS DATE), event_type""", dates="order_date")
+def _(t):
+    """Two merges, the later half of each day's observations in the first."""
+    seen = t.read("events").select(
+        F.expr(account_sql("user_id")).alias("account_id"), F.lit("01").alias("account_product_code"),
+        F.lit("brokerage").alias("account_type"), F.col("ts").cast("date").alias("order_date"),
+        F.lit("").alias("order_branch_no"), F.col("event_type").alias("order_no"),
+        F.expr(cents_sql("value")).alias("filled_amount"), F.col("ts").alias("seen_at"), F.col("event_id").alias("place"),
+    )
+    target = tables.conform(seen, DOMESTIC_ORDERS).filter(F.lit(False))
+    late = F.hour("seen_at") >= 12
+    for batch in (seen.filter(late), seen.filter(~late)):
+        target = merge.upsert_orders(target, batch, now())
+    return target.select("account_id", "order_date", "order_no", "filled_amount")

@@ -13,9 +13,16 @@ from folioframe.streaming import jobs
 
 
 def _stream(t):
-    """The events file as a stream."""
-    schema = t.read("events").schema
-    return jobs.read_files(t.spark, t.folder, schema, "events.parquet")
+    """The events as a stream of several files, the latest events in the first, read a file a batch.
+
+    A job whose answer hung on the order or size of its batches would differ from its SQL."""
+    events, folder = t.read("events"), scratch_path(t.spark, "arriving")
+    at = F.col("ts").cast("timestamp").cast("double")
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    place = F.floor((F.lit(last) - at) / (F.lit(last - first) / 3 + 1))
+    for part in range(3):
+        events.filter(F.coalesce(place, F.lit(2)) == part).write.mode("append").parquet(folder)
+    return jobs.read_files(t.spark, folder, events.schema, files_per_batch=1)
 
 
 def _snapshots(t):
@@ -32,9 +39,10 @@ def _wait(stream_query):
 SELECT *, CAST(snapshot_at AS DATE) AS snap_date FROM snaps""", dates="snap_date", times="snapshot_at")
 def _(t):
     out, state = scratch_path(t.spark, "ingest"), scratch_path(t.spark, "ingest-state")
-    _wait(jobs.ingest_snapshots(_snapshots(t), out, state))
+    stream = _snapshots(t)
+    _wait(jobs.ingest_snapshots(stream, out, state))
     # A resumed run finds nothing new.
-    _wait(jobs.ingest_snapshots(_snapshots(t), out, state))
+    _wait(jobs.ingest_snapshots(stream, out, state))
     return t.spark.read.parquet(out)
 
 
@@ -56,24 +64,28 @@ def _(t):
     return tables.read_table(t.spark, root, "domestic_orders").select("account_id", "order_date", "order_no", "filled_amount")
 
 
-def _windowed(t, every):
-    keys = ["account_id", "account_type"]
-    stream = _snapshots(t)
+def _windowed(t, every, compact=False):
     out, state = scratch_path(t.spark, "windows"), scratch_path(t.spark, "windows-state")
-    _wait(jobs.write_updates(jobs.last_per_window(stream, keys, "total_eval_amt", every=every), out, state))
-    return jobs.read_updates(t.spark, out, [*keys, "window_start"])
+
+    def last(rows):
+        return jobs.last_per_window(rows, ["account_id", "account_type"], "total_eval_amt", every=every, tie="id")
+
+    _wait(jobs.write_partials(_snapshots(t), last, out, state))
+    if compact:
+        jobs.compact_partials(t.spark, out, last)
+    return jobs.read_partials(t.spark, out, last).drop("id")
 
 
 def _window_sql(grain):
     return ctes(SNAPS) + f"""
 SELECT account_id, account_type, date_trunc('{grain}', snapshot_at)::TIMESTAMP AS window_start, max(snapshot_at) AS snapshot_at,
-       arg_max(total_eval_amt, snapshot_at) AS total_eval_amt
+       arg_max(total_eval_amt, (snapshot_at, id)) AS total_eval_amt
 FROM snaps WHERE total_eval_amt IS NOT NULL GROUP BY account_id, account_type, date_trunc('{grain}', snapshot_at)"""
 
 
 @query("stream_daily_last_value", "K3 E1", _window_sql("day"), times="window_start snapshot_at")
 def _(t):
-    return _windowed(t, "1 day")
+    return _windowed(t, "1 day", compact=True)
 
 
 @query("stream_minute_last_value", "K3 M", _window_sql("minute"), times="window_start snapshot_at")
@@ -82,9 +94,14 @@ def _(t):
 
 
 @query("stream_duplicate_drop", "K4", """
-SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events""", dates="day")
+SELECT user_id, event_type, CAST(ts AS DATE) AS day, arg_min(event_id, (ts, event_id)) AS event_id FROM events
+GROUP BY user_id, event_type, CAST(ts AS DATE)""", dates="day")
 def _(t):
-    stream = _stream(t).select("user_id", "event_type", F.col("ts").cast("date").alias("day"), F.col("ts").cast("timestamp").alias("ts"))
+    stream = _stream(t).select("user_id", "event_type", F.col("ts").cast("date").alias("day"), "ts", "event_id")
     out, state = scratch_path(t.spark, "distinct"), scratch_path(t.spark, "distinct-state")
-    _wait(jobs.append_stream(jobs.drop_repeats(stream, ["user_id", "event_type", "day"], "ts"), out, state))
-    return t.spark.read.parquet(out).select("user_id", "event_type", "day")
+
+    def first(rows):
+        return jobs.first_per_key(rows, ["user_id", "event_type", "day"], ["ts", "event_id"])
+
+    _wait(jobs.write_partials(stream, first, out, state))
+    return jobs.read_partials(t.spark, out, first).select("user_id", "event_type", "day", "event_id")

@@ -1,95 +1,217 @@
-"""Column types and keys of the twelve stored tables."""
+"""Column types, keys and parts of the twelve stored tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-_STR, _LONG, _DBL = T.StringType(), T.LongType(), T.DoubleType()
-_BOOL, _DATE, _TS = T.BooleanType(), T.DateType(), T.TimestampNTZType()
-
-
-def _table(*columns: tuple[T.DataType, str]) -> T.StructType:
-    """`(type, "a! b c")` groups in column order; `!` marks a column that is never NULL."""
-    fields = []
-    for dtype, names in columns:
-        for name in names.split():
-            fields.append(T.StructField(name.rstrip("!"), dtype, nullable=not name.endswith("!")))
-    return T.StructType(fields)
-
-
-PRICE_HISTORY = _table(
-    (_STR, "symbol! exchange!"), (_DATE, "date!"), (_DBL, "open high low close"), (_LONG, "volume"),
-    (_BOOL, "adjusted"), (_TS, "created_at"),
-)
-
-EXCHANGE_RATE_HISTORY = _table(
-    (_STR, "currency!"), (_DATE, "date!"), (_STR, "period!"), (_DBL, "rate"), (_TS, "created_at"),
-)
-
-PORTFOLIO_SNAPSHOTS = _table(
-    (_STR, "id! account_id! account_type!"), (_TS, "snapshot_at!"), (_LONG, "total_eval_amt"),
-    (_STR, "balance_data"),
-)
-
-OVERSEAS_ASSET_SNAPSHOTS = _table(
-    (_STR, "id! account_id! account_type!"), (_TS, "snapshot_at!"),
-    (_LONG, "stock_eval_amt_krw cash_amt_krw total_asset_amt_krw"),
-    (_STR, "fx_data balance_data deposit_data"),
-)
-
-ASSET_OVERVIEW_SNAPSHOTS = _table(
-    (_STR, "id!"), (_TS, "snapshot_at!"), (_STR, "base_currency!"),
-    (_LONG, "domestic_eval_amt_krw overseas_stock_eval_amt_krw overseas_cash_amt_krw "
-            "overseas_total_asset_amt_krw total_eval_amt_krw"),
-    (_DBL, "domestic_pct overseas_pct overseas_stock_pct overseas_cash_pct"),
-    (_LONG, "domestic_direct_amt_krw overseas_direct_amt_krw overseas_indirect_amt_krw "
-            "cash_amt_krw unknown_amt_krw"),
-    (_STR, "allocation_data classification_summary overview_data"),
-)
-
-ASSET_HOLDING_SNAPSHOTS = _table(
-    (_STR, "id! overview_snapshot_id!"), (_TS, "snapshot_at!"),
-    (_STR, "account_label account_type symbol name market basis_category exposure_type "
-           "exposure_region asset_subtype confidence"),
-    (_DBL, "quantity"), (_LONG, "value_krw"), (_DBL, "value_foreign"), (_STR, "currency raw_data"),
-)
-
-INSTRUMENT_MASTER = _table(
-    (_STR, "symbol! market! standard_code name group_code etp_code idx_large_code idx_mid_code "
-           "idx_small_code raw_data"),
-    (_TS, "updated_at!"),
-)
-
-CLASSIFICATION_OVERRIDES = _table(
-    (_STR, "symbol! market! exposure_type! exposure_region asset_subtype reason"), (_TS, "updated_at!"),
-)
-
-TRADE_PROFIT_HISTORY = _table(
-    (_STR, "id! account_id! market_type!"), (_DATE, "start_date end_date"), (_TS, "fetched_at!"),
-    (_STR, "data"),
+from pyspark.sql.types import (
+    BooleanType,
+    DataType,
+    DateType,
+    DoubleType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampNTZType,
 )
 
-ORDER_HISTORY = _table(
-    (_STR, "id! account_id! account_product_code account_type! market_type!"),
-    (_DATE, "start_date end_date"), (_TS, "fetched_at!"), (_STR, "data"),
-)
-
-DOMESTIC_ORDERS = _table(
-    (_STR, "account_id! account_product_code! account_type!"), (_DATE, "order_date!"),
-    (_STR, "order_branch_no! order_no! original_order_no symbol symbol_name side_code side_name "
-           "order_type_code order_type_name order_time"),
-    (_LONG, "order_qty total_order_qty order_price avg_price filled_qty filled_amount pending_qty "
-            "cancel_confirm_qty rejected_qty"),
-    (_BOOL, "is_cancelled"), (_STR, "condition_name exchange_id_code order_orgno"),
-    (_TS, "first_seen_at! last_seen_at!"), (_STR, "last_source last_order_history_id raw_data"),
-)
-
-MARKET_CALENDAR = _table(
-    (_STR, "market!"), (_DATE, "trade_date!"), (_BOOL, "is_open!"),
-    (_STR, "open_time_local close_time_local timezone! source note raw_data"), (_TS, "updated_at!"),
-)
-
-TABLES: dict[str, T.StructType] = {
+STRING, LONG, DOUBLE = StringType(), LongType(), DoubleType()
+BOOLEAN, DATE, TIME = BooleanType(), DateType(), TimestampNTZType()
+
+
+def key(name: str, kind: DataType) -> StructField:
+    """A column that is never NULL."""
+    return StructField(name, kind, nullable=False)
+
+
+def col(name: str, kind: DataType) -> StructField:
+    return StructField(name, kind)
+
+
+PRICE_HISTORY = StructType([
+    key("symbol", STRING),
+    key("exchange", STRING),
+    key("date", DATE),
+    col("open", DOUBLE),
+    col("high", DOUBLE),
+    col("low", DOUBLE),
+    col("close", DOUBLE),
+    col("volume", LONG),
+    col("adjusted", BOOLEAN),
+    col("created_at", TIME),
+])
+
+EXCHANGE_RATE_HISTORY = StructType([
+    key("currency", STRING),
+    key("date", DATE),
+    key("period", STRING),
+    col("rate", DOUBLE),
+    col("created_at", TIME),
+])
+
+PORTFOLIO_SNAPSHOTS = StructType([
+    key("id", STRING),
+    key("account_id", STRING),
+    key("account_type", STRING),
+    key("snapshot_at", TIME),
+    col("total_eval_amt", LONG),
+    col("balance_data", STRING),
+])
+
+OVERSEAS_ASSET_SNAPSHOTS = StructType([
+    key("id", STRING),
+    key("account_id", STRING),
+    key("account_type", STRING),
+    key("snapshot_at", TIME),
+    col("stock_eval_amt_krw", LONG),
+    col("cash_amt_krw", LONG),
+    col("total_asset_amt_krw", LONG),
+    col("fx_data", STRING),
+    col("balance_data", STRING),
+    col("deposit_data", STRING),
+])
+
+ASSET_OVERVIEW_SNAPSHOTS = StructType([
+    key("id", STRING),
+    key("snapshot_at", TIME),
+    key("base_currency", STRING),
+    col("domestic_eval_amt_krw", LONG),
+    col("overseas_stock_eval_amt_krw", LONG),
+    col("overseas_cash_amt_krw", LONG),
+    col("overseas_total_asset_amt_krw", LONG),
+    col("total_eval_amt_krw", LONG),
+    col("domestic_pct", DOUBLE),
+    col("overseas_pct", DOUBLE),
+    col("overseas_stock_pct", DOUBLE),
+    col("overseas_cash_pct", DOUBLE),
+    col("domestic_direct_amt_krw", LONG),
+    col("overseas_direct_amt_krw", LONG),
+    col("overseas_indirect_amt_krw", LONG),
+    col("cash_amt_krw", LONG),
+    col("unknown_amt_krw", LONG),
+    col("allocation_data", STRING),
+    col("classification_summary", STRING),
+    col("overview_data", STRING),
+])
+
+ASSET_HOLDING_SNAPSHOTS = StructType([
+    key("id", STRING),
+    key("overview_snapshot_id", STRING),
+    key("snapshot_at", TIME),
+    col("account_label", STRING),
+    col("account_type", STRING),
+    col("symbol", STRING),
+    col("name", STRING),
+    col("market", STRING),
+    col("basis_category", STRING),
+    col("exposure_type", STRING),
+    col("exposure_region", STRING),
+    col("asset_subtype", STRING),
+    col("confidence", STRING),
+    col("quantity", DOUBLE),
+    col("value_krw", LONG),
+    col("value_foreign", DOUBLE),
+    col("currency", STRING),
+    col("raw_data", STRING),
+])
+
+MARKET_CALENDAR = StructType([
+    key("market", STRING),
+    key("trade_date", DATE),
+    key("is_open", BOOLEAN),
+    col("open_time_local", STRING),
+    col("close_time_local", STRING),
+    key("timezone", STRING),
+    col("source", STRING),
+    col("note", STRING),
+    col("raw_data", STRING),
+    key("updated_at", TIME),
+])
+
+INSTRUMENT_MASTER = StructType([
+    key("symbol", STRING),
+    key("market", STRING),
+    col("standard_code", STRING),
+    col("name", STRING),
+    col("group_code", STRING),
+    col("etp_code", STRING),
+    col("idx_large_code", STRING),
+    col("idx_mid_code", STRING),
+    col("idx_small_code", STRING),
+    col("raw_data", STRING),
+    key("updated_at", TIME),
+])
+
+CLASSIFICATION_OVERRIDES = StructType([
+    key("symbol", STRING),
+    key("market", STRING),
+    key("exposure_type", STRING),
+    col("exposure_region", STRING),
+    col("asset_subtype", STRING),
+    col("reason", STRING),
+    key("updated_at", TIME),
+])
+
+DOMESTIC_ORDERS = StructType([
+    key("account_id", STRING),
+    key("account_product_code", STRING),
+    key("account_type", STRING),
+    key("order_date", DATE),
+    key("order_branch_no", STRING),
+    key("order_no", STRING),
+    col("original_order_no", STRING),
+    col("symbol", STRING),
+    col("symbol_name", STRING),
+    col("side_code", STRING),
+    col("side_name", STRING),
+    col("order_type_code", STRING),
+    col("order_type_name", STRING),
+    col("order_time", STRING),
+    col("order_qty", LONG),
+    col("total_order_qty", LONG),
+    col("order_price", LONG),
+    col("avg_price", LONG),
+    col("filled_qty", LONG),
+    col("filled_amount", LONG),
+    col("pending_qty", LONG),
+    col("cancel_confirm_qty", LONG),
+    col("rejected_qty", LONG),
+    col("is_cancelled", BOOLEAN),
+    col("condition_name", STRING),
+    col("exchange_id_code", STRING),
+    col("order_orgno", STRING),
+    key("first_seen_at", TIME),
+    key("last_seen_at", TIME),
+    # What the stored observation was ordered by, so that an older one does not write over it.
+    col("last_observed_at", TIME),
+    col("last_observed_place", LONG),
+    col("last_source", STRING),
+    col("last_order_history_id", STRING),
+    col("raw_data", STRING),
+])
+
+ORDER_HISTORY = StructType([
+    key("id", STRING),
+    key("account_id", STRING),
+    col("account_product_code", STRING),
+    key("account_type", STRING),
+    key("market_type", STRING),
+    col("start_date", DATE),
+    col("end_date", DATE),
+    key("fetched_at", TIME),
+    col("data", STRING),
+])
+
+TRADE_PROFIT_HISTORY = StructType([
+    key("id", STRING),
+    key("account_id", STRING),
+    key("market_type", STRING),
+    col("start_date", DATE),
+    col("end_date", DATE),
+    key("fetched_at", TIME),
+    col("data", STRING),
+])
+
+TABLES: dict[str, StructType] = {
     "price_history": PRICE_HISTORY,
     "exchange_rate_history": EXCHANGE_RATE_HISTORY,
     "portfolio_snapshots": PORTFOLIO_SNAPSHOTS,
@@ -113,7 +235,7 @@ KEYS: dict[str, tuple[str, ...]] = {
     "instrument_classification_overrides": ("symbol", "market"),
 }
 
-# The column each table is split by on disk: its month (see `tables.month_of`). Others are small.
+# The column each table is split by on disk: its month (see `tables.part_of`).
 TIME_COLUMN: dict[str, str] = {
     "price_history": "date",
     "exchange_rate_history": "date",
@@ -125,3 +247,9 @@ TIME_COLUMN: dict[str, str] = {
     "order_history": "fetched_at",
     "trade_profit_history": "fetched_at",
 }
+# The others, by year of the day or by market.
+SPLIT_COLUMN: dict[str, str] = {
+    "market_calendar": "trade_date",
+    "instrument_master": "market",
+    "instrument_classification_overrides": "market",
+}

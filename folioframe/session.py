@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Without them Spark decodes only a few charsets, and stops at a byte that does not decode.
+KOREAN_CONF = ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")
+
 # Read by every job built with `build_session`. None of the operators depends on them for right results.
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -17,11 +20,13 @@ SESSION_CONF = {
     "spark.sql.sources.partitionOverwriteMode": "static",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    **dict.fromkeys(KOREAN_CONF, "true"),
 }
 
 
-# Temporary folders of local sessions, by application.
+# Temporary folders of local sessions, by application, and applications whose scratch folder is made.
 _LOCAL_ROOTS: dict[str, str] = {}
+_SCRATCH: set[str] = set()
 
 
 def build_session(app_name: str = "folioframe", **conf: str) -> SparkSession:
@@ -52,8 +57,17 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder; nothing is ever written to the same one twice."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder; nothing is ever written to the same one twice.
+
+    An application's scratch lies in one folder that goes when its driver ends."""
+    application = spark.conf.get("spark.app.id")
+    folder = f"{shared_root(spark)}/folioframe-{application}"
+    if application not in _SCRATCH:
+        _SCRATCH.add(application)
+        files, target = _located(spark, folder)
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
@@ -67,5 +81,21 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete a scratch path that is no longer needed; anything outside the shared folder is refused."""
     if not path.startswith(shared_root(spark) + "/"):
         raise ValueError(f"{path} is not under the shared folder")
+    delete_path(spark, path)
+
+
+def _located(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a table, wherever it is stored."""
+    files, target = _located(spark, path)
+    files.delete(target, True)
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the path ended well."""
+    files, target = _located(spark, f"{path}/_SUCCESS")
+    return files.exists(target)

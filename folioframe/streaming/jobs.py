@@ -1,26 +1,31 @@
-"""Incremental ingest, upsert, daily last value and duplicate removal.
+"""Incremental ingest, upsert, last value per window and duplicate removal.
 
-Every job checkpoints to a folder the caller names and can be stopped and resumed. Rows later than the
-watermark are dropped by the stateful jobs; a batch replay of the stored observations repairs that.
+Every job checkpoints to a folder the caller names and can be stopped and resumed. No result hangs on how the input is
+cut into batches or on the order in which batches come, and no row is too late: a batch leaves its own partial answer,
+under its number, and reading folds the partial answers by the time that the rows carry.
 """
 
 from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from folioframe.operators.merge import one_per_key
 from folioframe.operators.tables import rewrite
+from folioframe.session import delete_path
 
 ORDER_KEYS = ["account_id", "account_product_code", "order_date", "order_branch_no", "order_no"]
+BATCH = "batch"
 
 
 def read_files(spark: SparkSession, folder: str, schema: StructType, names: str = "*.parquet",
                files_per_batch: int = 1000) -> DataFrame:
-    """Parquet files as they arrive in a folder, those whose name matches `names`."""
+    """Parquet files as they arrive in a folder, those whose name matches `names`. The number of files only says
+    how much a batch reads."""
     return (
         spark.readStream.schema(schema).option("pathGlobFilter", names)
         .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
@@ -41,10 +46,11 @@ def upsert_stream(stream: DataFrame, root: str, table: str, merge: Callable[[Dat
                   checkpoint: str) -> StreamingQuery:
     """Merge each micro-batch into a stored table.
 
-    The merge keeps the latest row per key, so a batch that is run again after a failure leaves the same rows.
+    The merge decides by what the rows say, such as the time of observation that `merge.upsert_orders` stores, so
+    batches may come in any order and a batch run again after a failure leaves the same rows.
     """
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        rewrite(batch.sparkSession, root, table, batch, merge)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rewrite(batch.sparkSession, root, table, batch, merge, batch=f"{_name(checkpoint)}-{batch_id}")
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -52,55 +58,58 @@ def upsert_stream(stream: DataFrame, root: str, table: str, merge: Callable[[Dat
     )
 
 
-def _instant(utc: Column) -> Column:
-    """The instant of a zone-less UTC time: watermarks need one."""
-    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), utc).cast("timestamp")
+def _name(path: str) -> str:
+    return path.rstrip("/").rpartition("/")[2]
 
 
-def _utc(instant: Column) -> Column:
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+def last_per_window(rows: DataFrame, keys: list[str], value: str, time: str = "snapshot_at", every: str = "1 day",
+                    start: str | None = None, tie: str | None = None) -> DataFrame:
+    """Latest non-NULL value of each key and window among the rows of a batch, or among such partial answers.
 
+    `time` is zone-less and so are the windows; `start` shifts them (`15 hours` makes days of Seoul). Of one time the
+    row with the highest `tie` counts, or without one the highest value.
+    """
+    begun = F.window(F.col(time), every, startTime=start)["start"].alias("window_start")
+    kept = [*keys, "window_start", time, value, *([tie] if tie else [])]
+    seen = rows.filter(F.col(value).isNotNull())
+    if "window_start" not in rows.columns:
+        seen = seen.withColumn("window_start", begun)
+    return one_per_key(seen.select(*kept), (*keys, "window_start"), [time, tie or value])
 
-def last_per_window(stream: DataFrame, keys: list[str], value: str, time: str = "snapshot_at",
-                    every: str = "1 day", late: str = "1 hour", start: str | None = None) -> DataFrame:
-    """Latest value of each key and window. State holds one row per open key and window, not its snapshots.
 
-    `time` is zone-less UTC and so are the windows; `start` shifts them (`15 hours` makes days of Seoul).
-    """
-    return (
-        stream.filter(F.col(value).isNotNull()).withColumn("_at", _instant(F.col(time))).withWatermark("_at", late)
-        .groupBy(*keys, F.window("_at", every, startTime=start))
-        .agg(F.max("_at").alias("_at"), F.max_by(value, "_at").alias(value))
-        .select(*keys, _utc(F.col("window.start")).alias("window_start"), _utc(F.col("_at")).alias(time), value)
-    )
+def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The earliest row of each key, by `order`, among the rows of a batch or among such partial answers."""
+    return one_per_key(rows, tuple(keys), order, keep="first")
+
 
+def write_partials(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], out: str,
+                   checkpoint: str) -> StreamingQuery:
+    """Write `partial(batch)` of each micro-batch under its number; a batch run again replaces its own rows.
 
-def write_updates(aggregate: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write the changed rows of each micro-batch under its number; a batch run again replaces its own rows."""
+    No state is kept between batches."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        partial(batch).write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
 
     return (
-        aggregate.writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
 
 
-def read_updates(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """The newest row of each key among the written updates."""
-    rows = spark.read.parquet(out)
-    rest = [name for name in rows.columns if name not in (*keys, "batch")]
-    newest = F.max_by(F.struct(*rest), "batch").alias("_row")
-    return rows.groupBy(*keys).agg(newest).select(*keys, "_row.*")
-
+def read_partials(spark: SparkSession, out: str, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The answer over all batches so far: `fold` is the function that made the partial answers."""
+    return fold(spark.read.parquet(out).drop(BATCH))
 
-def drop_repeats(stream: DataFrame, keys: list[str], time: str, late: str = "1 day") -> DataFrame:
-    """First observation of each key; state is kept for as long as repeats may come."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
+def compact_partials(spark: SparkSession, out: str, fold: Callable[[DataFrame], DataFrame]) -> None:
+    """Fold the partial answers of all batches so far into one.
 
-def append_stream(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    return (
-        stream.writeStream.format("parquet").outputMode("append").option("path", out)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    The folded answer is written before the old ones go. Folding a row twice changes nothing, so a failure in
+    between does no harm, nor does a batch that is run again later.
+    """
+    old = sorted(row[0] for row in spark.read.parquet(out).select(BATCH).distinct().collect())
+    if len(old) > 1:
+        fold(spark.read.parquet(out).filter(F.col(BATCH).isin(old)).drop(BATCH)).write.mode("errorifexists").parquet(
+            f"{out}/{BATCH}={min(0, *old) - 1}")
+        for batch in old:
+            delete_path(spark, f"{out}/{BATCH}={batch}")

@@ -109,6 +109,56 @@ def test_rewrite_touches_only_the_months_it_must(spark, tmp_path):
     assert out == {"2024-01-01": 9.0, "2024-01-05": 5.0, "2024-02-01": 2.0}
 
 
+def test_rows_without_a_key_are_rejected_and_stored_ones_stay(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    bad = ("A", "KRX", None, 7.0, 7.0, 7.0, 7.0, 1, 3)
+    old = spark.createDataFrame([quote(1, 1.0, 1), bad], PRICE_IN)
+    # As an older version of the writer may have left it.
+    tables._laid_out(old, "price_history").write.partitionBy("month").parquet(f"{root}/price_history")
+    with pytest.raises(Exception, match="NULL in the key"):
+        tables.append(old, root, "price_history")
+    again = spark.createDataFrame([quote(1, 2.0, 1), bad, bad], PRICE_IN)
+    put = lambda: tables.insert(spark, root, "price_history", again, lambda target, new: merge.insert_prices(target, new, now(), ["seq"]))
+    assert (put(), put()) == (0, 0)
+    done = tables.rewrite(spark, root, "price_history", again, lambda target, new: merge.overwrite_adjusted(target, new, now(), ["seq"]))
+    assert done == tables.Written(processed=1, rejected=2)
+    assert sorted(map(str, [(r.date, r.close) for r in tables.read_table(spark, root, "price_history").collect()])) == [
+        "(None, 7.0)", "(datetime.date(2024, 1, 1), 2.0)"]
+
+
+@pytest.mark.parametrize("name", ["instrument_master", "market_calendar"])
+def test_a_swap_that_failed_is_finished_by_the_retry(spark, tmp_path, monkeypatch, name):
+    root = str(tmp_path / "tables")
+    if name == "instrument_master":
+        def rows(kind):
+            return spark.createDataFrame([(s, m, f"{kind} {s}", 1) for s in "ab" for m in ("KRX", "NYS")], "symbol STRING, market STRING, name STRING, seq INT")
+        put, value, update = merge.upsert_master, "name", rows("new").filter("market = 'KRX'")
+    else:
+        def rows(kind):
+            return spark.createDataFrame([("krx", dt.date(y, 1, 2), kind == "new", "Asia/Seoul", "s", 1) for y in (2023, 2024)],
+                                         "market STRING, trade_date DATE, is_open BOOLEAN, timezone STRING, source STRING, seq INT")
+        put, value, update = merge.upsert_calendar, "is_open", rows("new").filter("trade_date >= '2024-01-01'")
+    tables.append(rows("old").withColumn("updated_at", now()), root, name)
+    before = sorted(map(str, tables.read_table(spark, root, name).select(value).collect()))
+    def run():
+        return tables.rewrite(spark, root, name, update, lambda target, new: put(target, new, now(), ["seq"]), batch=f"t-{name}-{tmp_path.name}")
+    real = tables.swap
+    def broken(spark_, root_, name_, merged):
+        # The old parts are gone, and then the writer dies.
+        for part in (tmp_path / "tables" / name).glob("part=*"):
+            if part.name in ("part=p-KRX", "part=2024"):
+                session.delete_path(spark_, str(part))
+        raise RuntimeError("lost")
+    monkeypatch.setattr(tables, "swap", broken)
+    with pytest.raises(RuntimeError):
+        run()
+    monkeypatch.setattr(tables, "swap", real)
+    run()
+    after = sorted(map(str, tables.read_table(spark, root, name).select(value).collect()))
+    assert len(after) == len(before) and after != before
+    assert tables.read_table(spark, root, name).count() == rows("old").count()
+
+
 def test_reads_skip_the_files_of_other_months(spark, tmp_path):
     root = str(tmp_path / "tables")
     rows = [("A", "KRX", dt.date(2024, month, 1), 1.0, 1.0, 1.0, 1.0, 1, 1) for month in (1, 2, 3)]
@@ -216,11 +266,45 @@ def test_streams_resume_and_keep_the_newest(spark, tmp_path):
     schema = "account_id STRING, snapshot_at TIMESTAMP_NTZ, total_eval_amt LONG"
     def put(*rows):
         spark.createDataFrame([(a, dt.datetime(2024, 1, d, h), v) for a, d, h, v in rows], schema).coalesce(1).write.mode("append").parquet(source)
+    def last(rows):
+        return jobs.last_per_window(rows, ["account_id"], "total_eval_amt")
+    def answer():
+        return {(r.account_id, r.window_start.day): r.total_eval_amt for r in jobs.read_partials(spark, out, last).collect()}
     def run():
         stream = jobs.read_files(spark, source, spark.read.parquet(source).schema)
-        jobs.write_updates(jobs.last_per_window(stream, ["account_id"], "total_eval_amt"), out, state).awaitTermination()
-        return {(r.account_id, r.window_start.day): r.total_eval_amt for r in jobs.read_updates(spark, out, ["account_id", "window_start"]).collect()}
+        jobs.write_partials(stream, last, out, state).awaitTermination()
+        return answer()
     put(("a", 1, 9, 1), ("a", 1, 10, 2), ("b", 1, 9, 7))
     assert run() == {("a", 1): 2, ("b", 1): 7}
     put(("a", 1, 11, 3), ("a", 2, 9, 4))
     assert run() == {("a", 1): 3, ("a", 2): 4, ("b", 1): 7}
+    # A row of a month later, then one that comes a day late: neither is dropped.
+    put(("a", 30, 9, 5))
+    run()
+    put(("b", 1, 23, 8), ("a", 1, 8, 9))
+    assert run() == {("a", 1): 3, ("a", 2): 4, ("a", 30): 5, ("b", 1): 8}
+    jobs.compact_partials(spark, out, last)
+    assert len(list((tmp_path / "out").glob("batch=*"))) == 1
+    assert answer() == {("a", 1): 3, ("a", 2): 4, ("a", 30): 5, ("b", 1): 8}
+    put(("b", 1, 22, 1), ("c", 1, 1, 1))
+    assert run() == {("a", 1): 3, ("a", 2): 4, ("a", 30): 5, ("b", 1): 8, ("c", 1): 1}
+
+
+@pytest.mark.parametrize("files", [1, 10])
+def test_streamed_orders_and_firsts_do_not_hang_on_batches(spark, tmp_path, files):
+    source, root, out = (str(tmp_path / x) for x in ("in", "tables", "out"))
+    fields = "account_id STRING, account_product_code STRING, account_type STRING, order_date DATE, order_branch_no STRING, order_no STRING, filled_qty LONG, seen_at TIMESTAMP_NTZ, place INT"
+    def row(hour, filled, place=0):
+        return ("12345678", "01", "brokerage", dt.date(2026, 4, 23), "", "A-1", filled, dt.datetime(2026, 4, 23, hour), place)
+    for batch in ([row(12, 200), row(11, 5)], [row(9, 100)], [row(12, 300, 1), row(10, 7)]):
+        spark.createDataFrame(batch, fields).coalesce(1).write.mode("append").parquet(source)
+    tables.create(spark, root, "domestic_orders")
+    schema = spark.read.parquet(source).schema
+    jobs.upsert_stream(jobs.read_files(spark, source, schema, files_per_batch=files), root, "domestic_orders",
+                       lambda target, new: merge.upsert_orders(target, new, now()), str(tmp_path / "state")).awaitTermination()
+    assert [r.filled_qty for r in tables.read_table(spark, root, "domestic_orders").collect()] == [300]
+    def first(rows):
+        return jobs.first_per_key(rows, ["order_no"], ["seen_at", "place"])
+    jobs.write_partials(jobs.read_files(spark, source, schema, files_per_batch=files), first, out,
+                        str(tmp_path / "state2")).awaitTermination()
+    assert [r.filled_qty for r in jobs.read_partials(spark, out, first).collect()] == [100]
