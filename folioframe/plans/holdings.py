@@ -94,22 +94,40 @@ def exposure_amounts(classified: DataFrame, by: list[str]) -> DataFrame:
     return classified.groupBy(*by).agg(*exposure_sums())
 
 
+def account_key(values: DataFrame, holdings: DataFrame) -> str:
+    """What tells accounts apart: their id where both sides have it. Labels may be shared, as accounts that are not
+    configured go by their type."""
+    return "account_id" if "account_id" in values.columns and "account_id" in holdings.columns else "account_label"
+
+
+def owned(holdings: DataFrame, values: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Holdings of accounts that have a value, and the others: an overview walks the valued accounts, so a holding of
+    another one is a reject and counts nowhere."""
+    keys = [*by, account_key(values, holdings)]
+    valued = values.select(*keys).distinct()
+    return holdings.join(valued, keys, "left_semi"), holdings.join(valued, keys, "left_anti")
+
+
 def account_positions(values: DataFrame, classified: DataFrame, by: list[str]) -> DataFrame:
     """Per account its value, its holdings in all and per exposure, and the cash left over.
 
     Values and holdings are stacked and summed together: one shuffle after partial sums, and no join that a
-    large account could skew.
+    large account could skew. An account that has only holdings is left out.
     """
-    keys = [*by, "account_label"]
-    stacked = values.select(*keys, F.col("value_krw").alias("account_krw")).unionByName(
+    key = account_key(values, classified)
+    keys = [*by, key]
+    named = [*keys, *(["account_label"] if key != "account_label" else [])]
+    stacked = values.select(*named, F.col("value_krw").alias("account_krw")).unionByName(
         classified.select(*keys, "value_krw", "exposure_type"), allowMissingColumns=True
     )
+    label = [F.max("account_label").alias("account_label")] if key != "account_label" else []
     return stacked.groupBy(*keys).agg(
+        *label,
         F.coalesce(F.sum("account_krw"), F.lit(0)).alias("account_krw"),
         F.coalesce(F.sum("value_krw"), F.lit(0)).alias("holdings_krw"),
         F.count("account_krw").alias("accounts"),
         *exposure_sums("dom_"),
-    ).withColumn("residual_krw", residual(F.col("account_krw"), F.col("holdings_krw")))
+    ).filter("accounts > 0").withColumn("residual_krw", residual(F.col("account_krw"), F.col("holdings_krw")))
 
 
 def _text(value: str | None) -> Column:

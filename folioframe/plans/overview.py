@@ -46,6 +46,7 @@ class Overview(NamedTuple):
     charts: DataFrame
     top: DataFrame
     warnings: DataFrame
+    rejects: DataFrame
 
 
 def _zero(name: str) -> Column:
@@ -171,7 +172,7 @@ def account_split(positions: DataFrame, values: DataFrame, summary: DataFrame, b
     Positions and names come out of aggregates on the same keys, so they meet without another shuffle.
     """
     total = F.col("total_eval_amt_krw")
-    keys = [*by, "account_label"]
+    keys = [*by, "account_id" if "account_id" in positions.columns else "account_label"]
     names = values.groupBy(*keys).agg(F.max("display_name").alias("label"))
     shares = positions.join(names, keys).join(summary.select(*by, "total_eval_amt_krw"), by).select(
         *by, "account_label", "label", F.col("account_krw").alias("value_krw"),
@@ -217,9 +218,11 @@ def total_asset_overview(values: DataFrame, domestic: DataFrame, overseas: DataF
     """Domestic accounts and overseas account together.
 
     `values` is `holdings.account_values`; `domestic` the exploded holdings of the same snapshots with
-    account_label; `overseas`, `cash` and `rates` as in `overseas_valuation`. A missing overseas response is
-    an empty side: its amounts are 0 and the other totals stand.
+    account_label, and account_id where accounts may share a label; `overseas`, `cash` and `rates` as in
+    `overseas_valuation`. A missing overseas response is an empty side: its amounts are 0 and the other totals stand.
+    Domestic holdings of accounts without a value go to `rejects`.
     """
+    domestic, rejects = H.owned(domestic, values, by)
     classified = H.classify_holdings(domestic, master, overrides, words)
     valued = H.value_overseas(overseas, rates, by)
     positions = H.account_positions(values, classified, by)
@@ -232,7 +235,7 @@ def total_asset_overview(values: DataFrame, domestic: DataFrame, overseas: DataF
     )
     return Overview(
         summary, rows, account_split(positions, values, summary, by), charts(summary, by),
-        _top_holdings(valued, summary, by, top_n), H.warnings(classified, by),
+        _top_holdings(valued, summary, by, top_n), H.warnings(classified, by), rejects,
     )
 
 
