@@ -6,12 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _double(text: Column) -> Column:
+    """Double from plain number text. Java's type suffixes (`1d`, `5f`) are no part of a number."""
+    number = text.try_cast("double")
+    return F.when(~F.coalesce(text.rlike("[0-9.][dDfF]\\s*$"), F.lit(False)), number)
+
+
 def parse_number(text: Column) -> Column:
     """Double from text that may carry thousands commas, a dollar or a percent sign.
 
     The two usual marks for a missing number are told apart first: a failed cast costs far more than a test.
     """
-    return F.when(~text.isin("", "-"), F.translate(text, ",$%", "").try_cast("double"))
+    return F.when(~text.isin("", "-"), _double(F.translate(text, ",$%", "")))
 
 
 def parse_int(text: Column) -> Column:
@@ -30,12 +36,12 @@ def strict_int(text: Column) -> Column:
 
 
 def strict_float(text: Column) -> Column:
-    return F.translate(text, ",", "").try_cast("double")
+    return _double(F.translate(text, ",", ""))
 
 
 def lenient_int(text: Column) -> Column:
     """Whole part of number text with commas: `1,234.0` is 1234."""
-    return F.translate(text, ",", "").try_cast("double").try_cast("bigint")
+    return _double(F.translate(text, ",", "")).try_cast("bigint")
 
 
 def first_number(*texts: Column) -> Column:

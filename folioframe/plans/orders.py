@@ -67,8 +67,9 @@ def _as_responses(observations: DataFrame) -> DataFrame:
 
 
 def _per_day(spans: DataFrame) -> DataFrame:
-    """One row per day of each range, so that orders meet ranges by equality and no pairs are tried."""
-    return spans.withColumn("order_date", F.explode(F.sequence("start_date", "end_date")))
+    """One row per day of each range, so that orders meet ranges by equality and no pairs are tried. A range that
+    ends before it starts has no days."""
+    return spans.filter("start_date <= end_date").withColumn("order_date", F.explode(F.sequence("start_date", "end_date")))
 
 
 def serve(requests: DataFrame, observations: DataFrame, canonical: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -206,29 +206,34 @@ def _(t):
 
 
 def _cp949_lines(t, layout):
-    """Listing lines as raw bytes, the name in the Korean charset."""
-    t.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    try:
-        name = F.encode(F.concat(F.lit("한글 "), F.col("p_name")), "x-windows-949")
-        tail = F.concat(F.rpad(F.substring("p_brand", 7, 2), 2, " "), F.lit("1"), F.lpad(F.col("p_size").cast("string"), 4, "0"))
-        line = F.concat(
-            F.rpad(F.expr(symbol_sql("p_partkey")), 9, " ").cast("binary"),
-            F.rpad(F.concat(F.lit("KR"), F.col("p_partkey").cast("string")), 12, " ").cast("binary"),
-            name, F.rpad(tail, layout.tail, "x").cast("binary"),
-        )
-        return t.read("part").select(line.cast("string").alias("value"))
-    finally:
-        t.spark.conf.unset("spark.sql.legacy.javaCharsets")
+    """Listing lines as raw bytes, the name in the Korean charset; the tail's letters tell their place in it."""
+    masters.allow_korean(t.spark)
+    name = F.encode(F.concat(F.lit("한글 "), F.col("p_name")), "x-windows-949")
+    tail = F.concat(F.rpad(F.substring("p_brand", 7, 2), 2, " "), F.lit("1"), F.lpad(F.col("p_size").cast("string"), 4, "0"))
+    line = F.concat(
+        F.rpad(F.expr(symbol_sql("p_partkey")), 9, " ").cast("binary"),
+        F.rpad(F.concat(F.lit("KR"), F.col("p_partkey").cast("string")), 12, " ").cast("binary"),
+        name, F.rpad(tail, layout.tail, "abcdefghijklmnopqrstuvwxyz").cast("binary"),
+    )
+    return t.read("part").select(line.cast("string").alias("value"))
 
 
 @query("fixed_width_master_scan", "A9", f"""
-SELECT {symbol_sql('p_partkey')} AS symbol, 'KRX' AS market, concat('KR', CAST(p_partkey AS VARCHAR)) AS standard_code,
-       trim(concat('한글 ', p_name)) AS name, trim(substring(p_brand, 7, 2)) AS group_code, 'x' AS etp_code,
-       lpad(CAST(p_size AS VARCHAR), 4, '0') AS idx_large_code, 'xxxx' AS idx_mid_code, 'xxxx' AS idx_small_code FROM part""")
+SELECT listing, {symbol_sql('p_partkey')} AS symbol, 'KRX' AS market, concat('KR', CAST(p_partkey AS VARCHAR)) AS standard_code,
+       trim(concat('한글 ', p_name)) AS name, trim(substring(p_brand, 7, 2)) AS group_code,
+       CASE listing WHEN 'KOSPI' THEN 'p' WHEN 'KOSDAQ' THEN 'l' END AS etp_code,
+       CASE WHEN listing <> 'KONEX' THEN lpad(CAST(p_size AS VARCHAR), 4, '0') END AS idx_large_code,
+       CASE WHEN listing <> 'KONEX' THEN 'abcd' END AS idx_mid_code,
+       CASE WHEN listing <> 'KONEX' THEN 'efgh' END AS idx_small_code
+FROM part, (VALUES ('KOSPI'), ('KOSDAQ'), ('KONEX')) AS listings(listing)""")
 def _(t):
-    path = scratch_path(t.spark, "listing")
-    _cp949_lines(t, masters.LAYOUTS["KOSPI"]).write.text(path)
-    return masters.read_fixed_width_master(t.spark, path, "KOSPI").drop("raw_data")
+    read = None
+    for listing, layout in masters.LAYOUTS.items():
+        path = scratch_path(t.spark, f"listing-{listing}")
+        _cp949_lines(t, layout).write.text(path)
+        rows = masters.read_fixed_width_master(t.spark, path, listing).drop("raw_data").withColumn("listing", F.lit(listing))
+        read = rows if read is None else read.unionByName(rows)
+    return read
 
 
 @query("trading_calendar", "A10", ctes(CALENDAR) + "SELECT * FROM calendar", dates="trade_date")

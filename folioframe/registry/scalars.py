@@ -11,11 +11,12 @@ from folioframe.registry.core import ctes, query
 from folioframe.registry.standins import MASTER, OVERRIDES, PRICES, SNAPS, cents_sql
 from folioframe.sources import balances, dimensions
 
-_NUMBER = f"""CASE o_orderkey % 10
+_NUMBER = f"""CASE WHEN o_orderkey % 13 = 0 THEN concat(CAST(o_custkey AS VARCHAR(9)), 'd')
+    WHEN o_orderkey % 13 = 1 THEN concat(CAST(o_custkey AS VARCHAR(9)), '.5F ') ELSE CASE o_orderkey % 10
     WHEN 0 THEN '' WHEN 1 THEN '-' WHEN 2 THEN NULL WHEN 3 THEN concat('$1,', CAST(o_custkey % 900 + 100 AS VARCHAR(9)))
     WHEN 4 THEN concat(CAST(o_custkey AS VARCHAR(9)), '.5%') WHEN 5 THEN concat(' -', CAST(o_custkey AS VARCHAR(9)), ' ')
     WHEN 6 THEN 'n/a' WHEN 7 THEN concat(CAST(o_custkey AS VARCHAR(9)), ',000') WHEN 8 THEN '0'
-    ELSE concat(CAST(o_custkey AS VARCHAR(9)), '.0') END"""
+    ELSE concat(CAST(o_custkey AS VARCHAR(9)), '.0') END END"""
 _DAY = """CASE o_orderkey % 6 WHEN 0 THEN '20240230' WHEN 1 THEN '' WHEN 2 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10))
     WHEN 3 THEN NULL ELSE replace(CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)), '-', '') END"""
 _WORD = """CASE o_orderkey % 5 WHEN 0 THEN 'Y' WHEN 1 THEN 'n' WHEN 2 THEN '' WHEN 3 THEN 'maybe' ELSE NULL END"""

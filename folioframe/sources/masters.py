@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioframe.functions.text import blank_to_null
+from folioframe.session import KOREAN_CONF
 
 MASTER_COLUMNS = (
     "symbol", "market", "standard_code", "name", "group_code", "etp_code", "idx_large_code", "idx_mid_code",
@@ -34,62 +35,45 @@ def clean_master(staged: DataFrame) -> DataFrame:
 
 
 class Layout(NamedTuple):
-    """Fields at the end of each line as `name:width` words; `tail` is how many bytes they are taken from."""
+    """Where the master's codes lie at the end of each line: column, first byte, bytes, counted within the last
+    `tail` bytes."""
 
     tail: int
-    fields: str
+    fields: tuple[tuple[str, int, int], ...]
 
-    def widths(self) -> list[tuple[str, int]]:
-        return [(name, int(width)) for name, width in (word.split(":") for word in self.fields.split())]
 
-
-# Byte layouts of the three listing files.
+# Bytes of the codes in the three listing files.
 LAYOUTS = {
-    "KOSPI": Layout(228, """
-        group_code:2 market_cap_scale:1 idx_large_code:4 idx_mid_code:4 idx_small_code:4
-        is_manufacturing:1 is_low_liquidity:1 is_governance:1 is_kospi200_sector:1 is_kospi100:1
-        is_kospi50:1 is_krx:1 etp_code:1 is_elw:1 is_krx100:1 is_krx_auto:1 is_krx_semiconductor:1
-        is_krx_bio:1 is_krx_bank:1 is_spac:1 is_krx_energy_chemical:1 is_krx_steel:1 is_short_heat:1
-        is_krx_media_telecom:1 is_krx_construction:1 non1:1 is_krx_securities:1 is_krx_ship:1
-        is_krx_insurance:1 is_krx_transport:1 is_sri:1 base_price:9 trade_unit:5 after_hours_unit:5
-        is_halted:1 is_cleanup_trade:1 is_managed:1 market_warning:2 warning_notice:1
-        is_unfaithful_disclosure:1 is_backdoor_listing:1 lock_code:2 par_value_change_code:2
-        capital_increase_code:2 margin_rate:3 is_credit_allowed:1 credit_days:3 prev_volume:12
-        par_value:12 listed_at:8 listed_shares:15 capital:21 closing_month:2 ipo_price:7
-        preferred_stock:1 is_short_sell_heat:1 is_abnormal_surge:1 is_krx300:1 is_kospi:1 sales:9
-        operating_profit:9 ordinary_profit:9 net_profit:5 roe:9 base_year_month:8 market_cap:9
-        group_company_code:3 is_credit_limit_exceeded:1 is_collateral_loan_allowed:1
-        is_stock_loan_allowed:1
-    """),
-    "KOSDAQ": Layout(222, """
-        group_code:2 market_cap_scale:1 idx_large_code:4 idx_mid_code:4 idx_small_code:4 is_venture:1
-        is_low_liquidity:1 is_krx:1 etp_code:1 is_krx100:1 is_krx_auto:1 is_krx_semiconductor:1
-        is_krx_bio:1 is_krx_bank:1 is_spac:1 is_krx_energy_chemical:1 is_krx_steel:1 is_short_heat:1
-        is_krx_media_telecom:1 is_krx_construction:1 is_investment_caution:1 is_krx_securities:1
-        is_krx_ship:1 is_krx_insurance:1 is_krx_transport:1 is_kosdaq150:1 base_price:9 trade_unit:5
-        after_hours_unit:5 is_halted:1 is_cleanup_trade:1 is_managed:1 market_warning:2
-        warning_notice:1 is_unfaithful_disclosure:1 is_backdoor_listing:1 lock_code:2
-        par_value_change_code:2 capital_increase_code:2 margin_rate:3 is_credit_allowed:1 credit_days:3
-        prev_volume:12 par_value:12 listed_at:8 listed_shares:15 capital:21 closing_month:2 ipo_price:7
-        preferred_stock:1 is_short_sell_heat:1 is_abnormal_surge:1 is_krx300:1 sales:9
-        operating_profit:9 ordinary_profit:9 net_profit:5 roe:9 base_year_month:8 market_cap:9
-        group_company_code:3 is_credit_limit_exceeded:1 is_collateral_loan_allowed:1
-        is_stock_loan_allowed:1
-    """),
-    "KONEX": Layout(184, """
-        group_code:2 base_price:9 trade_unit:5 after_hours_unit:5 is_halted:1 is_cleanup_trade:1
-        is_managed:1 market_warning:2 warning_notice:1 is_unfaithful_disclosure:1 is_backdoor_listing:1
-        lock_code:2 par_value_change_code:2 capital_increase_code:2 margin_rate:3 is_credit_allowed:1
-        credit_days:3 prev_volume:12 par_value:12 listed_at:8 listed_shares:15 capital:21
-        closing_month:2 ipo_price:7 preferred_stock:1 is_short_sell_heat:1 is_abnormal_surge:1
-        is_krx300:1 sales:9 operating_profit:9 ordinary_profit:9 net_profit:5 roe:9 base_year_month:8
-        market_cap:9 is_credit_limit_exceeded:1 is_collateral_loan_allowed:1 is_stock_loan_allowed:1
-    """),
+    "KOSPI": Layout(228, (
+        ("group_code", 0, 2),
+        ("idx_large_code", 3, 4),
+        ("idx_mid_code", 7, 4),
+        ("idx_small_code", 11, 4),
+        ("etp_code", 22, 1),
+    )),
+    "KOSDAQ": Layout(222, (
+        ("group_code", 0, 2),
+        ("idx_large_code", 3, 4),
+        ("idx_mid_code", 7, 4),
+        ("idx_small_code", 11, 4),
+        ("etp_code", 18, 1),
+    )),
+    "KONEX": Layout(184, (
+        ("group_code", 0, 2),
+    )),
 }
 
 _SYMBOL_BYTES, _STANDARD_BYTES = 9, 12
 
 
+def allow_korean(spark: SparkSession) -> None:
+    """Let the session decode the Korean charset, leniently. Sessions of `build_session` do so from the start; in
+    another one the settings are made once and stay, so that no plan built meanwhile sees them change back."""
+    for key in KOREAN_CONF:
+        if spark.conf.get(key) != "true":
+            spark.conf.set(key, "true")
+
+
 def _cp949(blob: Column) -> Column:
     """Text of CP949 bytes; bytes that do not decode are dropped."""
     return F.trim(F.replace(F.decode(blob, "x-windows-949"), F.lit("�"), F.lit("")))
@@ -100,22 +84,9 @@ def parse_fixed_width(lines: DataFrame, layout: Layout, line: str = "value",
     """Master rows of fixed-width lines, cut by byte offset from raw bytes.
 
     A line is a 9-byte symbol, a 12-byte standard code, a name of any length and the layout's tail, counted
-    from the line end. `raw_data` holds every field of the row as JSON.
+    from the line end. `raw_data` holds the columns and the whole tail as JSON.
     """
-    spark = lines.sparkSession
-    conf = {"spark.sql.legacy.javaCharsets": "true", "spark.sql.legacy.codingErrorAction": "true"}
-    saved = {key: spark.conf.get(key) for key in conf}
-    try:
-        # The Korean charset and the lenient decoding are fixed in the expressions as the plan is built.
-        for key, value in conf.items():
-            spark.conf.set(key, value)
-        return _fixed_width_rows(lines, layout, line, market)
-    finally:
-        for key, value in saved.items():
-            spark.conf.set(key, value)
-
-
-def _fixed_width_rows(lines: DataFrame, layout: Layout, line: str, market: str) -> DataFrame:
+    allow_korean(lines.sparkSession)
     blob = F.col("_blob")
     carried = [name for name in lines.columns if name != line]
     head_end = F.octet_length(blob) - F.lit(layout.tail)
@@ -132,12 +103,11 @@ def _fixed_width_rows(lines: DataFrame, layout: Layout, line: str, market: str)
         "name": piece(F.lit(name_from + 1), head_end - F.lit(name_from)),
     }
     tail_from = F.greatest(head_end, F.lit(0))
-    offset = 0
-    for field, width in layout.widths():
-        columns[field] = piece(tail_from + F.lit(offset + 1), F.lit(width))
-        offset += width
+    for field, first, width in layout.fields:
+        columns[field] = piece(tail_from + F.lit(first + 1), F.lit(width))
     for field in MASTER_COLUMNS:
         columns.setdefault(field, F.lit(None).cast("string"))
+    columns["tail"] = piece(tail_from + F.lit(1), F.lit(layout.tail))
 
     # No string function may touch the line before the cut: its bytes are not UTF-8.
     rows = lines.withColumn("_blob", F.col(line).cast("binary")).select(*carried, *[col.alias(name) for name, col in columns.items()])

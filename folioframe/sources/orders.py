@@ -17,6 +17,9 @@ TEXT_FIELDS = {
     "order_type_code": ("ord_dvsn_cd",),
     "order_type_name": ("ord_dvsn_name",),
     "order_time": ("ord_tmd",),
+    "condition_name": ("ccld_cndt_name",),
+    "exchange_id_code": ("excg_id_dvsn_cd", "excg_id_dvsn_Cd", "excg_dvsn_cd"),
+    "order_orgno": ("ord_orgno",),
 }
 NUMBER_FIELDS = {
     "order_qty": ("ord_qty",),
@@ -29,18 +32,13 @@ NUMBER_FIELDS = {
     "cancel_confirm_qty": ("cnc_cfrm_qty",),
     "rejected_qty": ("rjct_qty",),
 }
-TAIL_FIELDS = {
-    "condition_name": ("ccld_cndt_name",),
-    "exchange_id_code": ("excg_id_dvsn_cd", "excg_id_dvsn_Cd", "excg_dvsn_cd"),
-    "order_orgno": ("ord_orgno",),
-}
 
 _IDENTITY = ("account_id", "account_product_code", "account_type")
 NUMBER, DATE, BRANCH, CANCELLED = "odno", "ord_dt", "ord_gno_brno", "cncl_yn"
 IDENTITY_MEMBERS = payload.all_spellings(NUMBER, DATE)
 ORDER_MEMBERS = payload.all_spellings(
     NUMBER, DATE, BRANCH, CANCELLED,
-    *[name for fields in (TEXT_FIELDS, NUMBER_FIELDS, TAIL_FIELDS) for names in fields.values() for name in names],
+    *[name for fields in (TEXT_FIELDS, NUMBER_FIELDS) for names in fields.values() for name in names],
 )
 
 
@@ -68,7 +66,6 @@ def _candidates(responses: DataFrame, source: Column) -> DataFrame:
         *texts(TEXT_FIELDS),
         *[numbers.strict_int(row.pick(*names)).alias(column) for column, names in NUMBER_FIELDS.items()],
         text.yes_no(row.pick(CANCELLED)).alias("is_cancelled"),
-        *texts(TAIL_FIELDS),
         source.alias("last_source"),
         F.col("observation_id").alias("last_order_history_id"),
         F.col("_text").alias("raw_data"),

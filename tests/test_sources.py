@@ -73,11 +73,12 @@ def test_times_render_like_iso(spark):
 def test_layouts_fit_their_tail(listing, tail):
     layout = masters.LAYOUTS[listing]
     assert layout.tail == tail
-    assert sum(width for _, width in layout.widths()) <= tail
+    ends = [first + width for _, first, width in layout.fields]
+    assert max(ends) <= tail and all(first >= end for (_, first, _), end in zip(layout.fields[1:], ends))
 
 
 def test_fixed_width_lines_are_cut_by_bytes(spark, tmp_path):
-    layout = masters.Layout(4, "group_code:2 etp_code:2")
+    layout = masters.Layout(4, (("group_code", 0, 2), ("etp_code", 2, 2)))
     line = b"123456789" + b"STD123456789" + "한글ETF".encode("cp949") + b"FE01"
     blank = b" " * 9 + b"STD000000000" + b"none" + b"FE01"
     broken = b"A0000001 " + b"STD000000001" + b"ab\xff" + b"EF02"
@@ -85,7 +86,8 @@ def test_fixed_width_lines_are_cut_by_bytes(spark, tmp_path):
     out = masters.parse_fixed_width(spark.read.text(str(tmp_path / "list.mst")), layout).orderBy("symbol").collect()
     assert [(r.symbol, r.standard_code, r.name, r.group_code, r.etp_code) for r in out] == [
         ("123456789", "STD123456789", "한글ETF", "FE", "01"), ("A0000001", "STD000000001", "ab", "EF", "02")]
-    assert json.loads(out[0].raw_data)["name"] == "한글ETF"
+    raw = json.loads(out[0].raw_data)
+    assert raw["name"] == "한글ETF" and raw["tail"] == "FE01"
 
 
 def test_account_types(spark):
