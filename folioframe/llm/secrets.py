@@ -264,6 +264,20 @@ def windows(text: str, picked: float) -> tuple[np.ndarray, np.ndarray] | None:
     return index[low:low + WINDOW], tags[low:low + WINDOW]
 
 
+# Features of a token's surroundings, which a copy of each training window goes without.
+CONTEXT = ("shape", "previous", "next", "before", "after", "text_length", "text_marks")
+
+
+def blurred(index: np.ndarray) -> np.ndarray:
+    """The window with its surroundings unknown, so that a secret's own looks are learned too, not only the words it
+    was found beside."""
+    out = index.copy()
+    for name in CONTEXT:
+        at = list(RANGES).index(name)
+        out[:, at] = OFFSETS[at]
+    return out
+
+
 def fit(documents: DataFrame, fit_rows: int = 12_000) -> Field:
     """Learn from one window of each of about `fit_rows` texts at most, chosen by a hash of the text.
 
@@ -288,13 +302,18 @@ def fit(documents: DataFrame, fit_rows: int = 12_000) -> Field:
                 pa.array([int(p * (1 << 30)) for _, p in kept], pa.int64())], names=["index", "tags", "key"])
 
     rows = sample.mapInArrow(cut, schema).dropDuplicates(["key", "tags"]).orderBy("key").collect()
-    index = np.zeros((len(rows), WINDOW, len(RANGES)), np.int32)
-    tags = np.full((len(rows), WINDOW), -1, np.int8)
-    for i, row in enumerate(rows):
-        t = np.frombuffer(row["tags"], np.int8)
-        tags[i, :len(t)] = t
-        index[i, :len(t)] = np.frombuffer(row["index"], np.int32).reshape(len(t), -1)
-    return train(index, tags)
+    return train(*padded([(np.frombuffer(r["index"], np.int32).reshape(-1, len(RANGES)),
+                           np.frombuffer(r["tags"], np.int8)) for r in rows]))
+
+
+def padded(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and their blurred copies as two arrays of one length, tags -1 past a window's end."""
+    index = np.zeros((2 * len(found), WINDOW, len(RANGES)), np.int32)
+    tags = np.full((2 * len(found), WINDOW), -1, np.int8)
+    for i, (window, marks) in enumerate(found):
+        for k, values in ((i, window), (len(found) + i, blurred(window))):
+            index[k, :len(marks)], tags[k, :len(marks)] = values, marks
+    return index, tags
 
 
 def find_in(field: Field, texts: list[str]) -> dict[str, list]:

@@ -134,3 +134,25 @@ def test_awkward_rows_and_clashing_columns(spark):
 def test_empty_table(spark):
     nothing = documents(spark, [(1, "x")]).filter(F.lit(False))
     assert secrets.find(nothing, ["doc_id"]).collect() == [] and secrets.redact(nothing).collect() == []
+
+
+def test_looks_learned_from_the_rules_find_what_the_rules_miss(spark):
+    rng = random.Random(8)
+
+    def word():
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+
+    def hexes(n):
+        return "".join(rng.choice("0123456789abcdef") for _ in range(n))
+
+    rows = []
+    for i in range(240):
+        words = [word() for _ in range(30)]
+        words[rng.randrange(30)] = rng.choice([f"password={hexes(20)}", f'token = "{hexes(24)}"', str(rng.randrange(10**9)), word()])
+        rows.append((i, " ".join(words)))
+    text = f"{word()} {word()} passphrase {hexes(20)} {word()} 1234567890 {word()}"
+    start = text.index("passphrase ") + len("passphrase ")
+    found = {r["doc_id"]: r for r in secrets.find(documents(spark, [*rows, (999, text)]), ["doc_id"]).collect()}
+    assert found[999]["base"] == [] and [(s["start"], s["end"]) for s in found[999]["learned"]] == [(start, start + 20)]
+    clean = [i for i, t in rows if not plain_secrets(t)]
+    assert sum(bool(found[i]["learned"]) for i in clean) == 0
