@@ -109,7 +109,7 @@ def build_rings(vectors: DataFrame, pivots: dict[int, np.ndarray], k: int, every
                 [batch.column(0), batch.column(1), pa.array(sizes), pa.array(pivot), pa.array(distance)],
                 names=["vec_id", "x", "dimension", "pivot", "distance"])
 
-    keyed = stored(vectors.mapInArrow(
+    keyed = stored(vectors.distinct().mapInArrow(
         assign, "vec_id bigint, x array<double>, dimension int, pivot int, distance double"), "topk-keyed")
     count = max(1, -(-keyed.count() // ring))
     dealt = keyed.repartitionByRange(count, "dimension", "pivot", "distance", "vec_id").sortWithinPartitions(
@@ -182,7 +182,7 @@ def search(embeddings: DataFrame, k: int = K, every: int = EVERY, pivots: int =
     usable = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"),
                                F.col("embedding").cast("array<double>").alias("x")).filter(
         F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall(
-            "x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))).distinct()
+            "x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))))
     places = choose_pivots(usable, pivots, sample)
     rings = build_rings(usable, places, k, every, ring)
     asking = rings.filter("q_count > 0").select(
