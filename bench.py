@@ -21,7 +21,8 @@ HEADLINE = (
     "total_asset_overview", "overview_holdings", "domestic_holding_rows", "canonical_order_rows", "upsert_orders",
     "insert_absent_prices", "overwrite_adjusted_prices", "upsert_master", "collection_gate",
     "order_collection_outcomes", "order_history_rows", "latest_raw_observation", "trading_calendar",
-    "price_coverage",
+    "price_coverage", "stream_order_upsert", "stream_daily_last_value", "stream_duplicate_drop", "stored_order_merge",
+    "stored_calendar_merge", "stored_master_merge", "replayed_orders", "parquet_reload",
 )
 
 

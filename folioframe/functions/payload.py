@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from folioframe.functions.text import blank_to_null
 
 _TEXTS = T.ArrayType(T.StringType())
+# A member whose value may be the number 0, told before anything is parsed for it.
+_MAYBE_ZERO = r":\s*-?0[0.eE+-]*\s*[,}]"
 _MAP = T.MapType(T.StringType(), T.StringType())
 
 
@@ -53,6 +55,12 @@ def is_object(value: Column) -> Column:
     return F.schema_of_variant(value).startswith("OBJECT")
 
 
+def is_zero(value: Column) -> Column:
+    """Whether a variant is the number 0; false for NULL."""
+    number = value.try_cast("double") == 0
+    return F.coalesce(number & ~F.schema_of_variant(value).isin("STRING", "BOOLEAN"), F.lit(False))
+
+
 def length(array: Column) -> Column:
     """Size of an array, 0 for NULL."""
     return F.when(array.isNull(), 0).otherwise(F.size(array))
@@ -70,10 +78,12 @@ def spellings(name: str) -> tuple[str, ...]:
 class Members:
     """The members of a JSON object that a reader wants, and access to them once parsed.
 
-    Names may differ in case alone. Those in `typed` keep the JSON type of their value, for `nonzero`.
+    Names may differ in case alone. Those in `typed` keep the JSON type of their value, for `nonzero`. With
+    `zero_is_missing` a JSON number 0 counts as missing in all members, while the text "0" does not.
     """
 
-    def __init__(self, *names: str, typed: tuple[str, ...] = ()):
+    def __init__(self, *names: str, typed: tuple[str, ...] = (), zero_is_missing: bool = False):
+        self._zero_is_missing = zero_is_missing
         wanted = dict.fromkeys((*names, *typed))
         self._place = {name: f"m{i}" for i, name in enumerate(wanted)}
         kinds = {name: T.VariantType() if name in typed else T.StringType() for name in wanted}
@@ -82,7 +92,21 @@ class Members:
 
     def parse(self, text: Column) -> Column:
         # Spark resolves struct fields without regard to case; the cast gives each a name of its own.
-        return F.from_json(text, self._schema).cast(self._unique)
+        row = F.from_json(text, self._schema).cast(self._unique)
+        if not self._zero_is_missing:
+            return row
+        kinds = {field.name: T.VariantType() for field in self._schema.fields}
+        variants = T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+        unique = T.StructType([T.StructField(self._place[name], kind) for name, kind in kinds.items()])
+        # Only an object that may hold a number 0 is parsed a second time, with its types.
+        typed = F.when(text.rlike(_MAYBE_ZERO), F.from_json(text, variants).cast(unique))
+
+        def kept(pair: Column) -> Column:
+            fields = [F.when(~is_zero(pair["typed"][name]), pair["row"][name]).alias(name)
+                      for name in self._place.values()]
+            return F.when(pair["typed"].isNull(), pair["row"]).otherwise(F.struct(*fields))
+
+        return once(F.struct(row.alias("row"), typed.alias("typed")), kept)
 
     def explode(self, df: DataFrame, texts: Column) -> DataFrame:
         """One row per object among the texts, with `_place`, its raw `_text` and the parsed `_row`.
@@ -112,5 +136,5 @@ class Members:
 
 
 def all_spellings(*names: str) -> Members:
-    """Members for `pick`."""
-    return Members(*[form for name in names for form in spellings(name)])
+    """Members for `pick`, in which a number 0 counts as missing."""
+    return Members(*[form for name in names for form in spellings(name)], zero_is_missing=True)

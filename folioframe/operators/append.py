@@ -40,7 +40,11 @@ def overseas_snapshots(rows: DataFrame, at: Column | None = None) -> DataFrame:
 
 
 def overview_snapshots(summary: DataFrame, at: Column | None = None) -> DataFrame:
-    """Flat amounts of overview summaries plus allocation, classification and the whole summary as JSON."""
+    """Flat amounts of overview summaries plus allocation, classification and the whole overview as JSON.
+
+    The last two come from the columns `classification` and `document` of `overview.documents`; a bare summary gives
+    its exposure amounts and itself.
+    """
     shares = ["domestic_pct", "overseas_pct", "overseas_stock_pct", "overseas_cash_pct"]
     exposures = [name for name in summary.columns if name in (
         "domestic_direct_amt_krw", "overseas_direct_amt_krw", "overseas_indirect_amt_krw", "cash_amt_krw",
@@ -48,8 +52,10 @@ def overview_snapshots(summary: DataFrame, at: Column | None = None) -> DataFram
     rows = summary.withColumns({
         "base_currency": F.lit("KRW"),
         "allocation_data": encode_json(F.struct(*shares)),
-        "classification_summary": encode_json(F.struct(*exposures)),
-        "overview_data": encode_json(F.struct(*summary.columns)),
+        "classification_summary": F.col("classification") if "classification" in summary.columns
+        else encode_json(F.struct(*exposures)),
+        "overview_data": F.col("document") if "document" in summary.columns
+        else encode_json(F.struct(*summary.columns)),
     })
     return _stamped(rows, "asset_overview_snapshots", "snapshot_at", at)
 

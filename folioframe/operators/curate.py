@@ -40,12 +40,17 @@ def day_of(df: DataFrame, time: str = "snapshot_at") -> Column:
     return F.col("snap_date") if "snap_date" in df.columns else F.col(time).cast("date").alias("snap_date")
 
 
+def _month(df: DataFrame) -> list[str]:
+    """The month that a stored table is split by, kept with the day it follows from so that lookbacks prune files."""
+    return [name for name in ("month",) if name in df.columns]
+
+
 def portfolio_daily(snapshots: DataFrame, tie_breaker: str | None = "id") -> DataFrame:
     """Last valued snapshot of each account and day."""
     columns = [name for name in ("total_eval_amt", "balance_data") if name in snapshots.columns]
     return last_values(
         snapshots.filter(F.col("total_eval_amt").isNotNull()),
-        ["account_id", "account_type", day_of(snapshots)],
+        ["account_id", "account_type", day_of(snapshots), *_month(snapshots)],
         columns, tie_breaker=tie_breaker, never_null=("total_eval_amt",),
     )
 
@@ -54,7 +59,7 @@ def overview_daily(snapshots: DataFrame, tie_breaker: str | None = "id") -> Data
     """Last total-asset overview of each day, column by column."""
     columns = [name for name in OVERVIEW_COLUMNS if name in snapshots.columns]
     return last_values(
-        snapshots.filter(F.col("total_eval_amt_krw").isNotNull()), [day_of(snapshots)], columns,
+        snapshots.filter(F.col("total_eval_amt_krw").isNotNull()), [day_of(snapshots), *_month(snapshots)], columns,
         tie_breaker=tie_breaker, never_null=("total_eval_amt_krw",),
     )
 

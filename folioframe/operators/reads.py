@@ -11,6 +11,7 @@ from folioframe.functions import limits
 from folioframe.operators import rank
 
 Day = dt.date | str
+MONTH = "month"
 
 
 def as_day(value: Day) -> dt.date:
@@ -90,27 +91,32 @@ def orders(canonical: DataFrame, account_id: str, product_code: str, start: Day,
     return newest_first(rows)
 
 
-def latest_observations(observations: DataFrame, requests: DataFrame) -> DataFrame:
-    """For each request, the raw observation that serves it.
+def latest_observations(observations: DataFrame, requests: DataFrame, payload: bool = True) -> DataFrame:
+    """For each request, the raw observation that serves it, with its `data` unless `payload` is false.
 
     `requests` holds account_id, account_product_code, market_type, start_date and end_date; `observations`
     is the raw order history. Dates must match exactly. An observation of the same product is preferred to
     one without a product; then the latest, then the highest id. Requests without one are left out.
     """
     span = ["account_id", "market_type", "start_date", "end_date"]
-    newest = observations.groupBy(*span, "account_product_code").agg(
-        F.max_by(F.struct("id", "account_type", "fetched_at", "data"), F.struct("fetched_at", "id")).alias("_obs")
-    )
     asked = requests.select(*span, "account_product_code").distinct()
+    # Only what is asked for is looked at, and the winners are found without their payloads.
+    wanted = observations.join(asked.select(*span).distinct(), span, "left_semi")
+    newest = wanted.groupBy(*span, "account_product_code").agg(
+        F.max(F.struct("fetched_at", "id", "account_type")).alias("_obs")
+    )
     product = F.col("newest.account_product_code")
     # At most two candidates a request are left: its own product's and the one without.
     found = asked.alias("asked").join(newest.alias("newest"), span).filter(
         product.isNull() | (product == F.col("asked.account_product_code"))
     ).select(*span, F.col("asked.account_product_code"), product.isNotNull().alias("_exact"), "_obs")
-    best = F.max_by("_obs", "_exact").alias("_obs")
-    return found.groupBy(*span, "account_product_code").agg(best).select(
-        *span, "account_product_code", "_obs.*"
+    best = F.max(F.struct("_exact", "_obs")).alias("_best")
+    winners = found.groupBy(*span, "account_product_code").agg(best).select(
+        *span, "account_product_code", "_best._obs.id", "_best._obs.account_type", "_best._obs.fetched_at"
     )
+    if not payload:
+        return winners
+    return winners.join(observations.select("id", "data"), "id")
 
 
 def calendar_entry(calendar: DataFrame, market: str, day: Day) -> DataFrame:
@@ -149,5 +155,8 @@ def since(as_of: Day | Column | None, days: int) -> Column:
 
 
 def lookback(daily: DataFrame, as_of: Day | Column | None, days: int) -> DataFrame:
-    """Rows of the last `days` days."""
-    return daily.filter(F.col("snap_date") >= since(as_of, limits.lookback(days)))
+    """Rows of the last `days` days. Rows of a table split by month are also filtered by month, which spares the
+    files of earlier ones."""
+    first = since(as_of, limits.lookback(days))
+    rows = daily.filter(F.col("snap_date") >= first)
+    return rows.filter(F.col(MONTH) >= F.date_format(first, "yyyy-MM")).drop(MONTH) if MONTH in daily.columns else rows

@@ -173,13 +173,19 @@ def overseas_rows(valued: DataFrame, by: list[str]) -> DataFrame:
     }).select(*by, *HOLDING_COLUMNS)
 
 
-def overseas_cash_rows(summary: DataFrame, by: list[str]) -> DataFrame:
-    """A cash holding for every overview with overseas cash."""
+def overseas_cash_rows(summary: DataFrame, by: list[str], deposits: DataFrame | None = None) -> DataFrame:
+    """A cash holding for every overview with overseas cash, and the raw deposit it was read from, if `deposits`
+    holds `by` and `deposit_data`."""
     label = F.col("overseas_account_label")
-    return summary.filter(F.col("overseas_cash_amt_krw") > 0).select(
+    rows = summary.filter(F.col("overseas_cash_amt_krw") > 0)
+    raw = _text(None)
+    if deposits is not None:
+        rows = rows.join(deposits.groupBy(*by).agg(F.min("deposit_data").alias("_deposit")), by, "left")
+        raw = F.col("_deposit")
+    return rows.select(
         *by, label.alias("account_label"), label.alias("account_type"),
         *_cash_columns(OVERSEAS_CASH, "FX", "global", F.col("overseas_cash_amt_krw")),
-        _text(None).alias("raw_data"),
+        raw.alias("raw_data"),
     )
 
 

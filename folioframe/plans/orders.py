@@ -79,8 +79,8 @@ def serve(requests: DataFrame, observations: DataFrame, canonical: DataFrame) ->
     covered when an observation of exactly its range is stored; coverage is `ok` or `cache_miss`, with the
     observation used. Orders carry the request's range.
     """
-    found = reads.latest_observations(observations, requests).select(*_SPAN, F.col("id").alias("snapshot_id"),
-                                                                     "fetched_at")
+    found = reads.latest_observations(observations, requests, payload=False).select(
+        *_SPAN, F.col("id").alias("snapshot_id"), "fetched_at")
     coverage = requests.select(*_SPAN).distinct().join(found, _SPAN, "left").withColumn(
         "status", F.when(F.col("snapshot_id").isNotNull(), "ok").otherwise("cache_miss")
     )

@@ -214,13 +214,14 @@ def charts(summary: DataFrame, by: list[str]) -> DataFrame:
 
 def total_asset_overview(values: DataFrame, domestic: DataFrame, overseas: DataFrame, cash: DataFrame,
                          rates: DataFrame, master: DataFrame, overrides: DataFrame, by: list[str],
-                         top_n: int = 10, words: Keywords = Keywords()) -> Overview:
+                         top_n: int = 10, words: Keywords = Keywords(), deposits: DataFrame | None = None) -> Overview:
     """Domestic accounts and overseas account together.
 
     `values` is `holdings.account_values`; `domestic` the exploded holdings of the same snapshots with
     account_label, and account_id where accounts may share a label; `overseas`, `cash` and `rates` as in
     `overseas_valuation`. A missing overseas response is an empty side: its amounts are 0 and the other totals stand.
-    Domestic holdings of accounts without a value go to `rejects`.
+    Domestic holdings of accounts without a value go to `rejects`. `deposits` (`by` and `deposit_data`, the raw
+    responses) are kept on the overseas cash rows.
     """
     domestic, rejects = H.owned(domestic, values, by)
     classified = H.classify_holdings(domestic, master, overrides, words)
@@ -231,7 +232,7 @@ def total_asset_overview(values: DataFrame, domestic: DataFrame, overseas: DataF
         H.domestic_rows(classified, by)
         .unionByName(H.residual_cash_rows(positions, by))
         .unionByName(H.overseas_rows(valued, by))
-        .unionByName(H.overseas_cash_rows(summary, by))
+        .unionByName(H.overseas_cash_rows(summary, by, deposits))
     )
     return Overview(
         summary, rows, account_split(positions, values, summary, by), charts(summary, by),
@@ -239,6 +240,41 @@ def total_asset_overview(values: DataFrame, domestic: DataFrame, overseas: DataF
     )
 
 
+def documents(overview: Overview, by: list[str]) -> DataFrame:
+    """The summary with what is stored of an overview as JSON: `classification` (amounts per exposure, the splits by
+    account basis and by exposure, and the warnings) and `document` (totals, domestic accounts, the overseas part with
+    its largest holdings, and all chart series).
+
+    An overview's accounts, charts and warnings are a handful of rows of one owner; they meet by its key.
+    """
+    def rows(df: DataFrame, name: str, *columns: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+
+    charts = rows(overview.charts, "charts", "chart", "place", "label", "key", "value_krw", "pct", "pct_of_part")
+    accounts = rows(overview.accounts, "accounts", "account_label", "label", "value_krw", "pct")
+    top = rows(overview.top, "top_holdings", "place", "label", "value_krw", "value_foreign", "currency")
+    warned = rows(overview.warnings, "warnings", "account_label", "symbol", "name", "reason", "confidence")
+    joined = overview.summary
+    for part in (charts, accounts, top, warned):
+        joined = joined.join(part, by, "left")
+
+    def series(name: str) -> Column:
+        return F.filter("charts", lambda row: row["chart"] == name)
+
+    amounts = F.struct(*[f"{name}_amt_krw" for name in EXPOSURE_LABELS])
+    classification = F.struct(
+        amounts.alias("amounts"), series("by_account_basis").alias("account_basis"),
+        series("by_economic_exposure").alias("economic_exposure"), F.col("warnings"))
+    document = F.struct(
+        F.struct(*overview.summary.columns).alias("summary"),
+        F.struct("domestic_eval_amt_krw", "accounts").alias("domestic"),
+        F.struct("overseas_stock_eval_amt_krw", "overseas_cash_amt_krw", "overseas_total_asset_amt_krw",
+                 "total_asset_source", "top_holdings").alias("overseas"),
+        F.col("charts"))
+    return joined.select(
+        *overview.summary.columns, F.to_json(classification).alias("classification"), F.to_json(document).alias("document"))
+
+
 def inconsistent(summary: DataFrame) -> DataFrame:
     """Overviews whose parts do not add up: total against domestic and overseas, overseas against stock and
     cash. The second can fail when holdings exceed the reported total."""

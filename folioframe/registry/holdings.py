@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioframe.functions.classify import EXPOSURES
-from folioframe.operators import rank
+from folioframe.operators import append, rank, tables
 from folioframe.operators.curate import latest_snapshots
 from folioframe.plans import holdings as H
 from folioframe.plans import overview
 from folioframe.registry.core import ctes, query
 from folioframe.registry.standins import ACCOUNTS, MASTER, OVERRIDES, cents_sql, symbol_sql
+from folioframe.session import materialize, scratch_path
+from folioframe.sources import balances
 from folioframe.sources.dimensions import account_dimension
 
 BY = ["owner_id"]
@@ -314,3 +316,99 @@ WHERE overseas_total_asset_amt_krw <> overseas_stock_eval_amt_krw + overseas_cas
 def _(t):
     return overview.inconsistent(full(t).summary).select(
         "owner_id", "total_eval_amt_krw", "overseas_total_asset_amt_krw", "overseas_stock_eval_amt_krw", "overseas_cash_amt_krw")
+
+
+def _raw(t):
+    """The same owners as raw responses: account snapshots with their balance, overseas balances and deposits."""
+    def listed(rows, keys, **members):
+        item = F.struct(*[F.col(column).cast("string").alias(name) for name, column in members.items()])
+        return rows.groupBy(*keys).agg(F.struct(F.collect_list(item).alias("output1")).alias("response"))
+
+    at_home = listed(domestic(t), ["owner_id", "account_label"], pdno="symbol", prdt_name="name", evlu_amt="value_krw",
+                     hldg_qty="quantity")
+    number = F.concat_ws("-", F.lit("acct"), "owner_id", "account_label").alias("account_id")
+    latest = values(t).join(at_home, ["owner_id", "account_label"], "left").select(
+        number, F.col("account_label").alias("account_type"), F.lit("2024-01-31 09:00:00").cast("timestamp_ntz").alias("snapshot_at"),
+        F.col("value_krw").alias("total_eval_amt"), F.to_json("response").alias("balance_data"))
+    # An older snapshot of every account, with another value and nothing held.
+    older = latest.withColumns({
+        "snapshot_at": F.lit("2024-01-30 09:00:00").cast("timestamp_ntz"), "total_eval_amt": F.col("total_eval_amt") + 1,
+        "balance_data": F.lit('{"output1":[]}')})
+    away = listed(overseas(t), ["owner_id"], ovrs_pdno="symbol", ovrs_item_name="name", tr_crcy_cd="currency",
+                  ovrs_cblc_qty="quantity", ovrs_stck_evlu_amt="value_foreign").select(
+        "owner_id", F.lit("ria").alias("account_label"), F.to_json(F.struct(F.col("response").alias("NASD"))).alias("balance_data"))
+    pairs = rates(t).groupBy("owner_id").agg(F.map_from_entries(F.collect_list(F.struct(
+        F.concat("currency", F.lit("/KRW")), F.col("rate").cast("string")))).alias("pairs"))
+    deposits = cash(t).join(pairs, "owner_id", "left").select("owner_id", "account_label", F.to_json(F.struct(
+        F.struct(F.col("total_asset_amt_krw").cast("string").alias("총자산금액"),
+                 F.col("cash_from_fields_amt_krw").cast("string").alias("총예수금액")).alias("예수금_총계"),
+        F.coalesce("pairs", F.create_map().cast("map<string,string>")).alias("적용환율"))).alias("payload"))
+    return latest.unionByName(older), away, deposits
+
+
+def _owner(df):
+    return df.withColumn("owner_id", F.split("account_id", "-")[1].cast("bigint"))
+
+
+def _end_to_end(t):
+    """Raw responses are stored, read back, valued and classified; the overview is stored, its holdings with it.
+
+    What several results need is written once: the exploded holdings and the summary."""
+    root = scratch_path(t.spark, "tables")
+    snapshots, away, deposits = _raw(t)
+    tables.append(append.portfolio_snapshots(snapshots), root, "portfolio_snapshots")
+    latest = _owner(latest_snapshots(tables.read_table(t.spark, root, "portfolio_snapshots").drop("month")))
+    accounts = latest.select("account_id", F.col("account_type").alias("label"),
+                             F.upper("account_type").alias("display_name"), F.lit(None).cast("string").alias("masked_number"))
+    held = materialize(balances.domestic_holdings(latest.select(
+        "owner_id", "account_id", F.col("account_type").alias("account_label"), "balance_data")), scratch_path(t.spark, "held"))
+    abroad = materialize(balances.overseas_holdings(away), scratch_path(t.spark, "abroad"))
+    shaped = balances.read_reshaped_deposit(deposits)
+    result = overview.total_asset_overview(
+        H.account_values(latest, accounts, BY), held, abroad, balances.cash_summary(shaped), balances.fx_rates(shaped, BY),
+        t.master(), t.overrides(), BY, deposits=deposits.select("owner_id", F.col("payload").alias("deposit_data")))
+    at = F.lit("2024-01-31 10:00:00").cast("timestamp_ntz")
+    rows = append.overview_snapshots(overview.documents(result, BY).withColumn("id", F.concat(F.lit("o"), "owner_id")), at)
+    tables.append(rows, root, "asset_overview_snapshots")
+    tables.append(append.holding_snapshots(result.holdings.withColumn(
+        "overview_snapshot_id", F.concat(F.lit("o"), "owner_id")), at), root, "asset_holding_snapshots")
+    return root
+
+
+@query("stored_overviews_from_raw", "G11 B7 B9 A4 A5 A6 D4", _OVERVIEW + """
+SELECT owner_id, domestic_eval_amt_krw, overseas_stock_eval_amt_krw, overseas_cash_amt_krw, overseas_total_asset_amt_krw,
+       total_eval_amt_krw, domestic_pct, overseas_pct, domestic_direct_amt_krw, overseas_direct_amt_krw,
+       overseas_indirect_amt_krw, cash_amt_krw, unknown_amt_krw, unknown_amt_krw AS unknown_in_json,
+       total_asset_source AS source_in_json, 12 AS chart_rows, 3 AS account_rows,
+       (SELECT count(*) FROM classed c WHERE c.owner_id = summary.owner_id AND warning IS NOT NULL) AS warning_rows
+FROM summary WHERE domestic_eval_amt_krw > 0""")
+def _(t):
+    stored = tables.read_table(t.spark, _end_to_end(t), "asset_overview_snapshots")
+
+    def rows(column, path):
+        return F.coalesce(F.size(F.from_json(F.get_json_object(column, path), "array<string>")), F.lit(0))
+
+    return stored.select(
+        F.substring("id", 2, 30).cast("bigint").alias("owner_id"), "domestic_eval_amt_krw", "overseas_stock_eval_amt_krw",
+        "overseas_cash_amt_krw", "overseas_total_asset_amt_krw", "total_eval_amt_krw", "domestic_pct", "overseas_pct",
+        "domestic_direct_amt_krw", "overseas_direct_amt_krw", "overseas_indirect_amt_krw", "cash_amt_krw", "unknown_amt_krw",
+        F.get_json_object("classification_summary", "$.amounts.unknown_amt_krw").cast("bigint").alias("unknown_in_json"),
+        F.get_json_object("overview_data", "$.overseas.total_asset_source").alias("source_in_json"),
+        rows("overview_data", "$.charts").alias("chart_rows"), rows("overview_data", "$.domestic.accounts").alias("account_rows"),
+        rows("classification_summary", "$.warnings").cast("bigint").alias("warning_rows"),
+    ).filter("domestic_eval_amt_krw > 0")
+
+
+@query("stored_holdings_from_raw", "B10 I1 D2 D5", _OVERVIEW + """
+SELECT owner_id, account_label, symbol, basis_category, exposure_type, quantity, value_krw, value_foreign, currency, has_deposit FROM (
+SELECT owner_id, account_label, symbol, 'domestic_account' AS basis_category, exposure_type, quantity, value_krw, CAST(NULL AS DOUBLE) AS value_foreign, 'KRW' AS currency, false AS has_deposit FROM classed
+UNION ALL SELECT owner_id, account_label, NULL, 'cash', 'cash', NULL, CAST(residual AS BIGINT), NULL, 'KRW', false FROM positions WHERE residual > 0
+UNION ALL SELECT owner_id, 'ria', symbol, 'overseas_account', 'overseas_direct', quantity, value_krw, round(value_foreign, 2), currency, false FROM valued
+UNION ALL SELECT owner_id, 'ria', NULL, 'cash', 'cash', NULL, overseas_cash_amt_krw, NULL, 'KRW', true FROM summary WHERE overseas_cash_amt_krw > 0) AS h""")
+def _(t):
+    stored = tables.read_table(t.spark, _end_to_end(t), "asset_holding_snapshots")
+    cash_abroad = (F.col("basis_category") == "cash") & (F.col("market") == "FX")
+    return stored.select(
+        F.substring("overview_snapshot_id", 2, 30).cast("bigint").alias("owner_id"), "account_label", "symbol", "basis_category",
+        "exposure_type", "quantity", "value_krw", "value_foreign", "currency",
+        (cash_abroad & F.col("raw_data").contains("적용환율")).alias("has_deposit"))

@@ -26,6 +26,11 @@ def _object(**members) -> Column:
                       for name, value in members.items()])
 
 
+def _zeroed(doc: Column) -> Column:
+    """The marked texts as numbers 0, which count as missing, or as a text that is no whole number."""
+    return F.replace(doc, F.lit('"#"'), F.when(F.col("event_id") % 12 == 0, F.lit("0")).otherwise(F.lit('"12.5"')))
+
+
 def _events(t):
     return t.read("events").withColumns({"comma": F.expr(_COMMA), "day": F.expr(_DAY)})
 
@@ -41,7 +46,7 @@ SELECT {symbol_sql('user_id')}, 'KRX', CAST(ts AS DATE), NULL, NULL, NULL, {_CEN
 def _(t):
     first = dict(stck_oprc=F.col("comma"), stck_hgpr=F.when(F.col("event_id") % 5 == 0, "").otherwise(F.col("comma")),
                  stck_lwpr=F.lit("1.5"), stck_clpr=F.col("comma"),
-                 acml_vol=F.when(F.col("event_id") % 6 == 0, F.lit("12.5")).otherwise(F.col("event_id").cast("string")))
+                 acml_vol=F.when(F.col("event_id") % 6 == 0, F.lit("#")).otherwise(F.col("event_id").cast("string")))
     blank = {name: F.lit(None).cast("string") for name in ("stck_oprc", "stck_hgpr", "stck_lwpr", "acml_vol")}
     none = F.lit(None).cast("string")
     listed = F.array(
@@ -51,7 +56,7 @@ def _(t):
     )
     empty = F.array_remove(F.array(listed[0]), listed[0])
     doc = F.when(F.col("event_id") % 4 == 0, _json(output2=empty, output=listed)).otherwise(_json(output2=listed))
-    rows = _events(t).select(F.expr(symbol_sql("user_id")).alias("symbol"), doc.alias("payload"), "event_id")
+    rows = _events(t).select(F.expr(symbol_sql("user_id")).alias("symbol"), _zeroed(doc).alias("payload"), "event_id")
     return prices.typed_prices(prices.domestic_price_rows(rows))
 
 
@@ -61,12 +66,12 @@ FROM events""", dates="date")
 def _(t):
     first = dict(open=F.col("comma"), high=F.when(F.col("event_id") % 5 == 0, "").otherwise(F.col("comma")),
                  low=F.lit("1.5"), clos=F.col("comma"),
-                 tvol=F.when(F.col("event_id") % 6 == 0, F.lit("")).otherwise(F.col("event_id").cast("string")))
+                 tvol=F.when(F.col("event_id") % 6 == 0, F.lit("#")).otherwise(F.col("event_id").cast("string")))
     listed = F.array(_object(xymd=F.col("day"), **first), _object(xymd=F.lit("20240230"), **first),
                      _object(xymd=F.lit(""), **first))
     rows = _events(t).select(
         F.expr(symbol_sql("user_id")).alias("symbol"), F.upper(F.substring("event_type", 1, 3)).alias("exchange"),
-        _json(output2=listed).alias("payload"), "event_id",
+        _zeroed(_json(output2=listed)).alias("payload"), "event_id",
     )
     good, _bad = merge.split_bad(prices.typed_prices(prices.overseas_price_rows(rows)), "date")
     return good

@@ -31,10 +31,18 @@ def _document(upper):
         "sll_buy_dvsn_cd": F.col("o_orderstatus"), "ord_qty": F.lit("1,000"),
         "tot_ccld_amt": amount.cast("string"), "rmn_qty": F.lit("12.5"), "ccld_qty": key,
         "cncl_yn": F.when(F.col("o_orderkey") % 2 == 0, "y").otherwise("N"),
+        "orgn_odno": F.when(F.col("o_orderkey") % 9 == 0, key).otherwise(""), "sll_buy_dvsn_cd_name": F.lit("side"),
+        "ord_dvsn_cd": F.substring("o_orderpriority", 1, 1), "ord_dvsn_name": F.col("o_orderpriority"),
+        "ord_tmd": F.lpad((F.col("o_orderkey") % 240000).cast("string"), 6, "0"), "ord_unpr": amount.cast("string"),
+        "avg_prvs": F.lit(""), "pchs_avg_pric": amount.cast("string"), "cnc_cfrm_qty": F.lit("3"), "ccld_cndt_name": F.lit("none"),
+        "excg_dvsn_cd": F.lit("KRX"), "ord_orgno": key,
     }
     good = F.create_map(*[item for text, value in members.items() for item in (name(text), value)])
-    bad = F.create_map(F.lit("pdno"), F.lit("none"), F.lit("odno"), F.lit(""))
-    return F.concat(F.lit('{"output1":['), F.to_json(good), F.lit(","), F.to_json(bad), F.lit(',"text"]}'))
+    # Numbers 0, which count as missing: a quantity, a first candidate, and the number of an order.
+    zeros = F.when(F.col("o_orderkey") % 4 == 0, ',"tot_ord_qty":0,"rjct_qty":0}').otherwise(',"rjct_qty":"0"}')
+    with_zeros = F.concat(F.regexp_replace(F.to_json(good), "}$", ""), zeros)
+    bad = F.when(F.col("o_orderkey") % 2 == 0, '{"pdno":"none","odno":""}').otherwise('{"pdno":"none","odno": 0}')
+    return F.concat(F.lit('{"output1":['), with_zeros, F.lit(","), bad, F.lit(',"text"]}'))
 
 
 def responses(t):
@@ -51,13 +59,21 @@ _NORMAL = f"""normal AS (SELECT {account_sql('o_custkey')} AS account_id, {produ
     CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '001' END AS order_branch_no, CAST(o_orderkey AS VARCHAR) AS order_no,
     concat('s', CAST(o_orderkey % 50 AS VARCHAR)) AS symbol, o_orderpriority AS symbol_name, o_orderstatus AS side_code,
     CAST(1000 AS BIGINT) AS order_qty, CAST(1000 AS BIGINT) AS total_order_qty, o_orderkey AS filled_qty, {cents_sql('o_totalprice')} AS filled_amount,
-    CAST(NULL AS BIGINT) AS pending_qty, o_orderkey % 2 = 0 AS is_cancelled, concat('o', o_orderkey) AS last_order_history_id FROM orders)"""
+    CAST(NULL AS BIGINT) AS pending_qty, o_orderkey % 2 = 0 AS is_cancelled, concat('o', o_orderkey) AS last_order_history_id,
+    CASE WHEN o_orderkey % 9 = 0 THEN CAST(o_orderkey AS VARCHAR) END AS original_order_no, 'side' AS side_name,
+    substring(o_orderpriority, 1, 1) AS order_type_code, o_orderpriority AS order_type_name,
+    lpad(CAST(o_orderkey % 240000 AS VARCHAR), 6, '0') AS order_time, {cents_sql('o_totalprice')} AS order_price,
+    {cents_sql('o_totalprice')} AS avg_price, CAST(3 AS BIGINT) AS cancel_confirm_qty,
+    CASE WHEN o_orderkey % 4 <> 0 THEN CAST(0 AS BIGINT) END AS rejected_qty, 'none' AS condition_name, 'KRX' AS exchange_id_code,
+    CAST(o_orderkey AS VARCHAR) AS order_orgno, 'batch' AS last_source, o_orderdate AS seen_at FROM orders)"""
 _NORMAL_COLUMNS = ["account_id", "account_product_code", "account_type", "order_date", "order_branch_no", "order_no", "symbol",
                    "symbol_name", "side_code", "order_qty", "total_order_qty", "filled_qty", "filled_amount", "pending_qty",
-                   "is_cancelled", "last_order_history_id"]
+                   "is_cancelled", "last_order_history_id", "original_order_no", "side_name", "order_type_code", "order_type_name",
+                   "order_time", "order_price", "avg_price", "cancel_confirm_qty", "rejected_qty", "condition_name",
+                   "exchange_id_code", "order_orgno", "last_source", "seen_at"]
 
 
-@query("canonical_order_rows", "A7 J13 J14", ctes(_NORMAL) + "SELECT * FROM normal", dates="order_date")
+@query("canonical_order_rows", "A7 J13 J14", ctes(_NORMAL) + "SELECT * FROM normal", dates="order_date", times="seen_at")
 def _(t):
     return source.order_rows(responses(t))[0].select(*_NORMAL_COLUMNS)
 
@@ -200,14 +216,15 @@ def _(t):
 SELECT order_no, order_date, symbol FROM (
 SELECT CAST(o_orderkey AS VARCHAR) AS order_no, strftime(o_orderdate, '%Y%m%d') AS order_date, concat('s', o_orderkey % 50) AS symbol
 FROM orders WHERE o_custkey = 7 AND o_orderstatus <> 'F'
-AND CAST(o_orderdate AS DATE) BETWEEN (SELECT min(CAST(o_orderdate AS DATE)) FROM orders) AND (SELECT max(CAST(o_orderdate AS DATE)) FROM orders)) AS o""")
+AND CAST(o_orderdate AS DATE) BETWEEN DATE '1990-01-01' AND DATE '1999-12-31') AS o""")
 def _(t):
-    span = t.read("orders").agg(F.min("o_orderdate").cast("date").alias("start_date"), F.max("o_orderdate").cast("date").alias("end_date"))
-    # The whole range was observed once, for the account asked about.
-    first, last = span.first()
-    observed = span.select(F.lit("00000007").alias("account_id"), F.lit("22").alias("account_product_code"),
-                           F.lit("domestic").alias("market_type"), "start_date", "end_date")
-    return orders.history(canonical(t), observed, "00000007", "22", first, last).select("order_no", "order_date", "symbol")
+    # Every account's orders of the 1990s were asked for once; account 8 is asked about a decade nobody observed.
+    observed = responses(t).select(
+        "account_id", "account_product_code", F.lit("domestic").alias("market_type"),
+        F.make_date(F.lit(1990), F.lit(1), F.lit(1)).alias("start_date"), F.make_date(F.lit(1999), F.lit(12), F.lit(31)).alias("end_date"))
+    known = orders.history(canonical(t), observed, "00000007", "22", "19900101", "19991231")
+    unknown = orders.history(canonical(t), observed, "00000008", "29", "20000101", "20091231")
+    return known.unionByName(unknown).select("order_no", "order_date", "symbol")
 
 
 @query("orders_to_replay", "B15 G16", ctes(_ASKED) + """

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioframe.operators import merge, tables
+from folioframe.plans import portfolio
 from folioframe.registry.core import ctes, query
 from folioframe.registry.merges import now
-from folioframe.registry.standins import SNAPS, SNAPSHOT_COLUMNS, account_sql, cents_sql
+from folioframe.registry.standins import DAILY, SNAPS, SNAPSHOT_COLUMNS, account_sql, cents_sql
 from folioframe.session import scratch_path
 from folioframe.streaming import jobs
 
@@ -93,6 +94,19 @@ def _(t):
     return _windowed(t, "1 minute")
 
 
+@query("portfolio_daily_change_kept_days", "G3 K3", ctes(SNAPS, DAILY) + """,
+totals AS (SELECT snap_date, CAST(sum(total_eval_amt) AS BIGINT) AS total_eval_amt, count(DISTINCT account_id) AS account_count
+           FROM daily GROUP BY snap_date),
+moved AS (SELECT *, lag(total_eval_amt) OVER (ORDER BY snap_date) AS before FROM totals)
+SELECT 'ALL' AS account_id, snap_date, total_eval_amt, before AS prev_total_eval_amt, total_eval_amt - before AS change_amt,
+       round((total_eval_amt - before) / nullif(CAST(before AS DOUBLE), 0) * 100, 2) AS change_pct, account_count
+FROM moved ORDER BY snap_date DESC LIMIT 14""", dates="snap_date")
+def _(t):
+    """The change of days from a daily table that the stream keeps, so that no raw snapshot is curated again."""
+    days = _windowed(t, "1 day", compact=True).withColumn("snap_date", F.col("window_start").cast("date"))
+    return portfolio.daily_change(days)
+
+
 @query("stream_duplicate_drop", "K4", """
 SELECT user_id, event_type, CAST(ts AS DATE) AS day, arg_min(event_id, (ts, event_id)) AS event_id FROM events
 GROUP BY user_id, event_type, CAST(ts AS DATE)""", dates="day")

@@ -121,14 +121,3 @@ def trading_calendar(years: DataFrame, holidays: DataFrame, market: str = MARKET
         "note",
         F.to_json(facts, {"ignoreNullFields": "false"}).alias("raw_data"),
     )
-
-
-def public_holidays(spark: SparkSession, years: list[int]) -> DataFrame:
-    """`(date, name)` of Korean public holidays, from the `holidays` package where it is installed."""
-    try:
-        import holidays
-    except ImportError as error:
-        raise ImportError("install the holidays package or pass a (date, name) DataFrame") from error
-    found = holidays.country_holidays("KR", years=years, language="ko")
-    return spark.createDataFrame(sorted(found.items()), "date DATE, name STRING")
-

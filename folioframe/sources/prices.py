@@ -36,7 +36,7 @@ _VALUES = ("open", "high", "low", "close", "volume")
 
 
 def _price_rows(responses: DataFrame, texts: Column, fields: PriceFields, exchange: Column) -> DataFrame:
-    row = payload.Members(*fields.dates, *[getattr(fields, name) for name in _VALUES])
+    row = payload.Members(*fields.dates, *[getattr(fields, name) for name in _VALUES], zero_is_missing=True)
     carried = [name for name in responses.columns if name not in ("symbol", "exchange", "payload")]
     return row.explode(responses, texts).select(
         "symbol",

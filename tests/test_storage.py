@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioframe import session
-from folioframe.operators import export, merge, reads, tables
-from folioframe.plans import orders
+from folioframe.operators import curate, export, merge, reads, tables
+from folioframe.plans import orders, portfolio
 from folioframe.schemas import DOMESTIC_ORDERS, INSTRUMENT_MASTER, ORDER_HISTORY, PRICE_HISTORY, TABLES
 from folioframe.sources import dimensions, masters
 from folioframe.sources import orders as order_source
@@ -308,3 +308,35 @@ def test_streamed_orders_and_firsts_do_not_hang_on_batches(spark, tmp_path, file
     jobs.write_partials(jobs.read_files(spark, source, schema, files_per_batch=files), first, out,
                         str(tmp_path / "state2")).awaitTermination()
     assert [r.filled_qty for r in jobs.read_partials(spark, out, first).collect()] == [100]
+
+
+def test_lookbacks_over_stored_tables_skip_the_files_of_earlier_months(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    rows = [("x", "a", "t", dt.datetime(2024, month, d), d, None) for month in (1, 2, 3) for d in (1, 5, 9)]
+    tables.append(spark.createDataFrame(rows, "id STRING, account_id STRING, account_type STRING, snapshot_at TIMESTAMP_NTZ, total_eval_amt LONG, balance_data STRING"),
+                  root, "portfolio_snapshots")
+    stored = tables.read_table(spark, root, "portfolio_snapshots")
+    daily = curate.portfolio_daily(stored)
+    answers = {
+        "summary": portfolio.latest_summary_of_snapshots(stored, lookback_days=20, as_of="20240310"),
+        "anomalies": portfolio.anomalies(daily, lookback_days=20, as_of="20240310"),
+        "trend": portfolio.trend(daily, short_window=2, long_window=2, lookback_days=20, as_of="20240310"),
+    }
+    for name, answer in answers.items():
+        filters = answer._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+        assert "month" in filters and "2024-02" in filters, name
+        assert "month" not in answer.columns
+    assert answers["trend"].count() == 2 and answers["summary"].first().total_eval_amt == 9
+
+
+def test_number_zero_is_missing_and_the_text_is_not(spark):
+    payload_text = json.dumps({"output1": [
+        {"odno": "7", "ord_dt": "20260423", "rmn_qty": 0, "rjct_qty": "0", "tot_ord_qty": 0.0, "ord_qty": "5", "pdno": "a:0,b"},
+        {"odno": 0, "ord_dt": "20260423"}]})
+    raw = spark.createDataFrame([("1", "01", "t", "20260423", "o", dt.datetime(2026, 4, 23), payload_text)],
+                                "account_id STRING, account_product_code STRING, account_type STRING, fallback_date STRING, observation_id STRING, fetched_at TIMESTAMP_NTZ, payload STRING")
+    good, bad = order_source.order_rows(raw)
+    row = good.first()
+    assert (row.pending_qty, row.rejected_qty, row.total_order_qty, row.symbol) == (None, 0, 5, "a:0,b")
+    assert bad.count() == 1
+    assert raw.select(order_source.storable_count(F.col("payload"), F.col("fallback_date")).alias("n")).first().n == 1
