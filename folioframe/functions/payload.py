@@ -17,8 +17,11 @@ from pyspark.sql import types as T
 from folioframe.functions.text import blank_to_null
 
 _TEXTS = T.ArrayType(T.StringType())
-# A member whose value may be the number 0, told before anything is parsed for it.
+# A member whose value is the number 0: first ones of an object with the comma after them, others with the one before.
 _MAYBE_ZERO = r":\s*-?0[0.eE+-]*\s*[,}]"
+_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_ZERO = _TEXT + r"\s*:\s*-?0(?:\.0+)?(?:[eE][+-]?[0-9]+)?"
+_ZERO_MEMBERS = rf"(\{{)(?:\s*{_ZERO}\s*(?:,|(?=\}})))+|,\s*{_ZERO}(?=\s*[,}}])|({_TEXT})"
 _MAP = T.MapType(T.StringType(), T.StringType())
 
 
@@ -55,10 +58,13 @@ def is_object(value: Column) -> Column:
     return F.schema_of_variant(value).startswith("OBJECT")
 
 
-def is_zero(value: Column) -> Column:
-    """Whether a variant is the number 0; false for NULL."""
-    number = value.try_cast("double") == 0
-    return F.coalesce(number & ~F.schema_of_variant(value).isin("STRING", "BOOLEAN"), F.lit(False))
+def without_zeros(text: Column) -> Column:
+    """A JSON object's text without the members whose value is the number 0; texts like "0" stay.
+
+    Texts are matched whole, so nothing inside one is taken for a member. Most objects hold no such number and are
+    left as they are after one test.
+    """
+    return F.when(text.rlike(_MAYBE_ZERO), F.regexp_replace(text, _ZERO_MEMBERS, "$1$2")).otherwise(text)
 
 
 def length(array: Column) -> Column:
@@ -92,21 +98,8 @@ class Members:
 
     def parse(self, text: Column) -> Column:
         # Spark resolves struct fields without regard to case; the cast gives each a name of its own.
-        row = F.from_json(text, self._schema).cast(self._unique)
-        if not self._zero_is_missing:
-            return row
-        kinds = {field.name: T.VariantType() for field in self._schema.fields}
-        variants = T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
-        unique = T.StructType([T.StructField(self._place[name], kind) for name, kind in kinds.items()])
-        # Only an object that may hold a number 0 is parsed a second time, with its types.
-        typed = F.when(text.rlike(_MAYBE_ZERO), F.from_json(text, variants).cast(unique))
-
-        def kept(pair: Column) -> Column:
-            fields = [F.when(~is_zero(pair["typed"][name]), pair["row"][name]).alias(name)
-                      for name in self._place.values()]
-            return F.when(pair["typed"].isNull(), pair["row"]).otherwise(F.struct(*fields))
-
-        return once(F.struct(row.alias("row"), typed.alias("typed")), kept)
+        source = without_zeros(text) if self._zero_is_missing else text
+        return F.from_json(source, self._schema).cast(self._unique)
 
     def explode(self, df: DataFrame, texts: Column) -> DataFrame:
         """One row per object among the texts, with `_place`, its raw `_text` and the parsed `_row`.

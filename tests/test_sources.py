@@ -125,3 +125,13 @@ def test_gate(spark, calendar, day, clock, reason):
                                   "market STRING, trade_date DATE, now TIMESTAMP_NTZ")
     row = collection_gate(asked, calendar).first()
     assert row.reason == reason and row.status == ("collect" if reason == "ready" else "skipped")
+
+
+@pytest.mark.parametrize("text, kept", [
+    ('{"a":0}', {}), ('{"a":0,"b":0.0}', {}), ('{"a": 0 , "b":1}', {"b": 1}), ('{"b":1,"a":-0.00,"c":0e5}', {"b": 1}),
+    ('{"a":"0","b":":0,","c":"x\\":0,"}', {"a": "0", "b": ":0,", "c": 'x":0,'}), ('{"a":10,"b":0.5,"c":05}', None),
+    ('{"x":{"a":0},"l":[0,0],"y":0}', {"x": {}, "l": [0, 0]}), ('{"a":null,"b":false,"c":0}', {"a": None, "b": False}),
+])
+def test_members_of_number_zero_are_left_out(spark, text, kept):
+    out = one(spark, payload.without_zeros(F.lit(text)))
+    assert out == text if kept is None else json.loads(out) == kept
