@@ -140,10 +140,11 @@ def train(index: np.ndarray, tags: np.ndarray, rounds: int = 60, penalty: float
     if not len(tags):
         field.start[0] = 1.0
         return field
-    used, position = np.unique(index[tags >= 0], return_inverse=True)
     present = tags >= 0
-    flat = np.zeros(index.shape, np.int64)
-    flat[present] = position.reshape(-1, index.shape[2])
+    used, position = np.unique(index[present], return_inverse=True)
+    position = position.reshape(-1, index.shape[2]).astype(np.int32)
+    flat = np.zeros(index.shape, np.int32)
+    flat[present] = position
     length, last = present.sum(axis=1), np.maximum(present.sum(axis=1) - 1, 0)
     rows = np.arange(len(tags))
     weights = np.zeros((len(used), 3))
@@ -156,7 +157,10 @@ def train(index: np.ndarray, tags: np.ndarray, rounds: int = 60, penalty: float
     moment = [np.zeros_like(p) for p in parameters]
     second = [np.zeros_like(p) for p in parameters]
     for step in range(1, rounds + 1):
-        emission = weights[flat].sum(axis=2)
+        # Feature by feature, which needs no array of all features' weights.
+        emission = weights[flat[:, :, 0]]
+        for k in range(1, index.shape[2]):
+            emission += weights[flat[:, :, k]]
         transitions, start = Field(weights, field.transitions, field.start).allowed()
         forward = np.zeros((len(tags), WINDOW, 3))
         backward = np.zeros_like(forward)
@@ -178,9 +182,12 @@ def train(index: np.ndarray, tags: np.ndarray, rounds: int = 60, penalty: float
             forward[:, :-1, :, None] + transitions + (emission + backward)[:, 1:, None, :] - total[:, None, None, None],
             0.0)) * present[:, 1:, None, None]
         off = (marginal - gold)[present]
+        found = penalty * weights
+        for k in range(index.shape[2]):
+            for tag in range(3):
+                found[:, tag] += np.bincount(position[:, k], off[:, tag], len(used))
         gradient = [
-            np.stack([np.bincount(position.ravel(), np.repeat(off[:, k], index.shape[2]), len(used)) for k in range(3)], 1)
-            + penalty * weights,
+            found,
             pair.sum(axis=(0, 1)) - seen[1] + penalty * field.transitions,
             marginal[:, 0].sum(axis=0) - seen[2] + penalty * field.start,
         ]
