@@ -9,6 +9,8 @@ patterns point to, of a shape that suits the kind, are added to the base spans.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +26,15 @@ SPAN = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("end", T.LongType()),
 ])
 OCCURRENCE = T.StructType([
-    T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType()),
-    T.StructField("instance", T.StringType()), T.StructField("suits", T.ArrayType(T.StringType())),
+    T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("run", T.LongType()),
+    T.StructField("kind", T.StringType()), T.StructField("instance", T.StringType()), T.StructField("suits", T.ArrayType(T.StringType())),
     T.StructField("patterns", T.ArrayType(T.StringType())),
 ])
 FIELDS = [T.StructField("base", T.ArrayType(SPAN)), T.StructField("occurrences", T.ArrayType(OCCURRENCE))]
-# A token is a candidate if it has an at sign or at least four digits; longer ones are no identifiers.
-_CANDIDATE = re.compile(r"\S+")
+# Tokens with an at sign or a digit are looked at, and `suitable` alone judges their shape; longer ones are no identifiers.
+_MARK = re.compile(r"[\d@]")
+_BLANK = re.compile(r"\s")
+_JOINED = re.compile(r"[()]?\s[()]?")
 _LONGEST = 64
 _EDGES = ".,;:!?\"'()[]{}<>"
 _REACH = 80
@@ -72,38 +76,63 @@ def patterns(text: str, start: int, end: int) -> list[str]:
     return found
 
 
-def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-shaped tokens, stripped of marks around them, that touch no base span."""
-    taken = [(a, b) for _, a, b in base]
-    found = []
-    for digit in re.finditer(r"[0-9]{4}|@", text):
-        if found and digit.start() < found[-1][1]:
-            continue
-        start, end = digit.start(), digit.end()
-        while start and digit.end() - start <= _LONGEST and not text[start - 1].isspace():
+def tokens(text: str) -> list[tuple[int, int]]:
+    """Tokens with a digit or an at sign, stripped of marks around them, none longer than _LONGEST."""
+    found, place = [], 0
+    while mark := _MARK.search(text, place):
+        start = mark.start()
+        while start and mark.end() - start <= _LONGEST and not text[start - 1].isspace():
             start -= 1
-        while end < len(text) and end - start <= _LONGEST and not text[end].isspace():
-            end += 1
+        blank = _BLANK.search(text, mark.end())
+        place = end = blank.start() if blank else len(text)
         if end - start > _LONGEST:
             continue
         token = text[start:end]
         start += len(token) - len(token.lstrip(_EDGES))
         end -= len(token) - len(token.rstrip(_EDGES))
-        if start < end and not rules.overlaps(start, end, taken):
+        if start < end:
             found.append((start, end))
     return found
 
 
+def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, int]]:
+    """Start, end and run of what may be an identifier and touches no base span: tokens, and whole runs of neighbouring
+    digit groups with one blank and marks between them. `run` is the start of the run a token stands in."""
+    taken = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    runs: list[list[tuple[int, int]]] = []
+    for start, end in tokens(text):
+        before = bisect_left(starts, end)
+        if before and reach[before - 1] > start:
+            continue
+        last = runs[-1][-1] if runs else None
+        if last and _JOINED.fullmatch(text, last[1], start) and not any(
+                c.isalpha() or c == "@" for a, b in (last, (start, end)) for c in text[a:b]):
+            runs[-1].append((start, end))
+        else:
+            runs.append([(start, end)])
+    found = []
+    for run in runs:
+        first = run[0][0]
+        if len(run) > 1 and text[first - 1:first] == "(" and ")" in text[first:run[-1][1]]:
+            first -= 1
+        found += [(a, b, first) for a, b in run]
+        if len(run) > 1 and run[-1][1] - first <= _LONGEST:
+            found.append((first, run[-1][1], first))
+    return found
+
+
 def scan(texts: list[str]) -> dict[str, list]:
     base, occurrences = [], []
     for text in texts:
         spans = base_spans(text)
         base.append([{"order": KINDS.index(k), "start": a, "kind": k, "end": b} for k, a, b in spans])
-        rows = [(a, b, k, [k]) for k, a, b in spans]
-        rows += [(a, b, None, s) for a, b in candidates(text, spans) if (s := suitable(text[a:b]))]
+        rows = [(a, b, a, k, [k]) for k, a, b in spans]
+        rows += [(a, b, r, None, s) for a, b, r in candidates(text, spans) if (s := suitable(text[a:b]))]
         occurrences.append([{
-            "start": a, "end": b, "kind": k, "instance": text[a:b].lower(), "suits": s, "patterns": patterns(text, a, b),
-        } for a, b, k, s in rows])
+            "start": a, "end": b, "run": r, "kind": k, "instance": text[a:b].lower(), "suits": s,
+            "patterns": patterns(text, a, b),
+        } for a, b, r, k, s in rows])
     return {"base": base, "occurrences": occurrences}
 
 
@@ -142,23 +171,30 @@ def find(documents: DataFrame, rounds: int = 3, smoothing: float = 3.0, confiden
     Whole texts are scanned once, map-side; what later steps need is stored (spans and identifier-shaped tokens with
     their patterns). A pattern adds spans of a kind if its confidence reaches `confident` and at least `support`
     distinct seeds stand behind it. NULL and empty texts have no spans. Rows are told apart by a number given at the
-    scan, so NULL ids and repeated rows each give a row. If patterns claim one token for several kinds, the most
+    scan, so NULL ids and repeated rows each give a row. Neighbouring digit groups claimed as one identifier count once,
+    as a whole. If patterns claim one token for several kinds, the most
     confident wins, then the first kind listed.
     """
     scanned = map_texts(documents, ["doc_id"], scan, FIELDS)
     table = stored(scanned.withColumn("row", F.monotonically_increasing_id()), "pii-scan")
     seen = table.select("row", F.explode("occurrences").alias("o")).select(
-        "row", "o.start", "o.end", "o.kind", "o.instance", "o.suits", F.explode("o.patterns").alias("pattern"))
+        "row", "o.start", "o.end", "o.run", "o.kind", "o.instance", "o.suits", F.explode("o.patterns").alias("pattern"))
     edges = seen.select("pattern", "instance", "kind", "suits").distinct()
     trusted = score_patterns(edges, rounds, smoothing).filter(
         (F.col("confidence") >= confident) & (F.col("support") >= support))
     claims = seen.filter(F.col("kind").isNull()).select(
-        "row", "start", "end", "pattern", F.explode("suits").alias("kind")).join(trusted, ["pattern", "kind"])
+        "row", "start", "end", "run", "pattern", F.explode("suits").alias("kind")).join(trusted, ["pattern", "kind"])
     order = F.array_position(F.lit(list(KINDS)), F.col("kind")).cast("int") - 1
-    best = claims.withColumn("order", order).groupBy("row", "start", "end").agg(
+    best = claims.withColumn("order", order).groupBy("row", "run", "start", "end").agg(
         F.max_by(F.struct("order", "start", "kind", "end"), F.struct("confidence", -F.col("order"))).alias("span"))
+    # Within a run, of _LONGEST characters if it is claimed whole, that claim stands for those of its tokens.
+    whole = best.groupBy("row", "run").agg(F.max("end").alias("reach"), F.min("start").alias("from"),
+                                           F.max_by("span", F.col("end") - F.col("start")).alias("widest"),
+                                           F.collect_list("span").alias("list"))
+    covers = (F.col("widest.start") == F.col("from")) & (F.col("widest.end") == F.col("reach"))
+    claimed = whole.select("row", F.when(covers, F.array("widest")).otherwise(F.col("list")).alias("list"))
     # A document's own spans only, so the list is no longer than its text.
-    added = best.groupBy(F.col("row").alias("added_row")).agg(F.collect_list("span").alias("added"))
+    added = claimed.groupBy(F.col("row").alias("added_row")).agg(F.flatten(F.collect_list("list")).alias("added"))
     return table.join(added, F.col("row") == F.col("added_row"), "left").select(
         "doc_id", "row", "base",
         F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(T.ArrayType(SPAN))))).alias("spans"))

@@ -70,3 +70,33 @@ def test_awkward_rows_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert pii.find(documents(spark, [(1, "x")]).filter(F.lit(False))).collect() == []
+
+
+def test_identifiers_without_four_digits_in_a_row_are_found(spark):
+    rows = [(i, f"reach hotline +49 30 55512{i:02} today") for i in range(12)]
+    rows += [(20 + i, f"from host 10.20.{i}.4 today") for i in range(12)]
+    rows += [(40 + i, f"charge plastic {c} today") for i, c in enumerate([
+        "4111111111111111", "5500005555555559", "4012888888881881", "378282246310005", "6011111111111117",
+        "3530111333300000", "5105105105105100", "4222222222222"])]
+    missed = {100: ("reach hotline", "555-123-987", "phone"), 101: ("reach hotline", "12-34-56-78", "phone"),
+              102: ("reach hotline", "030 123 456", "phone"), 103: ("reach hotline", "(030) 123 4567", "phone"),
+              104: ("from host", "10.20.30.400", "ip"), 105: ("from host", "01.23.45.67.890", "ip"),
+              106: ("charge plastic", "4111 1111 1111 1112", "card"), 107: ("reach hotline", "030 5551234", "phone")}
+    rows += [(d, f"{before} {number} today") for d, (before, number, _) in missed.items()]
+    rows += [(200, "we sold 030 123 456 nails"), (201, "reach hotline 12 34 today")]
+    found = {r["doc_id"]: r for r in pii.digest(pii.find(documents(spark, rows))).collect()}
+    for d, (before, number, kind) in missed.items():
+        if kind == "ip" and number.startswith("01"):
+            continue  # the base rule has its first four numbers
+        start = len(before) + 1
+        assert found[d]["spans"] == f"{kind}:{start}:{len(before) + 1 + len(number)}", (number, found[d]["spans"])
+    assert found[200]["spans"] == "" and found[201]["spans"] == ""
+
+
+def test_candidates():
+    def of(text):
+        return [text[a:b] for a, b, _ in pii.candidates(text, pii.base_spans(text)) if pii.suitable(text[a:b])]
+
+    assert of("a 12-34-56-78, b") == ["12-34-56-78"]
+    assert of("x 030 1234567 2x") == ["1234567", "030 1234567"]
+    assert of("1 " * 200) == [] and of("9" * 100_000) == [] and of("a" * 100_000 + "9") == []
