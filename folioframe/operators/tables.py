@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 from typing import Callable, NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -113,19 +114,40 @@ def insert(spark: SparkSession, root: str, name: str, incoming: DataFrame,
     return append(absent(touched(spark, root, name, good), good), root, name)
 
 
+NOTE = "root string, name string, batch string, processed bigint, rejected bigint"
+
+
+def stage_path(spark: SparkSession, root: str, name: str, batch: str) -> str:
+    """Where a named batch of one stored table is staged: no other table, wherever it lies, and no other batch has
+    the same place."""
+    told = "\n".join((root.rstrip("/"), name, batch))
+    return f"{shared_root(spark)}/{name}-{hashlib.sha256(told.encode()).hexdigest()[:40]}"
+
+
+def _noted(spark: SparkSession, note: str, root: str, name: str, batch: str) -> Written | None:
+    """The counts of a stage that is complete; None if there is none. Another table's or batch's is refused."""
+    if not is_written(spark, note):
+        return None
+    row = spark.read.schema(NOTE).parquet(note).first()
+    if (row["root"], row["name"], row["batch"]) != (root.rstrip("/"), name, batch):
+        raise ValueError(f"{note} was staged for batch {row['batch']} of {row['name']} in {row['root']}")
+    return Written(row["processed"], row["rejected"])
+
+
 def rewrite(spark: SparkSession, root: str, name: str, incoming: DataFrame,
             merge: Callable[[DataFrame, DataFrame], DataFrame], batch: str | None = None) -> Written:
     """Apply `merge(target, incoming)` to a stored table, touching only the parts that `incoming` has.
 
-    The input is read once, into the shared folder; the merged parts follow it there and replace the old ones in a
-    last step, so the table is never read and overwritten by the same job, and parts that `incoming` lacks stay as
-    they are. Under a `batch` name the merged parts are found again: should the last step have failed half-way, a
-    retry finishes it from them. Rows with a NULL key are left out and counted.
+    The input is read once, into the shared folder; the merged parts follow it there, split as the table is, and
+    replace the old ones in a last step. So the table is never read and overwritten by the same job, and parts that
+    `incoming` lacks stay as they are. Under a `batch` name, which is unique for the table, the merged parts and the
+    counts are found again: should the last step have failed half-way, a retry finishes it from them and returns the
+    same counts. Rows with a NULL key are left out and counted.
     """
-    where = f"{shared_root(spark)}/{name}-{batch}" if batch else scratch_path(spark, name)
-    given, merged = f"{where}-given", f"{where}-merged"
-    counts = Written(0, 0)
-    if not (batch and is_written(spark, merged)):
+    where = stage_path(spark, root, name, batch) if batch else scratch_path(spark, name)
+    given, merged, note = f"{where}-given", f"{where}-merged", f"{where}-note"
+    counts = _noted(spark, note, root, name, batch) if batch else None
+    if counts is None:
         seen = Observation()
         bad = F.lit(False)
         for key in KEYS.get(name, ()):
@@ -136,19 +158,25 @@ def rewrite(spark: SparkSession, root: str, name: str, incoming: DataFrame,
         ).write.mode("overwrite").parquet(given)
         counts = Written(seen.get["good"], seen.get["bad"])
         rows = spark.read.schema(marked.schema).parquet(given).filter("not _bad").drop("_bad")
-        _laid_out(merge(touched(spark, root, name, rows), rows), name).write.mode("overwrite").parquet(merged)
+        _laid_out(merge(touched(spark, root, name, rows), rows), name).write.mode("overwrite").partitionBy(
+            part_name(name)).parquet(merged)
+        if batch:
+            spark.createDataFrame([(root.rstrip("/"), name, batch, *counts)], NOTE).coalesce(1).write.mode(
+                "overwrite").parquet(note)
     swap(spark, root, name, merged)
-    for path in (given, merged):
+    # The note goes first: without it what is left of a stage counts as none.
+    for path in ([note] if batch else []) + [given, merged]:
         drop_scratch(spark, path)
     return counts
 
 
 def swap(spark: SparkSession, root: str, name: str, merged: str) -> None:
-    """Put the parts at `merged` in place of the stored ones of the same names."""
+    """Put the parts at `merged` in place of the stored ones of the same names. They are laid out as the table is, so
+    its files are copied without a shuffle."""
+    part = part_name(name)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in TABLES[name].fields])
-    rows = spark.read.schema(schema).parquet(merged)
-    _laid_out(rows, name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        part_name(name)).parquet(f"{root}/{name}")
+    rows = spark.read.schema(schema.add(part, T.StringType())).parquet(merged)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(f"{root}/{name}")
 
 
 def create(spark: SparkSession, root: str, name: str) -> None:

@@ -1,12 +1,54 @@
-"""Whether a market day's data may be collected yet."""
+"""Whether a market day's data may be collected yet, and the calendar that says so, kept whole."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.functions.text import seoul_time
-from folioframe.sources.dimensions import CLOSE_TIME
+from folioframe.operators import merge, tables
+from folioframe.operators.reads import calendar_completeness
+from folioframe.sources.dimensions import CLOSE_TIME, MARKET, trading_calendar
+
+CALENDAR = "market_calendar"
+
+
+def asked_years(requests: DataFrame, markets: tuple[str, ...] = (MARKET,)) -> DataFrame:
+    """The distinct (market, year) that `requests` (market, trade_date) ask for, of markets whose days can be made."""
+    wanted = requests.filter(F.col("market").isin(*markets) & F.col("trade_date").isNotNull())
+    return wanted.select("market", F.year("trade_date").alias("year")).distinct()
+
+
+def incomplete_years(calendar: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The (market, year) of `wanted` that the calendar lacks, in whole or in part."""
+    whole = calendar_completeness(calendar).filter("complete").select("market", "year")
+    return wanted.select("market", "year").distinct().join(whole, ["market", "year"], "left_anti")
+
+
+def complete_calendar(spark: SparkSession, root: str, wanted: DataFrame, holidays: DataFrame,
+                      now: Column) -> tables.Written:
+    """Make every (market, year) of `wanted` whole in the stored calendar; returns the rows written.
+
+    Only years with a gap are generated and merged by market and day, and only their parts of the table are rewritten;
+    days of a year that was whole stay as they are, whoever wrote them. A second run finds no gap and writes nothing.
+    """
+    stored = tables.read_table(spark, root, CALENDAR)
+    gaps = incomplete_years(stored, wanted)
+    # A handful of years: as rows, so that the merge does not read the table again to find them.
+    found = [(row["market"], row["year"]) for row in gaps.collect()]
+    if not found:
+        return tables.Written(0, 0)
+    years = spark.createDataFrame(found, "market string, year int")
+    days = trading_calendar(years, holidays).withColumn("generated", F.lit(0))
+    return tables.rewrite(spark, root, CALENDAR, days,
+                          lambda target, new: merge.upsert_calendar(target, new, now, ["generated"]))
+
+
+def gate_stored(spark: SparkSession, root: str, requests: DataFrame, holidays: DataFrame, now: Column,
+                close_grace_minutes: int = 5) -> DataFrame:
+    """`collection_gate` against the stored calendar, after the years that `requests` ask for are made whole."""
+    complete_calendar(spark, root, asked_years(requests), holidays, now)
+    return collection_gate(requests, tables.read_table(spark, root, CALENDAR), close_grace_minutes)
 
 
 def collection_gate(requests: DataFrame, calendar: DataFrame, close_grace_minutes: int = 5) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import labels, limits, numbers
 from folioframe.operators import rank, reads, windows
+from folioframe.operators.carry import carry_forward
 from folioframe.operators.curate import time_rank
 
 ALL = "ALL"
@@ -163,21 +164,37 @@ def valued_days(daily: DataFrame, account_id: str = "") -> DataFrame:
     )
 
 
+def holding_snapshots(holdings: DataFrame) -> DataFrame:
+    """account_id, snap_date, holdings_at, holdings_amt and holding_count: the last snapshot of each account and day.
+
+    `holdings` has a row per holding: account_id, snapshot_at and value_krw. Rows of one account and time are one
+    snapshot. Sums and choice combine within tasks, however many lines a snapshot has.
+    """
+    whole = holdings.filter(F.col("account_id").isNotNull() & F.col("snapshot_at").isNotNull()).groupBy(
+        "account_id", "snapshot_at").agg(
+        F.coalesce(F.sum("value_krw"), F.lit(0)).alias("holdings_amt"), F.count(F.lit(1)).alias("holding_count"))
+    day = F.col("snapshot_at").cast("date").alias("snap_date")
+    last = F.max_by(F.struct(F.col("snapshot_at").alias("holdings_at"), "holdings_amt", "holding_count"), "snapshot_at")
+    return whole.groupBy("account_id", day).agg(last.alias("_last")).select("account_id", "snap_date", "_last.*")
+
+
 def account_nav(daily: DataFrame, holdings: DataFrame) -> DataFrame:
-    """Value, holdings and residual cash per account and day.
+    """Value, holdings and residual cash per account and valued day.
 
-    `holdings` has account_id, snap_date and value_krw. Both sides are summed in one aggregate, so a large
-    account is combined on the map side rather than joined.
+    The holdings of a day are those of the account's latest snapshot on that day or before (`holdings_at`), NULL
+    before the first; their cash is the value less the holdings, not below 0. The as-of join is a union of both
+    tables' days and a value carried forward, so no account is joined with itself.
     """
-    keys = ["account_id", "snap_date"]
-    measures = daily.select(*keys, "total_eval_amt", F.lit(None).cast("bigint").alias("value_krw")).unionByName(
-        holdings.select(*keys, F.lit(None).cast("bigint").alias("total_eval_amt"), "value_krw")
-    )
-    sums = measures.groupBy(*keys).agg(
-        F.sum("total_eval_amt").alias("total_eval_amt"),
-        F.coalesce(F.sum("value_krw"), F.lit(0)).alias("holdings_amt"),
-    ).filter(F.col("total_eval_amt").isNotNull())
-    return sums.withColumn("cash_amt", residual(F.col("total_eval_amt"), F.col("holdings_amt")))
+    held = ["holdings_at", "holdings_amt", "holding_count"]
+    snapshots = holding_snapshots(holdings)
+    none = [F.lit(None).cast(snapshots.schema[name].dataType).alias(name) for name in held]
+    both = daily.select("account_id", "snap_date", F.col("total_eval_amt").cast("bigint").alias("total_eval_amt"),
+                        *none).unionByName(snapshots.withColumn("total_eval_amt", F.lit(None).cast("bigint")))
+    # One row per account and day: at most one snapshot, and the values of the account's types added up.
+    days = both.groupBy("account_id", "snap_date").agg(
+        F.sum("total_eval_amt").alias("total_eval_amt"), *[F.max(name).alias(name) for name in held])
+    carried = carry_forward(days, ["account_id"], "snap_date", held).filter(F.col("total_eval_amt").isNotNull())
+    return carried.withColumn("cash_amt", residual(F.col("total_eval_amt"), F.col("holdings_amt")))
 
 
 def residual(total: Column, used: Column) -> Column:

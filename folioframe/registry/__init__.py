@@ -5,6 +5,7 @@ from folioframe.registry import (  # noqa: F401
     holdings,
     ingest,
     merges,
+    normalized,
     orders,
     reads,
     scalars,

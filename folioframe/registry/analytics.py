@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import limits
 from folioframe.operators import curate, rank, reads, windows
-from folioframe.plans import assets, portfolio, prices
+from folioframe.plans import assets, portfolio, prices, rates
 from folioframe.registry.core import ctes, query
-from folioframe.registry.standins import AS_OF, AS_OF_SQL, DAILY, OVERVIEW_DAILY, OVERVIEWS, PRICES, SNAPS, Tables, account_sql
+from folioframe.registry.standins import AS_OF, AS_OF_SQL, DAILY, OVERVIEW_DAILY, OVERVIEWS, PRICES, SNAPS, Tables, account_sql, cents_sql
 
 _DAILY = ctes(SNAPS, DAILY)
 _ASSETS = ctes(OVERVIEWS, OVERVIEW_DAILY)
@@ -348,21 +348,52 @@ def _(t):
     return portfolio.trend(daily(t), short_window=short, long_window=long, lookback_days=days, as_of=AS_OF)
 
 
-@query("account_nav_daily", "M", _DAILY + f"""
-, held AS (SELECT {account_sql('user_id')} AS account_id, CAST(ts AS DATE) AS snap_date,
-                  CAST(sum(CASE WHEN event_type = 'click' THEN 500 ELSE 0 END) AS BIGINT) AS holdings_amt
-           FROM events GROUP BY 1, 2),
+# Every line is a holding of one of the accounts that the events value, in snapshots of several a day over the three
+# months up to the end of the events.
+_HELD_AT = "DATE '2023-11-01' + CAST(l_orderkey % 91 AS INT)"
+_HELD = f"""held AS (
+    SELECT {account_sql('l_suppkey')} AS account_id, {_HELD_AT} + to_hours(l_linenumber) AS holdings_at,
+           CAST(sum({cents_sql('l_extendedprice / 100000')}) AS BIGINT) AS holdings_amt, count(*) AS holding_count
+    FROM lineitem GROUP BY ALL)"""
+
+
+@query("account_nav_daily", "M E1 G14", _DAILY + f"""
+, {_HELD},
 days AS (SELECT account_id, snap_date, CAST(sum(total_eval_amt) AS BIGINT) AS total_eval_amt FROM daily GROUP BY 1, 2)
-SELECT account_id, snap_date, total_eval_amt, coalesce(holdings_amt, 0) AS holdings_amt,
+SELECT days.account_id, snap_date, total_eval_amt, holdings_at, holdings_amt, holding_count,
        greatest(total_eval_amt - coalesce(holdings_amt, 0), 0) AS cash_amt
-FROM days LEFT JOIN held USING (account_id, snap_date)""", dates="snap_date")
-def _(t):
-    held = t.read("events").filter("event_type = 'click'").selectExpr(
-        f"{account_sql('user_id')} AS account_id", "CAST(ts AS DATE) AS snap_date", "500L AS value_krw"
-    )
+FROM days ASOF LEFT JOIN held
+ON days.account_id = held.account_id AND days.snap_date + INTERVAL 1 DAY > held.holdings_at""",
+       dates="snap_date", times="holdings_at")
+def _(t):
+    held = t.read("lineitem").select(
+        F.expr(account_sql("l_suppkey")).alias("account_id"),
+        (F.expr(_HELD_AT).cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("l_linenumber"))).alias("snapshot_at"),
+        F.expr(cents_sql("l_extendedprice / 100000")).alias("value_krw"))
     return portfolio.account_nav(daily(t), held)
 
 
+_QUOTED = """quoted AS (
+    SELECT concat('c', CAST(o_custkey % 97 AS VARCHAR(20))) AS currency, CAST(o_orderdate AS DATE) AS date,
+           CASE WHEN o_orderkey % 4 = 0 THEN 'W' ELSE 'D' END AS period,
+           CASE WHEN o_orderkey % 41 = 0 THEN NULL WHEN o_orderkey % 43 = 0 THEN 0.0 ELSE o_totalprice END AS rate,
+           o_orderkey AS seq FROM orders)"""
+
+
+@query("fx_daily", "M B3", ctes(_QUOTED) + """,
+observed AS (SELECT upper(currency) AS currency, date, arg_max(rate, seq) AS rate FROM quoted
+             WHERE period = 'D' AND rate <> 0 GROUP BY upper(currency), date),
+spine AS (SELECT currency, CAST(unnest(generate_series(first, (SELECT max(date) FROM observed), INTERVAL 1 DAY)) AS DATE) AS date
+          FROM (SELECT currency, min(date) AS first FROM observed GROUP BY currency)),
+filled AS (SELECT currency, date, last_value(rate IGNORE NULLS) OVER w AS rate,
+                  last_value(CASE WHEN rate IS NOT NULL THEN date END IGNORE NULLS) OVER w AS rate_date
+           FROM spine LEFT JOIN observed USING (currency, date) WINDOW w AS (PARTITION BY currency ORDER BY date))
+SELECT *, CAST(date - rate_date AS INTEGER) AS stale_days FROM filled""", dates="date rate_date")
+def _(t):
+    quoted = t.spark.sql(_QUOTED[len("quoted AS ("):-1].replace("FROM orders", "FROM {orders}"), orders=t.read("orders"))
+    return rates.fx_daily(quoted, order=["seq"])
+
+
 @query("last_value_per_minute", "M K3", ctes(SNAPS) + """
 SELECT account_id, account_type, date_trunc('minute', snapshot_at) AS snap_minute, max(snapshot_at) AS snapshot_at,
        arg_max(total_eval_amt, (snapshot_at, id)) AS total_eval_amt

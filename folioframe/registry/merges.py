@@ -355,7 +355,7 @@ def _(t):
     for _run in range(2):
         counts = tables.rewrite(t.spark, root, "market_calendar", mondays,
                                 lambda target, new: merge.upsert_calendar(target, new, now(), ["seq"]),
-                                batch=f"mondays-{root.rpartition('-')[2]}")
+                                batch="mondays")
     return tables.read_table(t.spark, root, "market_calendar").select(
         "market", "trade_date", "is_open", "note", "updated_at", F.lit(counts.processed).cast("bigint").alias("processed"))
 

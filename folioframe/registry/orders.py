@@ -10,6 +10,7 @@ from folioframe.registry.core import ctes, query
 from folioframe.registry.merges import before, now
 from folioframe.registry.standins import CALENDAR, account_sql, cents_sql, kind_sql, product_sql
 from folioframe.schemas import DOMESTIC_ORDERS, ORDER_HISTORY
+from folioframe.session import scratch_path
 from folioframe.sources import dimensions
 from folioframe.sources import orders as source
 
@@ -112,6 +113,52 @@ def _(t):
     return gate.collection_gate(asked, calendar(t)).select("o_orderkey", "market", "trade_date", "now_local", "reason", "status")
 
 
+_KRX_GATED = _GATED.replace("CASE WHEN o_orderkey % 10 = 0 THEN 'nyse' ELSE 'krx' END", "'krx'")
+_HOLES = """(year(trade_date) = (SELECT min(year) + 1 FROM years)
+             OR year(trade_date) = (SELECT max(year) FROM years) AND month(trade_date) > 6)"""
+
+
+def _stored_calendar(t, root):
+    """The stored calendar with a year missing and its last one cut short in June."""
+    full = calendar(t).withColumn("updated_at", before())
+    bounds = t.years().agg(F.min("year").alias("lo"), F.max("year").alias("hi")).first()
+    year = F.year("trade_date")
+    hole = (year == bounds["lo"] + 1) | ((year == bounds["hi"]) & (F.month("trade_date") > 6))
+    tables.append(full.filter(~hole), root, "market_calendar")
+
+
+def _asked(t):
+    return t.read("orders").select("o_orderkey", F.lit("krx").alias("market"),
+                                   F.col("o_orderdate").cast("date").alias("trade_date"), _clock().alias("now"))
+
+
+@query("gate_with_incomplete_calendar", "C9 A10 B5 G12", ctes(CALENDAR, _KRX_GATED) + """
+SELECT *, CASE WHEN reason = 'ready' THEN 'collect' ELSE 'skipped' END AS status FROM gated""", dates="trade_date", times="now_local")
+def _(t):
+    """Every order's day is known, though the stored calendar lacks a year and a half: the gaps are filled first."""
+    root = scratch_path(t.spark, "tables")
+    _stored_calendar(t, root)
+    gated = gate.gate_stored(t.spark, root, _asked(t), t.holidays(), now())
+    return gated.select("o_orderkey", "market", "trade_date", "now_local", "reason", "status")
+
+
+@query("completed_calendar", "C9 A10 B5", ctes(CALENDAR) + f"""
+SELECT market, trade_date, is_open, note,
+       CASE WHEN year(trade_date) IN (SELECT year(trade_date) FROM calendar WHERE {_HOLES})
+            THEN TIMESTAMP '2024-02-01 12:00:00' ELSE TIMESTAMP '2020-01-01' END AS updated_at,
+       (SELECT count(*) FROM calendar WHERE year(trade_date) IN (SELECT year(trade_date) FROM calendar WHERE {_HOLES})) AS first_run,
+       CAST(0 AS BIGINT) AS second_run
+FROM calendar""", dates="trade_date", times="updated_at")
+def _(t):
+    """Only years with a gap are written, once."""
+    root = scratch_path(t.spark, "tables")
+    _stored_calendar(t, root)
+    runs = [gate.complete_calendar(t.spark, root, gate.asked_years(_asked(t)), t.holidays(), now()) for _run in range(2)]
+    return tables.read_table(t.spark, root, "market_calendar").select(
+        "market", "trade_date", "is_open", "note", "updated_at",
+        *[F.lit(run.processed).cast("bigint").alias(name) for run, name in zip(runs, ("first_run", "second_run"), strict=True)])
+
+
 def collected(t):
     rows = t.read("orders").select(
         F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.expr(account_sql("o_custkey")).alias("account_id"),

@@ -13,7 +13,7 @@ from folioframe.session import scratch_path
 from folioframe.streaming import jobs
 
 
-def _stream(t):
+def arriving(t):
     """The events as a stream of several files, the latest events in the first, read a file a batch.
 
     A job whose answer hung on the order or size of its batches would differ from its SQL."""
@@ -27,10 +27,10 @@ def _stream(t):
 
 
 def _snapshots(t):
-    return _stream(t).selectExpr(*[f"{expr} AS {name}" for name, expr in SNAPSHOT_COLUMNS.items()])
+    return arriving(t).selectExpr(*[f"{expr} AS {name}" for name, expr in SNAPSHOT_COLUMNS.items()])
 
 
-def _wait(stream_query):
+def wait(stream_query):
     stream_query.awaitTermination()
     if stream_query.exception() is not None:
         raise stream_query.exception()
@@ -41,9 +41,9 @@ SELECT *, CAST(snapshot_at AS DATE) AS snap_date FROM snaps""", dates="snap_date
 def _(t):
     out, state = scratch_path(t.spark, "ingest"), scratch_path(t.spark, "ingest-state")
     stream = _snapshots(t)
-    _wait(jobs.ingest_snapshots(stream, out, state))
+    wait(jobs.ingest_snapshots(stream, out, state))
     # A resumed run finds nothing new.
-    _wait(jobs.ingest_snapshots(stream, out, state))
+    wait(jobs.ingest_snapshots(stream, out, state))
     return t.spark.read.parquet(out)
 
 
@@ -53,25 +53,55 @@ SELECT {account_sql('user_id')} AS account_id, CAST(ts AS DATE) AS order_date, e
 GROUP BY user_id, CAST(ts AS DATE), event_type""", dates="order_date")
 def _(t):
     root, state = scratch_path(t.spark, "tables"), scratch_path(t.spark, "upsert-state")
-    tables.create(t.spark, root, "domestic_orders")
-    seen = _stream(t).select(
+    wait(_upserted(t, sightings(arriving(t)), root, state))
+    return _kept_orders(t, root)
+
+
+def sightings(events):
+    return events.select(
         F.expr(account_sql("user_id")).alias("account_id"), F.lit("01").alias("account_product_code"),
         F.lit("brokerage").alias("account_type"), F.col("ts").cast("date").alias("order_date"), F.lit("").alias("order_branch_no"),
         F.col("event_type").alias("order_no"), F.expr(cents_sql("value")).alias("filled_amount"), F.col("ts").alias("seen_at"),
         F.col("event_id").alias("place"),
     )
-    _wait(jobs.upsert_stream(seen, root, "domestic_orders",
-                             lambda target, batch: merge.upsert_orders(target, batch, now()), state))
+
+
+def _upserted(t, seen, root, state):
+    tables.create(t.spark, root, "domestic_orders")
+    return jobs.upsert_stream(seen, root, "domestic_orders",
+                              lambda target, batch: merge.upsert_orders(target, batch, now()), state)
+
+
+def _kept_orders(t, root):
     return tables.read_table(t.spark, root, "domestic_orders").select("account_id", "order_date", "order_no", "filled_amount")
 
 
+@query("stream_order_upsert_two_tables", "K2 B4", f"""
+SELECT CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS desk, {account_sql('user_id')} AS account_id,
+       CAST(ts AS DATE) AS order_date, event_type AS order_no,
+       arg_max({cents_sql('value')}, (ts, event_id)) AS filled_amount FROM events
+GROUP BY user_id, CAST(ts AS DATE), event_type""", dates="order_date")
+def _(t):
+    """Two tables of one name in two folders, each kept by its own stream, both at once; their checkpoints end alike."""
+    events, running, out = arriving(t), [], None
+    for rest, desk in enumerate(("even", "odd")):
+        folder = scratch_path(t.spark, f"desk-{desk}")
+        seen = sightings(events.filter(F.col("user_id") % 2 == rest))
+        running.append((desk, f"{folder}/tables", _upserted(t, seen, f"{folder}/tables", f"{folder}/state")))
+    for desk, root, stream in running:
+        wait(stream)
+        kept = _kept_orders(t, root).withColumn("desk", F.lit(desk))
+        out = kept if out is None else out.unionByName(kept)
+    return out
+
+
 def _windowed(t, every, compact=False):
     out, state = scratch_path(t.spark, "windows"), scratch_path(t.spark, "windows-state")
 
     def last(rows):
         return jobs.last_per_window(rows, ["account_id", "account_type"], "total_eval_amt", every=every, tie="id")
 
-    _wait(jobs.write_partials(_snapshots(t), last, out, state))
+    wait(jobs.write_partials(_snapshots(t), last, out, state))
     if compact:
         jobs.compact_partials(t.spark, out, last)
     return jobs.read_partials(t.spark, out, last).drop("id")
@@ -111,11 +141,11 @@ def _(t):
 SELECT user_id, event_type, CAST(ts AS DATE) AS day, arg_min(event_id, (ts, event_id)) AS event_id FROM events
 GROUP BY user_id, event_type, CAST(ts AS DATE)""", dates="day")
 def _(t):
-    stream = _stream(t).select("user_id", "event_type", F.col("ts").cast("date").alias("day"), "ts", "event_id")
+    stream = arriving(t).select("user_id", "event_type", F.col("ts").cast("date").alias("day"), "ts", "event_id")
     out, state = scratch_path(t.spark, "distinct"), scratch_path(t.spark, "distinct-state")
 
     def first(rows):
         return jobs.first_per_key(rows, ["user_id", "event_type", "day"], ["ts", "event_id"])
 
-    _wait(jobs.write_partials(stream, first, out, state))
+    wait(jobs.write_partials(stream, first, out, state))
     return jobs.read_partials(t.spark, out, first).select("user_id", "event_type", "day", "event_id")

@@ -95,6 +95,20 @@ def delete_path(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def delete_if_bare(spark: SparkSession, path: str) -> None:
+    """Delete a folder that holds nothing but the mark of a finished write. One that anything else lies in, or that a
+    job is writing into, stays."""
+    files, target = _located(spark, path)
+    if not files.exists(target):
+        return
+    inside = [status.getPath() for status in files.listStatus(target)]
+    if all(name.getName() == "_SUCCESS" for name in inside):
+        for name in inside:
+            files.delete(name, False)
+        if not files.listStatus(target):
+            files.delete(target, False)
+
+
 def is_written(spark: SparkSession, path: str) -> bool:
     """Whether a write to the path ended well."""
     files, target = _located(spark, f"{path}/_SUCCESS")

@@ -7,6 +7,7 @@ under its number, and reading folds the partial answers by the time that the row
 
 from __future__ import annotations
 
+import re
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from folioframe.operators.merge import one_per_key
 from folioframe.operators.tables import rewrite
-from folioframe.session import delete_path
+from folioframe.session import delete_if_bare, delete_path
 
 ORDER_KEYS = ["account_id", "account_product_code", "order_date", "order_branch_no", "order_no"]
 BATCH = "batch"
@@ -47,10 +48,11 @@ def upsert_stream(stream: DataFrame, root: str, table: str, merge: Callable[[Dat
     """Merge each micro-batch into a stored table.
 
     The merge decides by what the rows say, such as the time of observation that `merge.upsert_orders` stores, so
-    batches may come in any order and a batch run again after a failure leaves the same rows.
+    batches may come in any order and a batch run again after a failure leaves the same rows. What a failed batch has
+    staged is told by the table's folder, the whole path of the checkpoint and the batch's number.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        rewrite(batch.sparkSession, root, table, batch, merge, batch=f"{_name(checkpoint)}-{batch_id}")
+        rewrite(batch.sparkSession, root, table, batch, merge, batch=f"{checkpoint.rstrip('/')}#{batch_id}")
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -58,10 +60,6 @@ def upsert_stream(stream: DataFrame, root: str, table: str, merge: Callable[[Dat
     )
 
 
-def _name(path: str) -> str:
-    return path.rstrip("/").rpartition("/")[2]
-
-
 def last_per_window(rows: DataFrame, keys: list[str], value: str, time: str = "snapshot_at", every: str = "1 day",
                     start: str | None = None, tie: str | None = None) -> DataFrame:
     """Latest non-NULL value of each key and window among the rows of a batch, or among such partial answers.
@@ -104,12 +102,17 @@ def read_partials(spark: SparkSession, out: str, fold: Callable[[DataFrame], Dat
 def compact_partials(spark: SparkSession, out: str, fold: Callable[[DataFrame], DataFrame]) -> None:
     """Fold the partial answers of all batches so far into one.
 
-    The folded answer is written before the old ones go. Folding a row twice changes nothing, so a failure in
-    between does no harm, nor does a batch that is run again later.
+    The folded answer is written before the old ones go, and what goes is the very files that were folded: a batch
+    that is run again meanwhile leaves new files, which stay. Folding a row twice changes nothing, so a failure in
+    between does no harm, nor does a batch that is run again later. A batch that replaces files while they are folded
+    makes the compaction fail; it has deleted nothing then and may be run again.
     """
-    old = sorted(row[0] for row in spark.read.parquet(out).select(BATCH).distinct().collect())
+    files = spark.read.parquet(out).inputFiles()
+    old = {int(re.search(rf"/{BATCH}=(-?[0-9]+)/", file)[1]) for file in files}
     if len(old) > 1:
-        fold(spark.read.parquet(out).filter(F.col(BATCH).isin(old)).drop(BATCH)).write.mode("errorifexists").parquet(
-            f"{out}/{BATCH}={min(0, *old) - 1}")
+        rows = spark.read.option("basePath", out).parquet(*files).drop(BATCH)
+        fold(rows).write.mode("errorifexists").parquet(f"{out}/{BATCH}={min(0, *old) - 1}")
+        for file in files:
+            delete_path(spark, file)
         for batch in old:
-            delete_path(spark, f"{out}/{BATCH}={batch}")
+            delete_if_bare(spark, f"{out}/{BATCH}={batch}")

@@ -153,12 +153,100 @@ def test_a_swap_that_failed_is_finished_by_the_retry(spark, tmp_path, monkeypatc
     with pytest.raises(RuntimeError):
         run()
     monkeypatch.setattr(tables, "swap", real)
-    run()
+    assert run() == (update.count(), 0)
     after = sorted(map(str, tables.read_table(spark, root, name).select(value).collect()))
     assert len(after) == len(before) and after != before
     assert tables.read_table(spark, root, name).count() == rows("old").count()
 
 
+def _orders_of(spark, account):
+    """One order, and one that no table can hold."""
+    row = observation("A-1", 5, 5, 1)
+    return spark.createDataFrame([(account, *row[1:]), (account, *row[1:3], None, *row[4:])], SEEN)
+
+
+def _put_orders(target, new):
+    return merge.upsert_orders(target, new, now())
+
+
+def test_a_stage_is_never_taken_for_another_table(spark, tmp_path, monkeypatch):
+    """A table's rewrite fails before its swap; one of the same name and batch in another folder is not touched by it."""
+    roots = [str(tmp_path / side / "tables") for side in ("a", "b")]
+    for root in roots:
+        tables.create(spark, root, "domestic_orders")
+    real = tables.swap
+    monkeypatch.setattr(tables, "swap", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        tables.rewrite(spark, roots[0], "domestic_orders", _orders_of(spark, "a"), _put_orders, batch="state-0")
+    monkeypatch.setattr(tables, "swap", real)
+    for root, account in ((roots[1], "b"), (roots[0], "a"), (roots[0], "a")):
+        assert tables.rewrite(spark, root, "domestic_orders", _orders_of(spark, account), _put_orders, batch="state-0") == (1, 1)
+        assert [r.account_id for r in tables.read_table(spark, root, "domestic_orders").collect()] == [account]
+
+
+def test_a_retry_takes_the_stage_and_its_counts_not_the_input(spark, tmp_path, monkeypatch):
+    root, real = str(tmp_path / "tables"), tables.swap
+    tables.create(spark, root, "domestic_orders")
+    monkeypatch.setattr(tables, "swap", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        tables.rewrite(spark, root, "domestic_orders", _orders_of(spark, "a"), _put_orders, batch="x#1")
+    monkeypatch.setattr(tables, "swap", real)
+    assert tables.rewrite(spark, root, "domestic_orders", _orders_of(spark, "z").limit(0), _put_orders, batch="x#1") == (1, 1)
+    assert [r.account_id for r in tables.read_table(spark, root, "domestic_orders").collect()] == ["a"]
+    # The stage is gone: the name may be used again.
+    assert tables.rewrite(spark, root, "domestic_orders", _orders_of(spark, "z"), _put_orders, batch="x#1") == (1, 1)
+    assert sorted(r.account_id for r in tables.read_table(spark, root, "domestic_orders").collect()) == ["a", "z"]
+
+
+def test_a_stage_of_another_batch_is_refused(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "tables")
+    tables.create(spark, root, "domestic_orders")
+    monkeypatch.setattr(tables, "stage_path", lambda spark_, *_: f"{session.shared_root(spark_)}/one-{tmp_path.name}")
+    monkeypatch.setattr(tables, "swap", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        tables.rewrite(spark, root, "domestic_orders", _orders_of(spark, "a"), _put_orders, batch="1")
+    with pytest.raises(ValueError, match="staged for batch 1"):
+        tables.rewrite(spark, root, "domestic_orders", _orders_of(spark, "a"), _put_orders, batch="2")
+
+
+def test_a_swap_does_not_shuffle(spark, tmp_path, monkeypatch):
+    root, plans, real = str(tmp_path / "tables"), [], tables.swap
+    tables.create(spark, root, "domestic_orders")
+
+    def watched(spark_, root_, name, merged):
+        rows = spark_.read.parquet(merged)
+        plans.append((rows._jdf.queryExecution().executedPlan().toString(), "month" in rows.columns))
+        real(spark_, root_, name, merged)
+
+    monkeypatch.setattr(tables, "swap", watched)
+    tables.rewrite(spark, root, "domestic_orders", _orders_of(spark, "a"), _put_orders)
+    assert plans and all("Exchange" not in plan and split for plan, split in plans)
+
+
+def test_compaction_leaves_what_a_batch_wrote_meanwhile(spark, tmp_path):
+    out, rows = str(tmp_path / "partials"), "k STRING, v INT, at INT"
+
+    def newest(df):
+        return merge.one_per_key(df, ("k",), ["at"])
+
+    def write(batch, *data):
+        spark.createDataFrame(data, rows).write.mode("append").parquet(f"{out}/batch={batch}")
+
+    def fold(df):
+        # Batch 1 is run again while the rows are folded, and this time has one row more.
+        if not (tmp_path / "again").exists():
+            (tmp_path / "again").touch()
+            write(1, ("late", 9, 9))
+        return newest(df)
+
+    write(0, ("a", 1, 1))
+    write(1, ("a", 2, 2), ("b", 3, 1))
+    jobs.compact_partials(spark, out, fold)
+    assert sorted((r.k, r.v) for r in jobs.read_partials(spark, out, newest).collect()) == [("a", 2), ("b", 3), ("late", 9)]
+    jobs.compact_partials(spark, out, newest)
+    assert sorted((r.k, r.v) for r in jobs.read_partials(spark, out, newest).collect()) == [("a", 2), ("b", 3), ("late", 9)]
+
+
 def test_reads_skip_the_files_of_other_months(spark, tmp_path):
     root = str(tmp_path / "tables")
     rows = [("A", "KRX", dt.date(2024, month, 1), 1.0, 1.0, 1.0, 1.0, 1, 1) for month in (1, 2, 3)]
