@@ -71,7 +71,8 @@ def summed(rows: DataFrame, width: int, work: Callable[[np.ndarray], np.ndarray]
                 [pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "part"])
 
     parts = rows.select("x").mapInArrow(run, "at int, part double").groupBy("at").agg(F.sum("part").alias("part"))
-    return np.array([row["part"] for row in parts.orderBy("at").collect()])
+    found = {row["at"]: row["part"] for row in parts.collect()}
+    return np.array([found[at] for at in range(len(found))])
 
 
 def whole_sums(rows: DataFrame, width: int) -> tuple[int, list[int]]:
