@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +25,8 @@ PACKED = PIECES.replace("slot bigint", "sequence_id bigint, offset bigint")
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str, ranks: str):
-    """Token ids of a text by the byte-level vocabulary at `vocabulary`, without special tokens.
+    """Token ids of a text by the byte-level vocabulary at `vocabulary`, no special token added; one that the text
+    itself spells out is that one id.
 
     `ranks` names the same vocabulary in the form that a faster library with the same splitting rule reads; without
     it the `tokenizers` library does the work.
@@ -33,14 +35,16 @@ def encoder(vocabulary: str, ranks: str):
         import public_tokenizers
         import tiktoken
 
+        with open(vocabulary, encoding="utf-8") as file:
+            special = {token["content"]: token["id"] for token in json.load(file).get("added_tokens", [])}
         with open(ranks, "rb") as lines:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        return tiktoken.Encoding(
-            "packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, special_tokens=special, mergeable_ranks={
+            token: rank for token, rank in merges.items() if rank not in special.values()})
+        return lambda text: encoding.encode(text, allowed_special="all")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 

@@ -14,9 +14,7 @@ from tests.llm.helpers import SF, awkward, documents, with_clashes
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    made = Tokenizer.from_file(vocabulary()[0])
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(vocabulary()[0])
 
 
 def ids_of(tokenizer, text):
@@ -75,10 +73,18 @@ def test_both_libraries_give_the_same_ids(tokenizer):
     rng = random.Random(2)
     alphabet = "ab Z09 \n\t\r é日本🎉'sdtlm.,!?<|>‍́_-ßİ٣²"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(3000)]
-    texts += ["<|endoftext|>", "", " ", "a" * 5000, "don't we'LL", "�\x00\x1f"]
+    texts += ["<|endoftext|>", "a <|endoftext|> b", " <|endoftext|><|endoftext|>\n\nx", "<|endof text|>", "  <|endoftext|>  é", "", " ", "a" * 5000, "don't we'LL", "�\x00\x1f"]
     for text in texts:
         assert list(encode(text)) == tokenizer.encode(text, add_special_tokens=False).ids, text
-    assert packing.encoder(vocabulary()[0], "")("some text") == list(encode("some text"))
+        assert list(packing.encoder(vocabulary()[0], "")(text)) == list(encode(text))
+    assert list(encode("a <|endoftext|> b")) == [64, 220, 50256, 275]
+
+
+def test_a_special_token_in_a_text_is_one_id(spark, tokenizer):
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>" * 2000), (3, "<|endoftext|")]
+    packed = packing.pack(documents(spark, rows), *vocabulary()).collect()
+    hold(packed, rows, tokenizer)
+    assert {r["doc_id"]: r["doc_tokens"] for r in packed}[2] == 2001
 
 
 def test_round_trip_of_the_test_documents(spark, tokenizer):
