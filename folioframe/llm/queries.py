@@ -162,12 +162,14 @@ ORACLES: dict[str, str] = {
         FROM messages GROUP BY conv_id""",
     "op9_pivot_topk": """
         WITH vectors AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            SELECT vec_id, embedding AS given, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        asking AS (SELECT vec_id, arg_min(v, given) AS v FROM vectors WHERE vec_id % 50 = 0 GROUP BY vec_id),
         scored AS (
             SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-            FROM vectors q JOIN vectors c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+            FROM asking q JOIN vectors c ON c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
         ranked AS (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored)
         SELECT query_id, place::INTEGER AS rank, vec_id, score FROM ranked WHERE place <= 5""",

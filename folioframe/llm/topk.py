@@ -26,9 +26,9 @@ RING = 4096
 EXACT = float(1 << 53)
 SLACK = 1e-6
 RINGS = """block bigint, dimension int, pivot int, low double, high double, norm double, kind string, ids binary,
-           vectors binary, q_ids binary, q_vectors binary, q_floor binary, q_count int, q_norm double, q_least double,
+           copies binary, vectors binary, q_ids binary, q_vectors binary, q_floor binary, q_count int, q_norm double, q_least double,
            reach array<struct<pivot: int, low: double, high: double>>"""
-ANSWER = "query_id bigint, vec_id bigint, score bigint"
+ANSWER = "query_id bigint, vec_id bigint, score bigint, copies bigint"
 
 
 def packed(x: np.ndarray) -> tuple[str, np.ndarray]:
@@ -80,7 +80,7 @@ def scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def best(query_ids: np.ndarray, ids: np.ndarray, found: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, vector, score) of each query's k best, ties to smaller ids, its own id left out."""
+    """(query, place in `ids`, score) of each query's k best, ties to smaller ids, rows of its own id left out."""
     out = []
     for query, row in zip(query_ids.tolist(), found, strict=True):
         allowed = np.flatnonzero(ids != query)
@@ -88,7 +88,7 @@ def best(query_ids: np.ndarray, ids: np.ndarray, found: np.ndarray, k: int) -> l
             floor = np.partition(row[allowed], len(allowed) - k)[len(allowed) - k]
             allowed = allowed[row[allowed] >= floor]
         order = allowed[np.lexsort((ids[allowed], -row[allowed]))][:k]
-        out += [(query, int(ids[j]), int(row[j])) for j in order]
+        out += [(query, int(j), int(row[j])) for j in order]
     return out
 
 
@@ -97,7 +97,7 @@ def build_rings(vectors: DataFrame, pivots: dict[int, np.ndarray], k: int, every
     the ring) and the range of their distances to each pivot of their dimension."""
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(1).to_pylist()
+            rows = batch.column(2).to_pylist()
             sizes = np.array([len(r) for r in rows], np.int32)
             pivot, distance = np.zeros(len(rows), np.int32), np.zeros(len(rows))
             for size in np.unique(sizes):
@@ -106,13 +106,19 @@ def build_rings(vectors: DataFrame, pivots: dict[int, np.ndarray], k: int, every
                     apart = distances(quantise([rows[i] for i in at]), pivots[size])
                     pivot[at], distance[at] = apart.argmin(axis=1), apart.min(axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(pivot), pa.array(distance)],
-                names=["vec_id", "x", "dimension", "pivot", "distance"])
+                [*batch.columns, pa.array(sizes), pa.array(pivot), pa.array(distance)],
+                names=["vec_id", "copies", "x", "dimension", "pivot", "distance"])
 
-    keyed = stored(vectors.distinct().mapInArrow(
-        assign, "vec_id bigint, x array<double>, dimension int, pivot int, distance double"), "topk-keyed")
+    unique = vectors.groupBy("vec_id", "x").agg(F.count(F.lit(1)).alias("copies")).select("vec_id", "copies", "x")
+    keyed = stored(unique.mapInArrow(
+        assign, "vec_id bigint, copies bigint, x array<double>, dimension int, pivot int, distance double"), "topk-keyed")
     count = max(1, -(-keyed.count() // ring))
-    dealt = keyed.repartitionByRange(count, "dimension", "pivot", "distance", "vec_id").sortWithinPartitions(
+    # Of several vectors with one id the smallest asks; hardly any id has more than one.
+    several = keyed.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("first")).filter("n > 1").select("vec_id", "first")
+    asking = (F.col("vec_id") % every == 0) & F.coalesce(F.col("x") == F.col("first"), F.lit(True))
+    dealt = keyed.join(several, "vec_id", "left").select(
+        "vec_id", "x", "dimension", "pivot", "distance", "copies", asking.alias("asks")).repartitionByRange(count, "dimension", "pivot", "distance", "vec_id").sortWithinPartitions(
         "dimension", "pivot", "distance", "vec_id")
 
     def close(rows: list[tuple], block: int) -> tuple:
@@ -121,9 +127,7 @@ def build_rings(vectors: DataFrame, pivots: dict[int, np.ndarray], k: int, every
         x = quantise([r[1] for r in rows]).reshape(len(rows), dimension)
         apart = np.array([r[4] for r in rows])
         norms = np.sqrt((x * x).sum(axis=1))
-        asks = np.flatnonzero(ids % every == 0)
-        # A query id that repeats asks once, with the first of its vectors.
-        asks = asks[np.unique(ids[asks], return_index=True)[1]]
+        asks = np.flatnonzero([r[6] for r in rows])
         q, q_ids = x[asks], ids[asks]
         answers = best(q_ids, ids, scores(q, x), k)
         floors = {}
@@ -136,7 +140,7 @@ def build_rings(vectors: DataFrame, pivots: dict[int, np.ndarray], k: int, every
                  for j in range(to_pivots.shape[1])] if len(q) else []
         kind, small = packed(x)
         return (block, dimension, pivot, float(apart.min()), float(apart.max()), float(norms.max()), kind,
-                ids.tobytes(), small.tobytes(), q_ids.tobytes(), small[asks].tobytes(), floor.tobytes(), len(q_ids),
+                ids.tobytes(), np.array([r[5] for r in rows], np.int64).tobytes(), small.tobytes(), q_ids.tobytes(), small[asks].tobytes(), floor.tobytes(), len(q_ids),
                 float(norms[asks].max()) if len(q) else 0.0, float(floor.min()) if len(q) else 0.0, reach)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +149,7 @@ def build_rings(vectors: DataFrame, pivots: dict[int, np.ndarray], k: int, every
         block, rows = TaskContext.get().partitionId() << 32, []
         for batch in batches:
             out = []
-            for row in zip(*[batch.column(c).to_pylist() for c in range(5)], strict=True):
+            for row in zip(*[batch.column(c).to_pylist() for c in range(7)], strict=True):
                 if rows and (row[2:4] != rows[-1][2:4] or len(rows) >= ring):
                     out.append(close(rows, block))
                     block, rows = block + 1, []
@@ -175,7 +179,8 @@ def search(embeddings: DataFrame, k: int = K, every: int = EVERY, pivots: int =
 
     Vectors are floor(256 * x) of each component. Rows whose id is NULL, or whose vector is NULL or holds NULL or
     non-finite components, take no part; only vectors of one length are compared. Rows that carry the query's id are
-    left out, and a row repeated in id and vector counts once. Every row is indexed; the bounded sample only places
+    left out. A row repeated in id and vector is a candidate as often as it is there, but asks once; of several vectors
+    with one id the smallest asks, and all are candidates. Every row is indexed; the bounded sample only places
     the pivots. Blocks of queries meet the rings that their bounds admit, in rounds of joins by block; where bounds
     admit all, that is the stated query set against all rows, in blocks.
     """
@@ -195,9 +200,9 @@ def search(embeddings: DataFrame, k: int = K, every: int = EVERY, pivots: int =
         (F.pow("q_norm", F.lit(2)) + F.pow("norm", F.lit(2)) - F.pow(gap, F.lit(2))) / 2 * (1 + SLACK) + 1
         >= F.col("q_least")).select("q_block", "block")
     questions = rings.filter("q_count > 0").select(F.col("block").alias("q_block"), F.col("kind").alias("q_kind"), "q_ids", "q_vectors", "q_floor")
-    holds = rings.select("block", "dimension", "pivot", "low", "high", "norm", "kind", "ids", "vectors")
+    holds = rings.select("block", "dimension", "pivot", "low", "high", "norm", "kind", "ids", "copies", "vectors")
     met = pairs.join(questions, "q_block").join(holds, "block").select(
-        "dimension", "pivot", "low", "high", "norm", "q_kind", "q_ids", "q_vectors", "q_floor", "kind", "ids", "vectors")
+        "dimension", "pivot", "low", "high", "norm", "q_kind", "q_ids", "q_vectors", "q_floor", "kind", "ids", "copies", "vectors")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,12 +222,14 @@ def search(embeddings: DataFrame, k: int = K, every: int = EVERY, pivots: int =
                     kept = np.flatnonzero(bound * (1 + SLACK) + 1 >= floor)
                     q, q_ids, floor = q[kept], q_ids[kept], floor[kept]
                 found = scores(q, x)
-                triples = best(q_ids, ids, found, k)
-                columns = list(zip(*triples, strict=True)) or [(), (), ()]
+                triples = np.array(best(q_ids, ids, found, k), np.int64).reshape(-1, 3)
+                at = triples[:, 1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+                    [pa.array(c) for c in (triples[:, 0], ids[at], triples[:, 2], np.frombuffer(row["copies"], np.int64)[at])],
+                    names=["query_id", "vec_id", "score", "copies"])
 
-    found = met.mapInArrow(answer, ANSWER).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = met.mapInArrow(answer, ANSWER)
+    each = found.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
+    return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
