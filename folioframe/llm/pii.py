@@ -9,9 +9,10 @@ patterns point to, of a shape that suits the kind, are added to the base spans.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,13 +32,13 @@ OCCURRENCE = T.StructType([
     T.StructField("patterns", T.ArrayType(T.StringType())),
 ])
 FIELDS = [T.StructField("base", T.ArrayType(SPAN)), T.StructField("occurrences", T.ArrayType(OCCURRENCE))]
-# Tokens with an at sign or a digit are looked at, and `suitable` alone judges their shape; longer ones are no identifiers.
+# Tokens with an at sign or a digit are looked at, of any length, and `suitable` alone judges their shape.
 _MARK = re.compile(r"[\d@]")
 _BLANK = re.compile(r"\s")
 _JOINED = re.compile(r"[()]?\s[()]?")
-_LONGEST = 64
 _EDGES = ".,;:!?\"'()[]{}<>"
-_REACH = 80
+# Longer words and instances are told by a hash.
+_SPELLED = 64
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -60,10 +61,31 @@ def suitable(token: str) -> list[str]:
     return kinds
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """The word before, the two words before, the word after, and both neighbours, lower-cased; within _REACH."""
-    left = [w.strip(_EDGES).lower() for w in text[max(0, start - _REACH):start].split()[-2:]]
-    right = [w.strip(_EDGES).lower() for w in text[end:end + _REACH].split()[:1]]
+def key(word: str) -> str:
+    """The word, lower-cased, or a hash of it if it is long."""
+    lowered = word.lower()
+    return lowered if len(word) <= _SPELLED else f"#{xxhash.xxh128_hexdigest(lowered.encode('utf-8', 'surrogatepass'))}"
+
+
+def patterns(text: str, start: int, end: int, low: int = 0, high: int | None = None) -> list[str]:
+    """The word before, the two words before, the word after, and both neighbours, lower-cased; words end at blanks,
+    however far those are, and at `low` and `high`."""
+    left: list[str] = []
+    at = start
+    while len(left) < 2 and at > low:
+        stop = at
+        while stop > low and text[stop - 1].isspace():
+            stop -= 1
+        at = stop
+        while at > low and not text[at - 1].isspace():
+            at -= 1
+        if at < stop:
+            left.insert(0, key(text[at:stop].strip(_EDGES)))
+    high, at = len(text) if high is None else high, end
+    while at < high and text[at].isspace():
+        at += 1
+    blank = _BLANK.search(text, at, high)
+    right = [key(text[at:blank.start() if blank else high].strip(_EDGES))] if at < high else []
     found = []
     if left:
         found.append(f"L {left[-1]}")
@@ -77,16 +99,14 @@ def patterns(text: str, start: int, end: int) -> list[str]:
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
-    """Tokens with a digit or an at sign, stripped of marks around them, none longer than _LONGEST."""
+    """Tokens with a digit or an at sign, stripped of marks around them."""
     found, place = [], 0
     while mark := _MARK.search(text, place):
         start = mark.start()
-        while start and mark.end() - start <= _LONGEST and not text[start - 1].isspace():
+        while start > place and not text[start - 1].isspace():
             start -= 1
         blank = _BLANK.search(text, mark.end())
         place = end = blank.start() if blank else len(text)
-        if end - start > _LONGEST:
-            continue
         token = text[start:end]
         start += len(token) - len(token.lstrip(_EDGES))
         end -= len(token) - len(token.rstrip(_EDGES))
@@ -117,7 +137,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
         if len(run) > 1 and text[first - 1:first] == "(" and ")" in text[first:run[-1][1]]:
             first -= 1
         found += [(a, b, first) for a, b in run]
-        if len(run) > 1 and run[-1][1] - first <= _LONGEST:
+        if len(run) > 1:
             found.append((first, run[-1][1], first))
     return found
 
@@ -129,9 +149,12 @@ def scan(texts: list[str]) -> dict[str, list]:
         base.append([{"order": KINDS.index(k), "start": a, "kind": k, "end": b} for k, a, b in spans])
         rows = [(a, b, a, k, [k]) for k, a, b in spans]
         rows += [(a, b, r, None, s) for a, b, r in candidates(text, spans) if (s := suitable(text[a:b]))]
+        # A context ends where another base span does, so that words in a text without blanks are read once, too.
+        begins, ends = sorted(a for _, a, _ in spans), sorted(b for *_, b in spans)
         occurrences.append([{
-            "start": a, "end": b, "run": r, "kind": k, "instance": text[a:b].lower(), "suits": s,
-            "patterns": patterns(text, a, b),
+            "start": a, "end": b, "run": r, "kind": k, "instance": key(text[a:b]), "suits": s,
+            "patterns": patterns(text, a, b, ends[i - 1] if (i := bisect_right(ends, a)) else 0,
+                                 begins[j] if (j := bisect_left(begins, b)) < len(begins) else len(text)),
         } for a, b, r, k, s in rows])
     return {"base": base, "occurrences": occurrences}
 
@@ -187,7 +210,7 @@ def find(documents: DataFrame, rounds: int = 3, smoothing: float = 3.0, confiden
     order = F.array_position(F.lit(list(KINDS)), F.col("kind")).cast("int") - 1
     best = claims.withColumn("order", order).groupBy("row", "run", "start", "end").agg(
         F.max_by(F.struct("order", "start", "kind", "end"), F.struct("confidence", -F.col("order"))).alias("span"))
-    # Within a run, of _LONGEST characters if it is claimed whole, that claim stands for those of its tokens.
+    # Within a run that is claimed whole, that claim stands for those of its tokens.
     whole = best.groupBy("row", "run").agg(F.max("end").alias("reach"), F.min("start").alias("from"),
                                            F.max_by("span", F.col("end") - F.col("start")).alias("widest"),
                                            F.collect_list("span").alias("list"))

@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -100,3 +101,24 @@ def test_candidates():
     assert of("a 12-34-56-78, b") == ["12-34-56-78"]
     assert of("x 030 1234567 2x") == ["1234567", "030 1234567"]
     assert of("1 " * 200) == [] and of("9" * 100_000) == [] and of("a" * 100_000 + "9") == []
+
+
+def test_identifiers_and_words_of_any_length(spark):
+    """A hundred characters of identifier, context words of a hundred and more, and blanks beyond eighty."""
+    word = "hyphen-" * 16 + "word"
+    rows = [(i, f"{word}{' ' * (90 + i)}user{i}@mail.example.org today") for i in range(8)]
+    rows += [(20 + i, f"please write owner{i}@mail.example.org soon") for i in range(8)]
+    long = "o" * 95 + "@localhost"
+    rows += [(100, f"{word} somebody@localhost today"), (101, f"please write {long} soon"), (102, f"we like {long} here")]
+    found = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(documents(spark, rows))).collect()}
+    assert found[100] == f"email:{len(word) + 1}:{len(word) + 1 + len('somebody@localhost')}"
+    assert found[101] == f"email:13:{13 + len(long)}" and found[102] == ""
+
+
+def test_contexts_of_many_identifiers_without_blanks_are_read_once():
+    begun = time.process_time()
+    made = pii.scan([",".join(f"a{i}@b.co" for i in range(20_000)), "x" * 500_000 + "a@b.co" + "y" * 500_000])
+    assert time.process_time() - begun < 20
+    assert len(made["base"][0]) == 20_000
+    assert pii.patterns("one two a@b.co three", 8, 14) == ["L two", "LL one two", "R three", "LR two three"]
+    assert pii.patterns("one, a@b.co", 5, 11) == ["L one"] and pii.patterns("a@b.co", 0, 6) == []
