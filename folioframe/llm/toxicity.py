@@ -191,13 +191,13 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate:
     return model
 
 
-def learn_terms(documents: DataFrame, targets: DataFrame, rows: int = 20_000, least: int = 5, purity: float = 0.9,
-                most: int = 5000) -> Terms:
-    """Terms in at least `least` toxic texts, of which at least `purity` of the texts that hold them are toxic.
+def learn_terms(documents: DataFrame, targets: DataFrame, rows: int = 20_000, least: int = 5,
+                purity: float = 0.9) -> Terms:
+    """All terms in at least `least` toxic texts, of which at least `purity` of the texts that hold them are toxic.
 
     Learned from about `rows` labelled texts at most, chosen by a hash of the id, and those alone are joined with
-    their labels. Tasks count their own texts first; at most the `most` commonest terms reach the driver. A stem whose
-    beginning is a term already adds nothing and is left out.
+    their labels; that bounds the terms that reach the driver. Tasks count their own texts first. A stem whose beginning
+    is a term already adds nothing and is left out.
     """
     rate = rows / max(targets.count(), 1)
     chosen = documents.filter(unit_hash("doc_id", seed="terms") < rate).select(
@@ -218,8 +218,7 @@ def learn_terms(documents: DataFrame, targets: DataFrame, rows: int = 20_000, le
 
     found = sample.mapInArrow(count, "term string, n bigint, toxic bigint").groupBy("term").agg(
         F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).filter(
-        (F.col("toxic") >= least) & (F.col("toxic") >= F.col("n") * purity)).orderBy(F.desc("toxic"), "term").limit(
-        most).collect()
+        (F.col("toxic") >= least) & (F.col("toxic") >= F.col("n") * purity)).select("term").collect()
     stems = {r["term"][:-1] for r in found if r["term"].endswith("-") and len(r["term"]) - 1 in STEMS}
     stems = {s for s in stems if not any(s[:n] in stems for n in STEMS if n < len(s))}
     words = {r["term"] for r in found if not r["term"].endswith("-")}
@@ -228,7 +227,7 @@ def learn_terms(documents: DataFrame, targets: DataFrame, rows: int = 20_000, le
 
 def fit(train: DataFrame, fit_rows: int = 60_000) -> tuple[Trees, Isotonic]:
     """Trees from about `fit_rows` labelled rows at most, chosen by a hash of the id (the bound on what reaches the
-    driver: 17 numbers a row); the calibration from every labelled row of another quarter, by score bins."""
+    driver: 20 numbers a row); the calibration from every labelled row of another quarter, by score bins."""
     marked = train.withColumn("held", unit_hash("doc_id", seed="calibrate") < 0.25)
     pool = marked.filter(~F.col("held"))
     rate = fit_rows / max(pool.count(), 1)

@@ -187,6 +187,15 @@ def test_terms_are_words_and_stems_of_toxic_texts(spark):
     assert terms.has("vilest") and not terms.has("vile") and not terms.has("bland") and terms.openings() == {"vile"}
 
 
+def test_more_terms_than_five_thousand_are_all_learned(spark):
+    words = [f"{a}{b}{c}zq" for a in "bcdfghjklmnprstvwxz" for b in "aeiou" * 4 for c in "bcdfghjklmnprstvwx"]
+    words = sorted(set(words))[:1500] + [f"q{k:05d}x" for k in range(5200)]
+    rows = [(i, " ".join(words)) for i in range(6)] + [(100 + i, "plain words only") for i in range(6)]
+    targets = spark.createDataFrame([(d, float(d < 100)) for d, _ in rows], "doc_id bigint, target double")
+    terms = toxicity.learn_terms(documents(spark, rows), targets, rows=1000)
+    assert all(terms.has(w) or any(w.startswith(s) for s in terms.stems) for w in words)
+
+
 def test_held_out_toxicity(spark):
     table, truth = read_table(spark, "/root/testdata/sf0.1", "documents"), read_table(spark, "/root/testdata/sf0.1", "labels")
     found = toxicity.score(table, truth).join(truth, "doc_id").filter("held_out").collect()
