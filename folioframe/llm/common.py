@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioframe.session import materialize, scratch_path
+from folioframe.session import drop_scratch, materialize, scratch_path
 
 Arrays = dict[str, list]
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +22,31 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read back, so that later steps survive lost executors."""
-    return materialize(df, scratch_path(df.sparkSession, name))
+    path = scratch_path(df.sparkSession, name)
+    out = materialize(df, path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stored tables that no later step reads."""
+    for frame in frames:
+        drop_scratch(frame.sparkSession, _PATHS.pop(frame))
+
+
+def unused(columns: Iterable[str], name: str) -> str:
+    """`name`, with underscores added until no column is called so (whatever its case)."""
+    taken = {column.lower() for column in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(df: DataFrame) -> Column:
+    """Two hashes of all columns: rows with equal ones are the same row, repeated."""
+    parts = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if f.dataType.simpleString().find("map<") >= 0 else F.col(f"`{f.name}`")
+             for f in df.schema.fields]
+    return F.struct(F.xxhash64(*parts).alias("x"), F.xxhash64(F.lit(1), *parts).alias("y"))
 
 
 def remainder(doc_id: str | Column, modulus: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import stored
+from folioframe.llm.common import discard, stored
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         linked = wide.join(smallest, "a").select(F.explode(F.array(
             F.struct(F.col("a").alias("a"), F.col("m").alias("b")),
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        current = stored(linked.filter("a != b").distinct(), "components")
+        before_it, current = current, stored(linked.filter("a != b").distinct(), "components")
+        discard(before_it)
     else:
         raise RuntimeError(f"components did not settle in {limit} rounds")
     roots = current.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))

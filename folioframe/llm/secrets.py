@@ -7,8 +7,10 @@ around it and numbers of the whole text. It learns from tokens that the rules ma
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioframe.llm import spans as rules
-from folioframe.llm.common import map_texts, unit_hash
+from folioframe.llm.common import discard, map_texts, stored, unit_hash, unused
 
 KINDS = ("assign", "access", "hex")
 LEARNED = "crf"
@@ -249,16 +251,20 @@ def learned_spans(field: Field, text: str, base: list[rules.Span], least: int =
             found.append((int(starts[i]), int(ends[i])))
         else:
             found[-1] = (found[-1][0], int(ends[i]))
-    return [(a, b) for a, b in found if b - a >= least and not rules.overlaps(a, b, base)]
+    base = sorted(base)
+    begins, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))
+    return [(a, b) for a, b in found if b - a >= least
+            and not ((k := bisect_left(begins, b)) and reach[k - 1] > a)]
 
 
-def windows(text: str, picked: float) -> tuple[np.ndarray, np.ndarray] | None:
-    """One training window of a text: around its first secret, or else around its first token that holds a digit,
-    or else at a place fixed by `picked`."""
+def windows(text: str, picked: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Training windows of a text: every marked token lies in one, each around the first marked token that the ones
+    before do not hold. A text without any has one window around its first token that holds a digit, or else at a
+    place fixed by `picked`."""
     starts, ends, index = tokens(text)
     n = len(starts)
     if not n:
-        return None
+        return []
     tags = np.zeros(n, np.int8)
     for *_, a, b in base_spans(text):
         first, stop = np.searchsorted(ends, a, side="right"), np.searchsorted(starts, b, side="left")
@@ -266,9 +272,19 @@ def windows(text: str, picked: float) -> tuple[np.ndarray, np.ndarray] | None:
         tags[first:first + 1] = 1
     digits = np.flatnonzero(index[:, 1] != OFFSETS[1])
     marked = np.flatnonzero(tags)
-    middle = marked[0] if len(marked) else digits[0] if len(digits) else int(picked * n)
-    low = max(0, min(middle - WINDOW // 2, n - WINDOW))
-    return index[low:low + WINDOW], tags[low:low + WINDOW]
+    middles, covered = [], 0
+    for place in marked.tolist():
+        if place >= covered:
+            middles.append(place)
+            covered = max(0, min(place - WINDOW // 2, n - WINDOW)) + WINDOW
+    if not middles:
+        middles = [int(digits[0]) if len(digits) else int(picked * n)]
+    lows = [max(0, min(middle - WINDOW // 2, n - WINDOW)) for middle in middles]
+    made = [(index[low:low + WINDOW], tags[low:low + WINDOW].copy()) for low in lows]
+    for _, marks in made:
+        # A window that starts inside a secret begins it: no chain starts with I.
+        marks[0] = min(marks[0], 1)
+    return made
 
 
 # Features of a token's surroundings, which a copy of each training window goes without.
@@ -286,29 +302,34 @@ def blurred(index: np.ndarray) -> np.ndarray:
 
 
 def fit(documents: DataFrame, fit_rows: int = 12_000) -> Field:
-    """Learn from one window of each of about `fit_rows` texts at most, chosen by a hash of the text.
+    """Learn from about `fit_rows` windows at most, of about as many texts, both chosen by a hash.
 
-    Windows without a secret or a digit are thinned to one in eight. The bound keeps what reaches the driver (a few
-    kilobytes a window) and the fit the same size for any corpus.
+    Of a chosen text every marked token lies in a window, wherever it stands. Windows without a secret or a digit are
+    thinned to one in eight. Should the texts' windows be more than `fit_rows`, windows are chosen by a hash of text and
+    place. The bound keeps what reaches the driver (a few kilobytes a window) and the fit the same size for any corpus.
     """
     total = documents.count()
     # Equal texts share a hash and are taken or left together, hence distinct rows of the sample only.
     sample = documents.select(F.coalesce("text", F.lit("")).alias("text")).filter(
         unit_hash("text", seed="crf") < fit_rows / max(total, 1)).withColumn("picked", unit_hash("text", seed="place"))
-    schema = "index binary, tags binary, key bigint"
+    schema = "index binary, tags binary, key bigint, place int"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(windows(t, p), p) for t, p in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            kept = [(w, p) for w, p in made if w is not None
-                    and (w[1].any() or p < 0.125 or (w[0][:, 1] != OFFSETS[1]).any())]
+            kept = []
+            for text, picked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                kept += [(w, picked, place) for place, w in enumerate(windows(text, picked))
+                         if w[1].any() or picked < 0.125 or (w[0][:, 1] != OFFSETS[1]).any()]
             yield pa.RecordBatch.from_arrays([
-                pa.array([w[0].astype(np.int32).tobytes() for w, _ in kept], pa.binary()),
-                pa.array([w[1].tobytes() for w, _ in kept], pa.binary()),
-                pa.array([int(p * (1 << 30)) for _, p in kept], pa.int64())], names=["index", "tags", "key"])
-
-    rows = sample.mapInArrow(cut, schema).dropDuplicates(["key", "tags"]).orderBy("key").collect()
+                pa.array([w[0].astype(np.int32).tobytes() for w, *_ in kept], pa.binary()),
+                pa.array([w[1].tobytes() for w, *_ in kept], pa.binary()),
+                pa.array([int(p * (1 << 30)) for _, p, _ in kept], pa.int64()),
+                pa.array([k for *_, k in kept], pa.int32())], names=["index", "tags", "key", "place"])
+
+    made = stored(sample.mapInArrow(cut, schema).dropDuplicates(["key", "place", "tags"]), "secrets-windows")
+    rows = made.filter(unit_hash("key", "place", seed="window") < fit_rows / max(made.count(), 1)).orderBy(
+        "key", "place", "tags").collect()
+    discard(made)
     return train(*padded([(np.frombuffer(r["index"], np.int32).reshape(-1, len(RANGES)),
                            np.frombuffer(r["tags"], np.int8)) for r in rows]))
 
@@ -357,7 +378,7 @@ def redact_text(text: str, spans: list[rules.Span], mark: str) -> str:
 def redact(documents: DataFrame, mark: str = "<secret>", fit_rows: int = 12_000) -> DataFrame:
     """The rows and columns of `documents` with all secrets found in `text` replaced, and `n_chars` (if there is
     such a column) counted anew. NULL texts stay NULL; every row is kept."""
-    field = fit(documents, fit_rows)
+    field, name = fit(documents, fit_rows), unused(documents.columns, "changed")
 
     def work(texts: list[str]) -> dict[str, list]:
         out = []
@@ -365,11 +386,12 @@ def redact(documents: DataFrame, mark: str = "<secret>", fit_rows: int = 12_000)
             fixed = [(a, b) for a, b, *_ in base_spans(text)]
             found = fixed + learned_spans(field, text, fixed)
             out.append(redact_text(text, found, mark) if found else None)
-        return {"__changed": out}
-
-    changed = map_texts(documents, documents.columns, work, [T.StructField("__changed", T.StringType())])
-    text = F.coalesce("__changed", "text")
-    columns = {"text": text, "n_chars": F.when(F.col("__changed").isNull(), F.col("n_chars")).otherwise(
-        F.length("__changed").cast(documents.schema["n_chars"].dataType))} if "n_chars" in documents.columns \
-        else {"text": text}
+        return {name: out}
+
+    changed = map_texts(documents, documents.columns, work, [T.StructField(name, T.StringType())])
+    text = F.coalesce(name, F.col("text").cast("string"))
+    columns = {"text": text.cast(documents.schema["text"].dataType)}
+    if "n_chars" in documents.columns:
+        columns["n_chars"] = F.when(F.col(name).isNull(), F.col("n_chars")).otherwise(
+            F.length(name).cast(documents.schema["n_chars"].dataType))
     return changed.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in documents.columns])

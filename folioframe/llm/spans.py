@@ -85,7 +85,3 @@ def access_keys(text: str) -> list[Span]:
 
 def hex_runs(text: str) -> list[Span]:
     return [m.span() for m in _HEX.finditer(text)]
-
-
-def overlaps(start: int, end: int, spans: list[Span]) -> bool:
-    return any(start < b and a < end for a, b in spans)

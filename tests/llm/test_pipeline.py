@@ -10,9 +10,9 @@ from folioframe.llm.common import read_table
 from folioframe.llm.queries import vocabulary
 from tests.llm.helpers import SF, awkward, with_clashes
 from tests.llm.test_decontaminate import plain_pairs
+from tests.llm.test_jaccard import plain_kept
 from tests.llm.test_packing import hold
 from tests.llm.test_secrets import plain_secrets
-from tests.llm.test_simhash import plain_groups
 
 
 @pytest.fixture(scope="module")
@@ -43,9 +43,9 @@ def test_language_stage(steps):
 
 def test_near_duplicate_stage(steps):
     docs, _, rows = steps[1]
-    before = docs.collect()
-    groups = plain_groups([(r["doc_id"], r["text"]) for r in before])
-    assert texts(rows) == {d: t for d, t in texts(before).items() if d in {c for _, _, c in groups}}
+    before = texts(docs.collect())
+    kept = plain_kept([(d, t or "") for d, t in before.items()])
+    assert texts(rows) == {d: t for d, t in before.items() if d in kept}
     assert len(rows) < len(before)
 
 

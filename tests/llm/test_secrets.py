@@ -156,3 +156,41 @@ def test_looks_learned_from_the_rules_find_what_the_rules_miss(spark):
     assert found[999]["base"] == [] and [(s["start"], s["end"]) for s in found[999]["learned"]] == [(start, start + 20)]
     clean = [i for i, t in rows if not plain_secrets(t)]
     assert sum(bool(found[i]["learned"]) for i in clean) == 0
+
+
+def test_every_secret_of_a_training_text_lies_in_a_window():
+    filler = " ".join(f"word{i}" for i in range(300))
+    text = f"password = first-secret-1 {filler} token: {'ab' * 10} {filler} secret=last-secret-99"
+    starts, ends, _ = secrets.tokens(text)
+    made = secrets.windows(text, 0.5)
+    assert len(made) == 3 and all(len(tags) == secrets.WINDOW and tags.any() for _, tags in made)
+    # The chain begins a secret where it starts inside one.
+    assert all(tags[0] != 2 for _, tags in made)
+    dense = " ".join(f"token=secret-number-{i}" for i in range(200))
+    covered = sum(int((tags > 0).sum()) for _, tags in secrets.windows(dense, 0.5))
+    assert covered >= 200
+    assert len(secrets.windows("no secret 1 here", 0.5)) == 1 and secrets.windows(" ", 0.5) == []
+
+
+def test_a_second_secret_far_from_the_first_is_learned_from(spark):
+    """The word before the later secrets is met nowhere else: without their windows it would mean nothing."""
+    rng = random.Random(12)
+
+    def value():
+        return "".join(rng.choice("ghjkmnpqrstvwxyz23456789GHJKMNPQ") for _ in range(20))
+
+    filler = " ".join(["plain"] * 120)
+    rows = [(i, f"password={value()} {filler} the passwd: {value()} was zzkey now") for i in range(60)]
+    rows += [(100 + i, f"{filler} some report of numbers {i} and more") for i in range(60)]
+    field = secrets.fit(documents(spark, rows))
+    windows = [w for _, text in rows[:60] for w in secrets.windows(text, 0.5)]
+    assert len(windows) == 120
+    tags = [secrets.viterbi(field, index) for index, _ in windows]
+    right = sum((found == want).all() for found, (_, want) in zip(tags, windows, strict=True))
+    assert right > 0.9 * len(windows)
+
+
+def test_a_column_called_like_the_operators_own_is_kept(spark):
+    table = documents(spark, [(1, "password=abcdefgh12"), (2, None)]).select("*", F.lit("mine").alias("changed"), F.lit("too").alias("__changed"))
+    rows = secrets.redact(table).orderBy("doc_id").collect()
+    assert [(r["changed"], r["__changed"]) for r in rows] == [("mine", "too")] * 2 and "<secret>" in rows[0]["text"] and rows[1]["text"] is None
