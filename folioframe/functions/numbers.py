@@ -32,16 +32,16 @@ def truncate(number: Column) -> Column:
 
 def strict_int(text: Column) -> Column:
     """Whole-number text only: `12.5` is NULL."""
-    return F.translate(text, ",", "").try_cast("bigint")
+    return F.replace(text, F.lit(","), F.lit("")).try_cast("bigint")
 
 
 def strict_float(text: Column) -> Column:
-    return _double(F.translate(text, ",", ""))
+    return _double(F.replace(text, F.lit(","), F.lit("")))
 
 
 def lenient_int(text: Column) -> Column:
     """Whole part of number text with commas: `1,234.0` is 1234."""
-    return _double(F.translate(text, ",", "")).try_cast("bigint")
+    return _double(F.replace(text, F.lit(","), F.lit(""))).try_cast("bigint")
 
 
 def first_number(*texts: Column) -> Column:

@@ -101,13 +101,20 @@ class Members:
         source = without_zeros(text) if self._zero_is_missing else text
         return F.from_json(source, self._schema).cast(self._unique)
 
+    def parse_all(self, texts: Column) -> Column:
+        """The objects among the texts, as an array of structs of the raw `text` and the parsed `row`."""
+        return F.transform(objects(texts), lambda text: F.struct(text.alias("text"), self.parse(text).alias("row")))
+
     def explode(self, df: DataFrame, texts: Column) -> DataFrame:
         """One row per object among the texts, with `_place`, its raw `_text` and the parsed `_row`.
 
         Objects are parsed before the explode: a filter on a member then tests the parsed row, where one on a
         later projection would be pushed below the parsing and parse again.
         """
-        parsed = F.transform(objects(texts), lambda text: F.struct(text.alias("text"), self.parse(text).alias("row")))
+        return self.explode_parsed(df, self.parse_all(texts))
+
+    def explode_parsed(self, df: DataFrame, parsed: Column) -> DataFrame:
+        """The same from what `parse_all` gave."""
         return df.select("*", F.posexplode(parsed).alias("_place", "_entry")).withColumns({
             "_text": F.col("_entry.text"), "_row": F.col("_entry.row"),
         }).drop("_entry")

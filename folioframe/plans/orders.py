@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import payload
 from folioframe.operators import merge, reads
 from folioframe.plans.gate import collection_gate
+from folioframe.session import materialize, scratch_path
 from folioframe.sources import orders as source
 
 BATCH_SOURCE, REPLAY_SOURCE = "batch", "order_history_backfill"
@@ -33,26 +34,32 @@ def collect(responses: DataFrame, calendar: DataFrame, close_grace_minutes: int
 
     `responses` holds id, account_id, account_product_code, account_type, market, trade_date, now (UTC,
     without zone) and payload. Responses the gate holds back are reported as skipped. One that is not a JSON
-    object is reported as an error; the others are stored whatever happens to it. The four results are lazy
-    and share their input: `responses` should be a stored table, as a landing folder is.
+    object is reported as an error; the others are stored whatever happens to it. Every response is parsed once:
+    gated and parsed responses are written to the scratch folder, and the four results read from there.
     """
     gated = collection_gate(responses, calendar, close_grace_minutes)
     readable = payload.members(F.col("payload")).isNotNull()
     state = F.when(F.col("status") == "skipped", "skipped").when(readable, "ok").otherwise("error")
     checked = gated.withColumn("outcome", state).withColumn("fallback_date", F.date_format("trade_date", "yyyyMMdd"))
-    good = checked.filter(F.col("outcome") == "ok")
+    carried = ["id", *_ACCOUNT, "account_type", "trade_date", "now", "reason", "outcome", "fallback_date", "payload"]
+    parsed = source.parse_lists(checked.filter(F.col("outcome") == "ok").select(*carried))
+    stored = materialize(parsed.unionByName(checked.filter(F.col("outcome") != "ok").select(*carried), allowMissingColumns=True),
+                         scratch_path(responses.sparkSession, "collected"))
+    good = stored.filter(F.col("outcome") == "ok")
 
     observations = good.select(
         "id", *_ACCOUNT, "account_type", F.lit(DOMESTIC).alias("market_type"),
         F.col("trade_date").alias("start_date"), F.col("trade_date").alias("end_date"),
         F.col("now").alias("fetched_at"), F.col("payload").alias("data"),
     )
-    orders, rejects = source.order_rows(_as_responses(observations), BATCH_SOURCE)
+    orders, rejects = source.order_rows(good.select(
+        *_ACCOUNT, "account_type", "fallback_date", F.col("id").alias("observation_id"), F.col("now").alias("fetched_at"),
+        source.LISTED), BATCH_SOURCE)
     ok = F.col("outcome") == "ok"
-    outcomes = checked.select(
+    outcomes = stored.select(
         "id", *_ACCOUNT, "trade_date", F.col("outcome").alias("status"), "reason",
-        F.when(ok, source.order_count(F.col("payload"))).alias("order_count"),
-        F.when(ok, source.storable_count(F.col("payload"), F.col("fallback_date"))).alias("canonical_write_count"),
+        F.when(ok, F.col("order_count")).alias("order_count"),
+        F.when(ok, source.storable_in(F.col(source.LISTED), F.col("fallback_date"))).alias("canonical_write_count"),
         F.when(ok, "saved").alias("history_status"),
     )
     return Collection(observations, orders, rejects, outcomes)

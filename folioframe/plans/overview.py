@@ -112,7 +112,9 @@ def _top_holdings(valued: DataFrame, totals: DataFrame, by: list[str], top_n: in
     it, the total of all assets."""
     label = F.coalesce("symbol", "name", F.lit("unknown"))
     rows = valued.withColumns({"label": label, "value_foreign": F.round("value_foreign", 2)})
-    top = rank.top_with_other(rows, by, "value_krw", "label", limits.top_n(top_n), H.OTHER_OVERSEAS, ["label"],
+    # Holdings that tie in all of these are listed alike, whichever comes first.
+    ties = ["label", "exchange", "currency", "value_foreign", "quantity"]
+    top = rank.top_with_other(rows, by, "value_krw", "label", limits.top_n(top_n), H.OTHER_OVERSEAS, ties,
                               ("value_foreign", "currency"))
     shares = {
         "pct_of_overseas_stock": "overseas_stock_eval_amt_krw",

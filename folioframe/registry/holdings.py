@@ -29,8 +29,9 @@ def _lines(t):
     return t.read("lineitem").join(owners, "l_orderkey")
 
 
-def domestic(t):
-    return _lines(t).filter("l_linestatus = 'O'").select(
+def domestic(t, lines=None):
+    """Domestic holdings: by default, where they meet overseas ones, the lines of status O."""
+    return (_lines(t).filter("l_linestatus = 'O'") if lines is None else lines).select(
         "owner_id", F.when(F.col("l_returnflag") == "A", "isa").otherwise("brokerage").alias("account_label"),
         F.expr(symbol_sql("l_partkey")).alias("symbol"), "l_partkey", F.col("l_quantity").alias("quantity"),
         F.expr(_CENTS).alias("value_krw"), F.lit(None).cast("string").alias("raw_data"),
@@ -38,8 +39,9 @@ def domestic(t):
         "l_partkey")
 
 
-def overseas(t):
-    return _lines(t).filter("l_linestatus <> 'O'").select(
+def overseas(t, lines=None):
+    """Overseas holdings: by default, where they meet domestic ones, the lines of other statuses."""
+    return (_lines(t).filter("l_linestatus <> 'O'") if lines is None else lines).select(
         "owner_id", F.lit("ria").alias("account_label"), F.lit("NASD").alias("exchange"),
         F.expr(symbol_sql("l_partkey")).alias("symbol"), F.lit("stock").alias("name"),
         F.expr(_CURRENCY).alias("currency"), F.col("l_quantity").alias("quantity"),
@@ -48,9 +50,9 @@ def overseas(t):
     )
 
 
-def rates(t):
+def rates(t, held=None):
     """A rate per owner and currency they hold; every seventh currency has none, every fifth a rate of 0."""
-    pairs = overseas(t).select("owner_id", "currency").distinct()
+    pairs = (overseas(t) if held is None else held).select("owner_id", "currency").distinct()
     number = F.substring("currency", 2, 20).cast("bigint")
     return pairs.filter(number % 7 != 0).withColumn("rate", F.when(number % 5 == 0, 0.0).otherwise((number % 9 + 1).cast("double")))
 
@@ -77,8 +79,14 @@ def values(t):
     )
 
 
-def classified(t):
-    return H.classify_holdings(domestic(t), t.master(), t.overrides())
+def classified(t, lines=None):
+    return H.classify_holdings(domestic(t, lines), t.master(), t.overrides())
+
+
+def valuation(t, **options):
+    """Every line an overseas holding."""
+    held = overseas(t, _lines(t))
+    return overview.overseas_valuation(held, cash(t), rates(t, held), BY, **options)
 
 
 _BASE = f"""
@@ -106,19 +114,21 @@ classed AS (SELECT owner_id, account_label, symbol, p_name AS name, l_quantity A
 _VALUED = """
 valued AS (SELECT owner_id, symbol, concat('C', l_suppkey) AS currency, l_quantity AS quantity, CAST(cents AS DOUBLE) AS value_foreign, rate AS fx_rate,
                   CAST(trunc(cents * rate) AS BIGINT) AS value_krw FROM lines WHERE l_linestatus <> 'O')"""
-_DOMESTIC = ctes(_BASE, MASTER, OVERRIDES, _CLASSED)
+# Where only one side is looked at, every line is a holding of that side.
+_DOMESTIC = ctes(_BASE, MASTER, OVERRIDES, _CLASSED.replace(" WHERE l_linestatus = 'O'", ""))
+_OVERSEAS = _VALUED.replace(" WHERE l_linestatus <> 'O'", "")
 
 
 @query("classified_holdings", "D2 J6", _DOMESTIC + """
 SELECT owner_id, account_label, symbol, name, quantity, value_krw, exposure_type, confidence, source, warning FROM classed""")
 def _(t):
-    return classified(t).drop("raw_data", "exposure_region", "asset_subtype")
+    return classified(t, _lines(t)).drop("raw_data", "exposure_region", "asset_subtype")
 
 
 @query("classification_warnings", "G11 J6", _DOMESTIC + """
 SELECT owner_id, account_label, symbol, name, warning AS reason, confidence, source FROM classed WHERE warning IS NOT NULL""")
 def _(t):
-    return H.warnings(classified(t), BY)
+    return H.warnings(classified(t, _lines(t)), BY)
 
 
 _FIVE = ", ".join(f"CAST(coalesce(sum(CASE WHEN exposure_type = '{name}' THEN value_krw END), 0) AS BIGINT) AS {name}" for name in EXPOSURES)
@@ -126,20 +136,21 @@ _FIVE = ", ".join(f"CAST(coalesce(sum(CASE WHEN exposure_type = '{name}' THEN va
 
 @query("exposure_amounts", "E7", _DOMESTIC + f"SELECT owner_id, {_FIVE} FROM classed GROUP BY owner_id")
 def _(t):
-    return H.exposure_amounts(classified(t), BY)
+    return H.exposure_amounts(classified(t, _lines(t)), BY)
 
 
-@query("valued_overseas_holdings", "D5", ctes(_BASE, _VALUED) + "SELECT * FROM valued")
+@query("valued_overseas_holdings", "D5", ctes(_BASE, _OVERSEAS) + "SELECT * FROM valued")
 def _(t):
-    return H.value_overseas(overseas(t), rates(t), BY).select(
+    held = overseas(t, _lines(t))
+    return H.value_overseas(held, rates(t, held), BY).select(
         "owner_id", "symbol", "currency", "quantity", "value_foreign", "fx_rate", "value_krw")
 
 
-@query("overseas_by_currency", "E6 H5", ctes(_BASE, _VALUED) + """
+@query("overseas_by_currency", "E6 H5", ctes(_BASE, _OVERSEAS) + """
 SELECT owner_id, currency, round(sum(value_foreign), 2) AS value_foreign, max(fx_rate) AS fx_rate,
        nullif(CAST(trunc(sum(value_foreign * fx_rate)) AS BIGINT), 0) AS value_krw FROM valued GROUP BY owner_id, currency""")
 def _(t):
-    return overview.overseas_valuation(overseas(t), cash(t), rates(t), BY).by_currency
+    return valuation(t).by_currency
 
 
 _CASH = """
@@ -154,29 +165,24 @@ _TOTALS = """owner_id, 'ria' AS overseas_account_label, stock AS overseas_stock_
        CASE WHEN reported IS NOT NULL THEN 'overseas_deposit.예수금_총계.총자산금액' ELSE 'stock_eval_plus_deposit_cash_fields' END AS total_asset_source"""
 
 
-@query("overseas_valuation_totals", "G10", ctes(_BASE, _VALUED, _CASH) + f"SELECT {_TOTALS} FROM parts")
+@query("overseas_valuation_totals", "G10", ctes(_BASE, _OVERSEAS, _CASH) + f"SELECT {_TOTALS} FROM parts")
 def _(t):
-    return overview.overseas_valuation(overseas(t), cash(t), rates(t), BY).totals
+    return valuation(t).totals
 
 
 _TOP = """
 ranked AS (SELECT owner_id, symbol, value_krw, round(value_foreign, 2) AS value_foreign, currency,
-                  CAST(row_number() OVER (PARTITION BY owner_id ORDER BY coalesce(value_krw, 0) DESC, symbol) AS INTEGER) AS place FROM valued),
+                  CAST(row_number() OVER (PARTITION BY owner_id ORDER BY coalesce(value_krw, 0) DESC, symbol, currency, round(value_foreign, 2), quantity) AS INTEGER) AS place FROM valued),
 listed AS (SELECT owner_id, place, symbol AS label, value_krw, value_foreign, currency FROM ranked WHERE place <= 3
            UNION ALL SELECT owner_id, 4, '기타 해외주식', CAST(sum(coalesce(value_krw, 0)) AS BIGINT), NULL, NULL FROM ranked WHERE place > 3 GROUP BY owner_id)"""
 _SHARE = "round(CAST(value_krw AS DOUBLE) / nullif(CAST({0} AS DOUBLE), 0) * 100, 2) AS {1}"
 
 
-def _without_ties(df):
-    """Amounts only: of holdings of one symbol with equal value in KRW, either may be listed."""
-    return df.drop("value_foreign", "currency")
-
-
-@query("overseas_top_holdings", "H4 G10 J7", ctes(_BASE, _VALUED, _CASH, _TOP) + f"""
-SELECT owner_id, place, label, value_krw, {_SHARE.format('stock', 'pct_of_overseas_stock')}, {_SHARE.format('total', 'pct_of_overseas_total')}
+@query("overseas_top_holdings", "H4 G10 J7", ctes(_BASE, _OVERSEAS, _CASH, _TOP) + f"""
+SELECT owner_id, place, label, value_krw, value_foreign, currency, {_SHARE.format('stock', 'pct_of_overseas_stock')}, {_SHARE.format('total', 'pct_of_overseas_total')}
 FROM listed JOIN parts USING (owner_id)""")
 def _(t):
-    return _without_ties(overview.overseas_valuation(overseas(t), cash(t), rates(t), BY, top_n=3).top)
+    return valuation(t, top_n=3).top
 
 
 @query("top_parts_with_other", "H4", f"""
@@ -303,11 +309,11 @@ def _(t):
 
 
 @query("overview_top_holdings", "H4 G11", ctes(_BASE, MASTER, OVERRIDES, _CLASSED, _ACCOUNTS, _VALUED, _CASH, _SUMMARY, _TOP) + f"""
-SELECT owner_id, place, label, value_krw, {_SHARE.format('overseas_stock_eval_amt_krw', 'pct_of_overseas_stock')},
+SELECT owner_id, place, label, value_krw, value_foreign, currency, {_SHARE.format('overseas_stock_eval_amt_krw', 'pct_of_overseas_stock')},
        {_SHARE.format('overseas_total_asset_amt_krw', 'pct_of_overseas_total')}, {_SHARE.format('total_eval_amt_krw', 'pct_of_total')}
 FROM listed JOIN summary USING (owner_id)""")
 def _(t):
-    return _without_ties(full(t, 3).top)
+    return full(t, 3).top
 
 
 @query("overview_inconsistencies", "G15", _OVERVIEW + """
@@ -379,9 +385,9 @@ def _end_to_end(t):
 SELECT owner_id, domestic_eval_amt_krw, overseas_stock_eval_amt_krw, overseas_cash_amt_krw, overseas_total_asset_amt_krw,
        total_eval_amt_krw, domestic_pct, overseas_pct, domestic_direct_amt_krw, overseas_direct_amt_krw,
        overseas_indirect_amt_krw, cash_amt_krw, unknown_amt_krw, unknown_amt_krw AS unknown_in_json,
-       total_asset_source AS source_in_json, 12 AS chart_rows, 3 AS account_rows,
+       total_asset_source AS source_in_json, 12 AS chart_rows, (SELECT count(*) + 1 FROM positions p WHERE p.owner_id = summary.owner_id) AS account_rows,
        (SELECT count(*) FROM classed c WHERE c.owner_id = summary.owner_id AND warning IS NOT NULL) AS warning_rows
-FROM summary WHERE domestic_eval_amt_krw > 0""")
+FROM summary""")
 def _(t):
     stored = tables.read_table(t.spark, _end_to_end(t), "asset_overview_snapshots")
 
@@ -394,9 +400,9 @@ def _(t):
         "domestic_direct_amt_krw", "overseas_direct_amt_krw", "overseas_indirect_amt_krw", "cash_amt_krw", "unknown_amt_krw",
         F.get_json_object("classification_summary", "$.amounts.unknown_amt_krw").cast("bigint").alias("unknown_in_json"),
         F.get_json_object("overview_data", "$.overseas.total_asset_source").alias("source_in_json"),
-        rows("overview_data", "$.charts").alias("chart_rows"), rows("overview_data", "$.domestic.accounts").alias("account_rows"),
+        rows("overview_data", "$.charts").alias("chart_rows"), rows("overview_data", "$.domestic.accounts").cast("bigint").alias("account_rows"),
         rows("classification_summary", "$.warnings").cast("bigint").alias("warning_rows"),
-    ).filter("domestic_eval_amt_krw > 0")
+    )
 
 
 @query("stored_holdings_from_raw", "B10 I1 D2 D5", _OVERVIEW + """

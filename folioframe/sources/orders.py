@@ -35,7 +35,7 @@ NUMBER_FIELDS = {
 
 _IDENTITY = ("account_id", "account_product_code", "account_type")
 NUMBER, DATE, BRANCH, CANCELLED = "odno", "ord_dt", "ord_gno_brno", "cncl_yn"
-IDENTITY_MEMBERS = payload.all_spellings(NUMBER, DATE)
+LISTED = "_listed"
 ORDER_MEMBERS = payload.all_spellings(
     NUMBER, DATE, BRANCH, CANCELLED,
     *[name for fields in (TEXT_FIELDS, NUMBER_FIELDS) for names in fields.values() for name in names],
@@ -58,7 +58,8 @@ def _candidates(responses: DataFrame, source: Column) -> DataFrame:
     def texts(fields: dict[str, tuple[str, ...]]) -> list[Column]:
         return [row.pick(*names).alias(column) for column, names in fields.items()]
 
-    return row.explode(responses, order_texts(F.col("payload"))).select(
+    listed = F.col(LISTED) if LISTED in responses.columns else row.parse_all(order_texts(F.col("payload")))
+    return row.explode_parsed(responses, listed).select(
         *_IDENTITY,
         order_day(row, F.col("fallback_date")).alias("order_date"),
         F.coalesce(row.pick(BRANCH), F.lit("")).alias("order_branch_no"),
@@ -80,7 +81,7 @@ def order_rows(responses: DataFrame, source: str = "batch") -> tuple[DataFrame,
     `responses` holds account_id, account_product_code, account_type, fallback_date (`YYYYMMDD`),
     observation_id, fetched_at and payload. A row needs an order number and a date, its own or the fallback;
     one without goes to the rejects. `seen_at` and `place` (position in the response) order the rows of one
-    order for `merge.upsert`.
+    order for `merge.upsert`. Responses that `parse_lists` has read carry their lists and are not parsed again.
     """
     rows = _candidates(responses, F.lit(source))
     usable = F.col("order_no").isNotNull() & F.col("order_date").isNotNull()
@@ -92,12 +93,23 @@ def order_count(response: Column) -> Column:
     return payload.once(order_texts(response), payload.length)
 
 
+def parse_lists(responses: DataFrame) -> DataFrame:
+    """`responses` with their order lists parsed, once for all that is asked of them: `_listed`, and `order_count`.
+
+    To be stored before it is used several times."""
+    texts = responses.withColumn("_texts", order_texts(F.col("payload")))
+    return texts.withColumns({LISTED: ORDER_MEMBERS.parse_all(F.col("_texts")), "order_count": payload.length(F.col("_texts"))}).drop("_texts")
+
+
 def storable_count(response: Column, fallback: Column) -> Column:
     """How many rows of a response have an order number and a date, told without exploding it."""
-    members = IDENTITY_MEMBERS
-    rows = F.transform(payload.objects(order_texts(response)), members.parse)
-    kept = F.filter(rows, lambda row: members.pick(NUMBER, row=row).isNotNull()
-                    & order_day(members, fallback, row).isNotNull())
+    return storable_in(ORDER_MEMBERS.parse_all(order_texts(response)), fallback)
+
+
+def storable_in(listed: Column, fallback: Column) -> Column:
+    """The same of a list that is parsed already."""
+    kept = F.filter(listed, lambda entry: ORDER_MEMBERS.pick(NUMBER, row=entry["row"]).isNotNull()
+                    & order_day(ORDER_MEMBERS, fallback, entry["row"]).isNotNull())
     return payload.once(kept, payload.length)
 
 
