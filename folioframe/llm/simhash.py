@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioframe.llm.common import map_texts, stored
+from folioframe.llm.common import map_texts, row_key, stored, unused
 from folioframe.llm.components import components
 
 RADIUS = 2
@@ -168,14 +168,14 @@ def hexadecimal(fp: str = "fp"):
 
 
 def keep_one(documents: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """The rows of `documents`, one of each group: the one with the smallest doc_id (NULL last), ties by a hash of id
-    and text. All columns are kept; rows equal in id and text count as one row."""
-    key = F.xxhash64("doc_id", "text")
-    marked = documents.withColumn("__row", key)
-    found = group(marked, ["doc_id", "__row"], radius, shard)
+    """The rows of `documents`, one of each group: the one with the smallest doc_id (NULL last), ties by a hash of all
+    columns. All columns are kept, whatever their names; rows equal in all columns count as one row."""
+    row = unused([*documents.columns, "doc_id", "fp", "component_id"], "row")
+    marked = documents.withColumn(row, row_key(documents))
+    found = group(marked.select("doc_id", "text", row), ["doc_id", row], radius, shard)
     # Equal fingerprints without any id still form a group, told by the fingerprint itself.
     chosen = found.groupBy(F.coalesce(F.col("component_id"), F.col("fp")).alias("c"), F.isnull("component_id")).agg(
-        F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "__row")).alias("best"))
-    rows = chosen.select(F.col("best.__row").alias("__row")).distinct()
-    return marked.join(rows, "__row", "left_semi").dropDuplicates(["__row"]).select(
+        F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", row)).alias("best"))
+    rows = chosen.select(F.col("best")[row].alias(row)).distinct()
+    return marked.join(rows, row, "left_semi").dropDuplicates([row]).select(
         *[F.col(f"`{c}`") for c in documents.columns])

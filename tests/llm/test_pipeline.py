@@ -41,6 +41,16 @@ def test_language_stage(steps):
     assert texts(rows) == {d: t for d, t in texts(docs.collect()).items() if any(map(str.isalpha, t or ""))}
 
 
+def test_language_stage_names_the_language_of_documents_without_one(spark):
+    table = read_table(spark, SF, "documents")
+    given = {r["doc_id"]: r["lang"] for r in table.collect()}
+    blank = table.withColumn("lang", F.when(F.col("doc_id") % 3 != 0, F.col("lang")))
+    kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.known_language(spark, blank, SF).collect()}
+    assert all(kept[d] == given[d] for d in kept if d % 3 and given[d] is not None)
+    asked = [d for d in kept if d % 3 == 0 and given[d] is not None]
+    assert None not in kept.values() and sum(kept[d] == given[d] for d in asked) > 0.9 * len(asked)
+
+
 def test_near_duplicate_stage(steps):
     docs, _, rows = steps[1]
     before = texts(docs.collect())
