@@ -23,6 +23,8 @@ HEADLINE = (
     "order_collection_outcomes", "order_history_rows", "latest_raw_observation", "trading_calendar",
     "price_coverage", "stream_order_upsert", "stream_daily_last_value", "stream_duplicate_drop", "stored_order_merge",
     "stored_calendar_merge", "stored_master_merge", "replayed_orders", "parquet_reload",
+    "gate_with_incomplete_calendar", "fx_daily", "account_nav_daily", "trade_profit_normalized", "order_fills",
+    "events_by_market_session",
 )
 
 

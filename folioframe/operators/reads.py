@@ -116,7 +116,10 @@ def latest_observations(observations: DataFrame, requests: DataFrame, payload: b
     )
     if not payload:
         return winners
-    return winners.join(observations.select("id", "data"), "id")
+    # The span and, of a stored table, the month lead to the winners' files.
+    month = [MONTH] if MONTH in observations.columns else []
+    found = winners.withColumn(MONTH, F.date_format("fetched_at", "yyyy-MM")) if month else winners
+    return found.join(observations.select(*span, *month, "id", "data"), [*span, *month, "id"]).drop(*month)
 
 
 def calendar_entry(calendar: DataFrame, market: str, day: Day) -> DataFrame:

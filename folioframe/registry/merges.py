@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioframe.functions.text import parse_day
-from folioframe.operators import append, merge, tables
+from folioframe.operators import append, export, merge, tables
 from folioframe.registry.core import ctes, query
 from folioframe.registry.standins import (
     CALENDAR,
@@ -378,6 +378,27 @@ def _(t):
     return tables.read_table(t.spark, root, "instrument_master").select("symbol", "market", "name", "updated_at")
 
 
+_CHANGED = "order_no = (SELECT min(order_no) FROM seen) OR order_no = (SELECT max(order_no) FROM seen)"
+
+
+@query("export_of_changed_parts", "B13 A12", ctes(ORDERS) + f"""
+SELECT 'domestic_orders' AS "table", strftime(order_date, '%Y-%m') AS part, count(*) AS rows,
+       CASE WHEN bool_or({_CHANGED}) THEN 'exported' ELSE 'unchanged' END AS status, CAST(0 AS BIGINT) AS broken
+FROM seen GROUP BY 2""")
+def _(t):
+    """All orders exported, two of them changed in the stored table, and the export brought up to date."""
+    root, out = scratch_path(t.spark, "tables"), scratch_path(t.spark, "export")
+    rows = t.orders().withColumns({"seen_at": F.col("o_orderdate"), "place": F.lit(0)})
+    tables.append(tables.conform(rows.withColumns({"first_seen_at": before(), "last_seen_at": before()}), DOMESTIC_ORDERS),
+                  root, "domestic_orders")
+    export.export_changed(t.spark, root, ["domestic_orders"], out)
+    ends = t.orders().agg(F.min("order_no").alias("lo"), F.max("order_no").alias("hi")).first()
+    changed = rows.filter(F.col("order_no").isin(ends["lo"], ends["hi"])).withColumn("filled_amount", F.col("filled_amount") + 1)
+    tables.rewrite(t.spark, root, "domestic_orders", changed, lambda target, new: merge.upsert_orders(target, new, now()))
+    told = export.export_changed(t.spark, root, ["domestic_orders"], out)
+    return told.withColumn("broken", F.lit(export.broken_parts(t.spark, out, ["domestic_orders"]).count()).cast("bigint"))
+
+
 @query("late_observations_keep_the_newest", "B4 K2", f"""
 SELECT {account_sql('user_id')} AS account_id, CAST(ts AS DATE) AS order_date, event_type AS order_no,
        arg_max({cents_sql('value')}, (ts, event_id)) AS filled_amount FROM events

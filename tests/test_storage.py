@@ -279,6 +279,42 @@ def test_export_refuses_an_existing_folder(spark, tmp_path):
         export.export(spark, {"a": spark.range(3)}, out)
 
 
+def test_an_export_writes_changed_parts_and_finds_broken_ones(spark, tmp_path):
+    root, out, name = str(tmp_path / "tables"), str(tmp_path / "out"), "price_history"
+
+    def put(*rows):
+        frame = spark.createDataFrame([(s, "KRX", d, c, c, c, c, 1, False, dt.datetime(2024, 1, 1)) for s, d, c in rows], PRICE_HISTORY)
+        tables.append(frame, root, name)
+
+    def run():
+        return {r.part: (r.rows, r.status) for r in export.export_changed(spark, root, [name], out).collect()}
+
+    put(("A", dt.date(2024, 1, 1), 1.0), ("B", dt.date(2024, 1, 2), 2.0), ("A", dt.date(2024, 2, 1), 3.0), ("A", dt.date(2024, 3, 1), 4.0))
+    assert run() == {"2024-01": (2, "exported"), "2024-02": (1, "exported"), "2024-03": (1, "exported")}
+    assert set(v for _, v in run().values()) == {"unchanged"}
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "out" / name).glob("month=2024-01/*.parquet")}
+    put(("C", dt.date(2024, 2, 9), 3.0))
+    session.delete_path(spark, f"{root}/{name}/month=2024-03")
+    assert run() == {"2024-01": (2, "unchanged"), "2024-02": (2, "exported"), "2024-03": (0, "removed")}
+    assert files == {p: p.stat().st_mtime_ns for p in (tmp_path / "out" / name).glob("month=2024-01/*.parquet")}
+    assert export.broken_parts(spark, out, [name]).count() == 0 and export.reload_checked(spark, out, name).count() == 4
+    # A row that the manifest does not know of, and a part that is lost.
+    export.exported(spark, out, name).limit(1).drop("month").write.mode("append").parquet(f"{out}/{name}/month=2024-01")
+    session.delete_path(spark, f"{out}/{name}/month=2024-02")
+    assert sorted(r.part for r in export.broken_parts(spark, out, [name]).collect()) == ["2024-01", "2024-02"]
+    with pytest.raises(ValueError, match="2024-01, 2024-02"):
+        export.reload_checked(spark, out, name)
+
+
+def test_digests_tell_rows_not_their_order(spark):
+    rows = spark.createDataFrame([("p", 1, "a"), ("p", 2, None), ("q", 2, None), (None, 3, "c")], "part string, n int, s string")
+    told = {r.part: r.digest for r in export.digests(rows, "part").collect()}
+    again = {r.part: r.digest for r in export.digests(rows.orderBy(F.desc("n")).repartition(3).select("s", "part", "n"), "part").collect()}
+    assert told == again and len(set(told.values())) == 3
+    twice = {r.part: r.digest for r in export.digests(rows.unionByName(rows).unionByName(rows), "part").collect()}
+    assert not set(twice.values()) & set(told.values())
+
+
 def test_all_tables_can_be_created_and_read(spark, tmp_path):
     for name, schema in TABLES.items():
         tables.create(spark, str(tmp_path), name)
