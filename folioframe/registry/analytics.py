@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import limits
 from folioframe.operators import curate, rank, reads, windows
-from folioframe.plans import assets, portfolio, prices, rates
+from folioframe.plans import assets, moments, portfolio, prices, rates
 from folioframe.registry.core import ctes, query
 from folioframe.registry.standins import AS_OF, AS_OF_SQL, DAILY, OVERVIEW_DAILY, OVERVIEWS, PRICES, SNAPS, Tables, account_sql, cents_sql
+from folioframe.session import materialize, scratch_path
 
 _DAILY = ctes(SNAPS, DAILY)
 _ASSETS = ctes(OVERVIEWS, OVERVIEW_DAILY)
@@ -81,6 +82,50 @@ def _(t):
     )
 
 
+# Values of a hundred accounts over the orders' years, and three lookbacks from one end.
+_VALUED = f"""valued AS (
+    SELECT {account_sql('o_custkey % 100')} AS account_id, CAST(o_orderdate AS DATE) AS snap_date,
+           CAST(sum({cents_sql('o_totalprice')}) AS BIGINT) AS total_eval_amt FROM orders GROUP BY ALL)"""
+_LOOKBACKS, _END = (45, 400, 1500), "20010801"
+_RETURNS = ",\n".join(f"""
+moved{days} AS (SELECT account_id, snap_date, {days} AS lookback,
+    (total_eval_amt - lag(total_eval_amt) OVER o) / nullif(CAST(lag(total_eval_amt) OVER o AS DOUBLE), 0) * 100 AS move
+    FROM valued WHERE snap_date >= DATE '2001-08-01' - {days} WINDOW o AS (PARTITION BY account_id ORDER BY snap_date))"""
+                      for days in _LOOKBACKS)
+_MOVED = " UNION ALL ".join(f"SELECT * FROM moved{days}" for days in _LOOKBACKS)
+
+
+def _kept(t):
+    """Returns stored by month and their moments, written once for all lookbacks."""
+    daily_values = t.read("orders").groupBy(
+        F.expr(account_sql("o_custkey % 100")).alias("account_id"), F.col("o_orderdate").cast("date").alias("snap_date")).agg(
+        F.sum(F.expr(cents_sql("o_totalprice"))).cast("bigint").alias("total_eval_amt"))
+    returns = materialize(moments.kept_returns(daily_values), scratch_path(t.spark, "returns"))
+    return returns, materialize(moments.kept_moments(returns), scratch_path(t.spark, "moments"))
+
+
+@query("kept_return_statistics", "E4", ctes(_VALUED, _RETURNS) + f"""
+SELECT account_id, lookback, count(move) AS n, round(avg(move), 4) AS mean_return, round(stddev_samp(move), 4) AS std_return
+FROM ({_MOVED}) AS m GROUP BY account_id, lookback HAVING count(move) > 0""")
+def _(t):
+    returns, kept = _kept(t)
+    out = None
+    for days in _LOOKBACKS:
+        one = moments.return_statistics(returns, kept, _END, days).select(
+            "account_id", F.lit(days).alias("lookback"), "n", F.round("mean", 4).alias("mean_return"), F.round("std", 4).alias("std_return"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("kept_return_scores", "G4 E4", ctes(_VALUED, _RETURNS) + """,
+known AS (SELECT *, avg(move) OVER own AS mean, stddev_samp(move) OVER own AS std FROM moved400 WINDOW own AS (PARTITION BY account_id))
+SELECT account_id, snap_date, round(move, 2) AS return_pct, round((move - mean) / nullif(std, 0), 2) AS z_score
+FROM known WHERE move IS NOT NULL AND snap_date >= DATE '2001-08-01' - 30""", dates="snap_date")
+def _(t):
+    returns, kept = _kept(t)
+    return moments.scored_returns(returns, kept, _END, 400, 30)
+
+
 _LATEST = f"""
 latest AS (SELECT account_id, account_type, snap_date, snapshot_at, total_eval_amt FROM (
     SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY snapshot_at DESC) AS rn

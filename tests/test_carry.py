@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folioframe.operators import tables
 from folioframe.operators.carry import carry_forward, day_spine
-from folioframe.plans import gate, portfolio, rates
+from folioframe.plans import gate, moments, portfolio, rates
 from folioframe.sources import dimensions
 
 DAY = dt.date(2024, 1, 31)
@@ -142,6 +142,27 @@ def test_account_nav_of_a_hot_account_against_plain(spark):
     assert got.keys() == values.keys()
 
 
+def test_statistics_from_moments_equal_those_from_history(spark):
+    rng = random.Random(6)
+    rows = [(a, "isa", DAY + dt.timedelta(n), rng.randrange(100, 200)) for a, every in (("a", 1), ("b", 17), ("c", 90)) for n in range(0, 400, every)]
+    rows += [("d", "isa", DAY + dt.timedelta(n), 100 * 2 ** (n // 30)) for n in range(0, 400, 30)] + [("e", "isa", DAY, 5), ("z", "isa", DAY, 0), ("z", "isa", DAY + dt.timedelta(399), 3)]
+    daily, end = spark.createDataFrame(rows, DAILY), DAY + dt.timedelta(400)
+    returns = moments.kept_returns(daily)
+    kept = moments.kept_moments(returns)
+    for days in (3, 31, 100, 250, 1000):
+        told = portfolio.daily_returns(daily, days, end).groupBy("account_id").agg(
+            F.count("_return").alias("n"), F.avg("_return").alias("mean"), F.stddev_samp("_return").alias("std")).filter("n > 0")
+        want = {r.account_id: (r.n, r.mean, r.std) for r in told.collect()}
+        got = {r.account_id: (r.n, r.mean, r["std"]) for r in moments.return_statistics(returns, kept, end, days).collect()}
+        assert got.keys() == want.keys()
+        for account, (n, mean, std) in want.items():
+            assert got[account][0] == n and got[account][1] == pytest.approx(mean)
+            assert got[account][2] == (None if std is None else pytest.approx(std, abs=1e-6))
+    scored = moments.scored_returns(returns, kept, end, 250, 20)
+    assert scored.filter("snap_date < '2025-02-13'").count() == 0 and scored.filter("account_id = 'a'").count() == 19
+    assert moments.kept_moments(returns.filter(F.lit(False))).collect() == []
+
+
 HOLIDAYS = [(dt.date(2026, 5, 5), "children"), (dt.date(2025, 3, 3), "other")]
 
 
