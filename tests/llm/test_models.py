@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folioframe.llm import calibration, langid, quality, toxicity
 from folioframe.llm.common import read_table, remainder
-from tests.llm.helpers import awkward, documents, with_clashes
+from tests.llm.helpers import SF, awkward, documents, with_clashes
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -69,12 +69,33 @@ def test_held_out_languages(spark):
 
 
 def test_a_prediction_does_not_see_language_source_or_id(spark):
+    """Held-out rows whose other columns are changed get the same answers."""
     table = read_table(spark, SMALL, "documents")
-    model = langid.fit(table, 50)
-    other = table.filter("doc_id < 50").select("text").collect()
-    texts = [r["text"] for r in other]
-    assert langid.predict_texts(model, texts, 0.2) == langid.predict_texts(model, list(texts), 0.2)
-    assert model.languages == ["de", "en", "es", "fr"]
+    held = remainder("doc_id", 3) == 1
+    other = table.select("doc_id", "text", F.when(held, "de").otherwise(F.col("lang")).alias("lang"),
+                         F.lit("elsewhere").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+
+    def answers(rows):
+        return {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in langid.identify(rows, ["doc_id"], 50).filter(held).collect()}
+
+    assert answers(table) == answers(other)
+
+
+def test_the_fit_counts_what_plain_counting_does(spark):
+    """Weights of each bit from trigram shares of the languages on either side of it, counted text by text."""
+    table = read_table(spark, SF, "documents")
+    model, letters = langid.fit(table), langid.letter_table()
+    counts = {lang: np.zeros(1 << langid.BUCKET_BITS) for lang in model.languages}
+    for r in table.filter((remainder("doc_id", 3) != 1) & F.col("lang").isNotNull()).collect():
+        for buckets in langid.trigram_buckets(r["text"] or "", letters):
+            for bucket in buckets.tolist():
+                counts[r["lang"]][bucket] += 1
+    shares = np.stack([(counts[lang] + 0.5) / (counts[lang] + 0.5).sum() for lang in model.languages])
+    for bit in range(model.codes.shape[1]):
+        ones, others = shares[model.codes[:, bit] > 0], shares[model.codes[:, bit] < 0]
+        want = np.log(ones.mean(axis=0) / others.mean(axis=0))
+        assert np.abs(model.weights[:, bit] - want).max() < 1e-9
+    assert model.bit_weights.sum() == pytest.approx(1.0) and (model.bit_weights >= 0).all()
 
 
 def test_language_of_awkward_rows(spark):
@@ -111,8 +132,11 @@ def test_pooling_against_the_max_min_formula(seed):
     for i in range(len(n)):
         best = max(min(sum(hits[a:b + 1]) / sum(n[a:b + 1]) for b in range(i, len(n))) for a in range(i + 1))
         rates = fitted(np.array([float(i)]))[0]
-        # Each block's rate is drawn half a row towards the overall rate.
-        assert abs(rates - best) <= 0.5
+        # Each block's rate is drawn half a row towards the overall rate; a block holds the rows of its best rate.
+        same = [k for k in range(len(n)) if abs(max(min(sum(hits[a:b + 1]) / sum(n[a:b + 1]) for b in range(k, len(n)))
+                                                    for a in range(k + 1)) - best) < 1e-12]
+        held, base = sum(n[k] for k in same), sum(hits) / sum(n)
+        assert rates == pytest.approx((best * held + 0.5 * base) / (held + 0.5), abs=1e-9)
     steps = fitted(np.linspace(-1, len(n), 200))
     assert (np.diff(steps) >= -1e-12).all() or len(n) < 2
 
@@ -167,6 +191,31 @@ def test_boosting_learns_what_needs_depth():
     assert ((raw > 0) == (y[2000:] > 0)).mean() > 0.97
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_splits_are_the_best_of_all(seed):
+    """The first tree's splits against a search over every column and every value."""
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 6, (80, 4)).astype(float)
+    y = (rng.random(80) < 0.2 + 0.6 * ((x[:, 1] > 2) ^ (x[:, 3] > 1))).astype(float)
+    model = toxicity.boost(x, y, rounds=1, depth=2)
+    p = np.full(len(y), y.mean())
+    gradient, curve = y - p, p * (1 - p)
+
+    def gain(rows, column, value):
+        left = rows & (x[:, column] <= value)
+        right = rows & ~left
+        if curve[left].sum() < 1 or curve[right].sum() < 1:
+            return 0.0
+        return sum(gradient[s].sum() ** 2 / (curve[s].sum() + 1.0) for s in (left, right)) - gradient[rows].sum() ** 2 / (curve[rows].sum() + 1.0)
+
+    columns, thresholds = model.columns[0], model.thresholds[0]
+    top = x[:, columns[0]] <= thresholds[0]
+    for node, rows in ((0, np.ones(80, bool)), (1, top), (2, ~top)):
+        best = max(gain(rows, c, v) for c in range(4) for v in range(6))
+        got = gain(rows, columns[node], thresholds[node]) if np.isfinite(thresholds[node]) else 0.0
+        assert got == pytest.approx(best, abs=1e-9)
+
+
 def test_boosting_of_one_class_or_nothing():
     assert len(set(toxicity.boost(np.ones((5, 2)), np.ones(5)).raw(np.zeros((3, 2))))) == 1
     assert toxicity.boost(np.zeros((0, 2)), np.zeros(0)).raw(np.zeros((1, 2))) == [0.0]
