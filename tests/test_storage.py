@@ -199,9 +199,9 @@ def test_a_retry_takes_the_stage_and_its_counts_not_the_input(spark, tmp_path, m
 
 
 def test_a_stage_of_another_batch_is_refused(spark, tmp_path, monkeypatch):
-    root = str(tmp_path / "tables")
+    root, stage = str(tmp_path / "tables"), session.scratch_path(spark, "one")
     tables.create(spark, root, "domestic_orders")
-    monkeypatch.setattr(tables, "stage_path", lambda spark_, *_: f"{session.shared_root(spark_)}/one-{tmp_path.name}")
+    monkeypatch.setattr(tables, "stage_path", lambda *_: stage)
     monkeypatch.setattr(tables, "swap", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
     with pytest.raises(RuntimeError):
         tables.rewrite(spark, root, "domestic_orders", _orders_of(spark, "a"), _put_orders, batch="1")
