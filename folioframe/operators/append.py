@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioframe.functions import variants
 from folioframe.functions.text import encode_json, parse_day
 from folioframe.operators.tables import conform
 from folioframe.schemas import TABLES
@@ -79,3 +80,11 @@ def profit_reports(rows: DataFrame, at: Column | None = None) -> DataFrame:
 def order_observations(rows: DataFrame, at: Column | None = None) -> DataFrame:
     """Raw order-list responses by account, product and date range."""
     return _reports(rows, "order_history", at)
+
+
+def documents(rows: DataFrame, column: str) -> DataFrame:
+    """Raw responses parsed as they are stored: `doc`, the text of `column` as VARIANT, in its place. Readers then take
+    members from the parsed form, however often the rows are read. What does not parse keeps its text in `unread`."""
+    doc = variants.parsed(F.col(column))
+    read = rows.withColumn("doc", doc)
+    return read.withColumn("unread", F.when(F.col("doc").isNull(), F.col(column))).drop(column)

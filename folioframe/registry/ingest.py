@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioframe.operators import export, merge
+from folioframe.operators import append, export, merge
 from folioframe.registry.core import ctes, query
 from folioframe.registry.standins import ACCOUNTS, CALENDAR, HOLIDAYS, MASTER, cents_sql, symbol_sql
-from folioframe.session import scratch_path
+from folioframe.session import materialize, scratch_path
 from folioframe.sources import balances, dimensions, masters, prices
 
 _CENTS = cents_sql("value")
@@ -156,10 +156,7 @@ def _(t):
     return balances.cash_summary(balances.reshape_deposit(deposits(t)))
 
 
-@query("domestic_holding_rows", "A5", f"""
-SELECT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) AS symbol, concat('part ', l_partkey) AS name, l_quantity AS quantity,
-       {cents_sql('l_extendedprice')} AS value_krw FROM lineitem""")
-def _(t):
+def _balances(t):
     value = F.concat(F.expr(cents_sql("l_extendedprice")).cast("string"), F.lit(".9"))
 
     def item(symbol, amount):
@@ -168,8 +165,24 @@ def _(t):
 
     symbol = F.concat(F.lit(" "), F.col("l_partkey").cast("string"))
     listed = F.array(item(symbol, value), item(F.lit(" "), value), item(symbol, F.lit("0")), item(symbol, F.lit("-")))
-    rows = t.read("lineitem").select("l_orderkey", "l_linenumber", _json(output1=listed).alias("balance_data"))
-    return balances.domestic_holdings(rows).drop("raw_data")
+    return t.read("lineitem").select("l_orderkey", "l_linenumber", _json(output1=listed).alias("balance_data"))
+
+
+_HOLDINGS = f"""
+SELECT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) AS symbol, concat('part ', l_partkey) AS name, l_quantity AS quantity,
+       {cents_sql('l_extendedprice')} AS value_krw FROM lineitem"""
+
+
+@query("domestic_holding_rows", "A5", _HOLDINGS)
+def _(t):
+    return balances.domestic_holdings(_balances(t)).drop("raw_data")
+
+
+@query("domestic_holding_rows_of_documents", "A5 B7", _HOLDINGS)
+def _(t):
+    """From responses that were parsed when they were stored."""
+    stored = materialize(append.documents(_balances(t), "balance_data"), scratch_path(t.spark, "documents"))
+    return balances.domestic_holdings_of_documents(stored).drop("raw_data", "unread")
 
 
 @query("overseas_holding_rows", "A6 J17", f"""

@@ -10,7 +10,7 @@ from folioframe.registry.core import ctes, query
 from folioframe.registry.merges import before, now
 from folioframe.registry.standins import CALENDAR, account_sql, cents_sql, kind_sql, product_sql
 from folioframe.schemas import DOMESTIC_ORDERS, ORDER_HISTORY
-from folioframe.session import scratch_path
+from folioframe.session import materialize, scratch_path
 from folioframe.sources import dimensions
 from folioframe.sources import orders as source
 
@@ -79,6 +79,13 @@ def _(t):
     return source.order_rows(responses(t))[0].select(*_NORMAL_COLUMNS)
 
 
+@query("canonical_order_rows_of_documents", "A7 B12 J14", ctes(_NORMAL) + "SELECT * FROM normal", dates="order_date", times="seen_at")
+def _(t):
+    """From responses that were parsed when they were stored."""
+    stored = materialize(append.documents(responses(t), "payload"), scratch_path(t.spark, "documents"))
+    return source.order_rows_of_documents(stored)[0].select(*_NORMAL_COLUMNS)
+
+
 @query("rejected_order_rows", "A7", f"""
 SELECT {account_sql('o_custkey')} AS account_id, concat('o', o_orderkey) AS last_order_history_id, 'none' AS symbol FROM orders""")
 def _(t):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.functions import numbers, payload, text
+from folioframe.functions import numbers, payload, text, variants
 
 # Total-value members in order of preference.
 TOTAL_FIELDS = (
@@ -86,23 +86,37 @@ def pair_rate_rows(reshaped: DataFrame) -> DataFrame:
     return reshaped.select(*carried, F.explode("pair_rates").alias("pair", "rate"))
 
 
-def domestic_holdings(snapshots: DataFrame, balance: str = "balance_data") -> DataFrame:
-    """Holdings of domestic balance responses: symbol, name, quantity, value and the raw object.
+_HOLDING = ("pdno", "prdt_name", "hldg_qty", "evlu_amt")
 
-    Columns of `snapshots` other than the response are carried. Blank symbols and values of 0 or less go.
-    """
-    row = payload.Members("pdno", "prdt_name", "hldg_qty", "evlu_amt")
-    carried = [name for name in snapshots.columns if name != balance]
-    return row.explode(snapshots, payload.items(F.col(balance), "output1")).select(
+
+def _typed_holdings(rows: DataFrame, row, carried: list[str], raw: Column) -> DataFrame:
+    return rows.select(
         *carried,
         F.trim(row.get("pdno")).alias("symbol"),
         F.trim(F.coalesce(row.get("prdt_name"), F.lit(""))).alias("name"),
         numbers.parse_number(row.get("hldg_qty")).alias("quantity"),
         numbers.parse_int(row.get("evlu_amt")).alias("value_krw"),
-        F.col("_text").alias("raw_data"),
+        raw.alias("raw_data"),
     ).filter((F.col("symbol") != "") & (F.col("value_krw") > 0))
 
 
+def domestic_holdings(snapshots: DataFrame, balance: str = "balance_data") -> DataFrame:
+    """Holdings of domestic balance responses: symbol, name, quantity, value and the raw object.
+
+    Columns of `snapshots` other than the response are carried. Blank symbols and values of 0 or less go.
+    """
+    row = payload.Members(*_HOLDING)
+    carried = [name for name in snapshots.columns if name != balance]
+    return _typed_holdings(row.explode(snapshots, payload.items(F.col(balance), "output1")), row, carried, F.col("_text"))
+
+
+def domestic_holdings_of_documents(documents: DataFrame, doc: str = "doc") -> DataFrame:
+    """The same of balance responses that are stored parsed, as VARIANT: no text is parsed."""
+    row = variants.Members(*_HOLDING)
+    carried = [name for name in documents.columns if name != doc]
+    return _typed_holdings(row.explode(documents, variants.items(F.col(doc), "output1")), row, carried, F.to_json("_value"))
+
+
 def overseas_holdings(balances: DataFrame, balance: str = "balance_data") -> DataFrame:
     """Holdings of overseas balance responses, a map of exchange to response.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.functions import numbers, payload, text
+from folioframe.functions import numbers, payload, text, variants
 
 # Canonical column -> candidate member names, first filled one wins.
 TEXT_FIELDS = {
@@ -36,10 +36,9 @@ NUMBER_FIELDS = {
 _IDENTITY = ("account_id", "account_product_code", "account_type")
 NUMBER, DATE, BRANCH, CANCELLED = "odno", "ord_dt", "ord_gno_brno", "cncl_yn"
 LISTED = "_listed"
-ORDER_MEMBERS = payload.all_spellings(
-    NUMBER, DATE, BRANCH, CANCELLED,
-    *[name for fields in (TEXT_FIELDS, NUMBER_FIELDS) for names in fields.values() for name in names],
-)
+_NAMES = (NUMBER, DATE, BRANCH, CANCELLED,
+          *[name for fields in (TEXT_FIELDS, NUMBER_FIELDS) for names in fields.values() for name in names])
+ORDER_MEMBERS, PARSED_MEMBERS = payload.all_spellings(*_NAMES), variants.all_spellings(*_NAMES)
 
 
 def order_texts(response: Column) -> Column:
@@ -47,19 +46,18 @@ def order_texts(response: Column) -> Column:
     return payload.items(response, "output1")
 
 
-def order_day(members: payload.Members, fallback: Column, row: Column | None = None) -> Column:
+def order_day(members: payload.Members | variants.Members, fallback: Column, row: Column | None = None) -> Column:
     """Date of an order row: its own, else the fallback, with dashes ignored."""
-    return text.parse_day_or_iso(F.coalesce(members.pick(DATE, row=row), fallback))
+    own = members.pick(DATE) if row is None else members.pick(DATE, row=row)
+    return text.parse_day_or_iso(F.coalesce(own, fallback))
 
 
-def _candidates(responses: DataFrame, source: Column) -> DataFrame:
-    row = ORDER_MEMBERS
-
+def _typed(rows: DataFrame, row, raw: Column, source: Column) -> DataFrame:
+    """Canonical columns of exploded orders; `row` reads their members."""
     def texts(fields: dict[str, tuple[str, ...]]) -> list[Column]:
         return [row.pick(*names).alias(column) for column, names in fields.items()]
 
-    listed = F.col(LISTED) if LISTED in responses.columns else row.parse_all(order_texts(F.col("payload")))
-    return row.explode_parsed(responses, listed).select(
+    return rows.select(
         *_IDENTITY,
         order_day(row, F.col("fallback_date")).alias("order_date"),
         F.coalesce(row.pick(BRANCH), F.lit("")).alias("order_branch_no"),
@@ -69,12 +67,28 @@ def _candidates(responses: DataFrame, source: Column) -> DataFrame:
         text.yes_no(row.pick(CANCELLED)).alias("is_cancelled"),
         source.alias("last_source"),
         F.col("observation_id").alias("last_order_history_id"),
-        F.col("_text").alias("raw_data"),
+        raw.alias("raw_data"),
         F.col("fetched_at").alias("seen_at"),
         F.col("_place").alias("place"),
     )
 
 
+def _candidates(responses: DataFrame, source: Column) -> DataFrame:
+    listed = F.col(LISTED) if LISTED in responses.columns else ORDER_MEMBERS.parse_all(order_texts(F.col("payload")))
+    return _typed(ORDER_MEMBERS.explode_parsed(responses, listed), ORDER_MEMBERS, F.col("_text"), source)
+
+
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    usable = F.col("order_no").isNotNull() & F.col("order_date").isNotNull()
+    return rows.filter(usable), rows.filter(~usable)
+
+
+def order_rows_of_documents(documents: DataFrame, source: str = "batch") -> tuple[DataFrame, DataFrame]:
+    """`order_rows` of responses that are stored parsed, as VARIANT in `doc`: no text is parsed."""
+    rows = PARSED_MEMBERS.explode(documents, variants.items(F.col("doc"), "output1"))
+    return _split(_typed(rows, PARSED_MEMBERS, F.to_json("_value"), F.lit(source)))
+
+
 def order_rows(responses: DataFrame, source: str = "batch") -> tuple[DataFrame, DataFrame]:
     """Canonical rows and rejects of order-list responses.
 
@@ -83,9 +97,7 @@ def order_rows(responses: DataFrame, source: str = "batch") -> tuple[DataFrame,
     one without goes to the rejects. `seen_at` and `place` (position in the response) order the rows of one
     order for `merge.upsert`. Responses that `parse_lists` has read carry their lists and are not parsed again.
     """
-    rows = _candidates(responses, F.lit(source))
-    usable = F.col("order_no").isNotNull() & F.col("order_date").isNotNull()
-    return rows.filter(usable), rows.filter(~usable)
+    return _split(_candidates(responses, F.lit(source)))
 
 
 def order_count(response: Column) -> Column:

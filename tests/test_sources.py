@@ -135,3 +135,33 @@ def test_gate(spark, calendar, day, clock, reason):
 def test_members_of_number_zero_are_left_out(spark, text, kept):
     out = one(spark, payload.without_zeros(F.lit(text)))
     assert out == text if kept is None else json.loads(out) == kept
+
+
+def test_stored_documents_read_like_texts(spark):
+    """Orders and holdings from responses parsed once equal those from their texts; no read parses text."""
+    from folioframe.operators import append
+    from folioframe.session import materialize, scratch_path
+    from folioframe.sources import balances, orders
+
+    lists = [
+        '{"output1":[{"odno":"1","ord_dt":"20240102","ord_qty":"1,000","tot_ord_qty":0,"rmn_qty":"0","cncl_yn":"y","pdno":5930},'
+        '{"ODNO":"2","ORD_DT":"2024-01-03","EXCG_ID_DVSN_CD":"KRX","tot_ccld_qty":0.0,"ccld_qty":7},{"odno":0},{"odno":"0","ord_dt":""},"text",7,null]}',
+        '{"output1":{"odno":"9"}}', '{"output1":[]}', "<html>", "", None, '{"output1":[{"odno":"3","odno":"4"}]}', "[1]",
+        '{"output1":[{"odno":" ","ord_dt":"bad","excg_id_dvsn_Cd":"NXT","ord_tmd":null,"prdt_name":"이름 \\"q\\" \\u00e9"}]}',
+    ]
+    rows = [("a", "01", "isa", "20240110", f"o{n}", dt.datetime(2024, 1, 1), doc) for n, doc in enumerate(lists)]
+    frame = spark.createDataFrame(rows, "account_id string, account_product_code string, account_type string, fallback_date string, "
+                                        "observation_id string, fetched_at timestamp_ntz, payload string")
+    stored = materialize(append.documents(frame, "payload"), scratch_path(spark, "documents"))
+    assert stored.filter("unread IS NOT NULL").count() == 3
+    for told, want in zip(orders.order_rows_of_documents(stored), orders.order_rows(frame), strict=True):
+        # An object with a name twice is no document: it stays unread.
+        want = want.filter("last_order_history_id != 'o6'")
+        assert sorted(map(str, told.drop("raw_data").collect())) == sorted(map(str, want.drop("raw_data").collect()))
+        assert "from_json" not in told._jdf.queryExecution().optimizedPlan().toString()
+    balance = spark.createDataFrame([(1, '{"output1":[{"pdno":" A ","prdt_name":"x","hldg_qty":"2","evlu_amt":"1,500.9"},{"pdno":"B","evlu_amt":0},'
+                                         '{"pdno":"C","evlu_amt":12}]}'), (2, None), (3, '{"output1":"no"}')], "n int, balance_data string")
+    kept = materialize(append.documents(balance, "balance_data"), scratch_path(spark, "documents"))
+    told = balances.domestic_holdings_of_documents(kept)
+    assert sorted(map(str, told.drop("raw_data", "unread").collect())) == sorted(map(str, balances.domestic_holdings(balance).drop("raw_data").collect()))
+    assert told.count() == 2 and "from_json" not in told._jdf.queryExecution().optimizedPlan().toString()
