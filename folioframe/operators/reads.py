@@ -114,8 +114,12 @@ def latest_observations(observations: DataFrame, requests: DataFrame, payload: b
     winners = found.groupBy(*span, "account_product_code").agg(best).select(
         *span, "account_product_code", "_best._obs.id", "_best._obs.account_type", "_best._obs.fetched_at"
     )
-    if not payload:
-        return winners
+    return with_payloads(winners, observations) if payload else winners
+
+
+def with_payloads(winners: DataFrame, observations: DataFrame) -> DataFrame:
+    """Rows of `latest_observations` found without payloads, with the `data` of their observations."""
+    span = ["account_id", "market_type", "start_date", "end_date"]
     # The span and, of a stored table, the month lead to the winners' files.
     month = [MONTH] if MONTH in observations.columns else []
     found = winners.withColumn(MONTH, F.date_format("fetched_at", "yyyy-MM")) if month else winners

@@ -110,12 +110,13 @@ def history(canonical: DataFrame, observations: DataFrame, account_id: str, prod
 
 def missing_from_canonical(requests: DataFrame, observations: DataFrame, canonical: DataFrame) -> DataFrame:
     """Observations that serve a request and list orders of which none is stored in its range."""
-    found = reads.latest_observations(observations, requests)
-    listed = found.filter(source.order_count(F.col("data")) > 0)
-    stored = _per_day(listed.select(*_SPAN)).join(
+    found = reads.latest_observations(observations, requests, payload=False)
+    # Ranges are told apart before payloads are fetched, so that those of ranges with stored orders never travel.
+    stored = _per_day(found.select(*_SPAN)).join(
         canonical.select(*_ACCOUNT, "order_date"), [*_ACCOUNT, "order_date"], "left_semi"
     ).select(*_SPAN).distinct()
-    return listed.join(stored, _SPAN, "left_anti")
+    lost = reads.with_payloads(found.join(stored, _SPAN, "left_anti"), observations)
+    return lost.filter(source.order_count(F.col("data")) > 0)
 
 
 def replay(requests: DataFrame, observations: DataFrame, canonical: DataFrame, now: Column) -> DataFrame:
