@@ -41,27 +41,35 @@ class Members:
         self._type = "struct<" + ",".join(f"`{name}`:string" for name in wanted) + ">"
         self._unique = T.StructType([T.StructField(place, T.StringType()) for place in self._place.values()])
 
-    def explode(self, df: DataFrame, values: Column) -> DataFrame:
-        """One row per object among the values, with `_place`, the variant `_value` and its members `_row`."""
-        read = F.transform(values, lambda v: F.struct(v.alias("value"), F.try_variant_get(v, "$", self._type).cast(self._unique).alias("row")))
+    def read_all(self, doc: Column, name: str, values: bool = True) -> Column:
+        """The objects in the top-level list `name`, as an array of structs of the members read in `row`, and with
+        `values` the variant `value` itself, which rebuilds each object."""
+        rows = F.try_variant_get(doc, f"$.{name}", f"array<{self._type}>")
+        read = F.transform(rows, lambda found: F.struct(found.cast(self._unique).alias("row")))
+        if values:
+            read = F.zip_with(items(doc, name), read, lambda value, found: F.struct(value.alias("value"), found["row"].alias("row")))
         objects = F.filter(read, lambda entry: entry["row"].isNotNull())
         # Inside the array: as columns of a projection so many conditions would be more code than one method holds.
-        filled = F.transform(objects, lambda entry: F.struct(entry["value"].alias("value"), F.struct(*[
-            self._filled(name, entry["row"][place], entry["value"]).alias(place) for name, place in self._place.items()]).alias("row")))
-        return df.select("*", F.posexplode(filled).alias("_place", "_entry")).withColumns({
+        return F.transform(objects, lambda entry: F.struct(*([entry["value"].alias("value")] if values else []), F.struct(*[
+            self._filled(name, entry["row"][place], entry["value"] if self._zero_is_missing else None).alias(place)
+            for name, place in self._place.items()]).alias("row")))
+
+    def explode(self, df: DataFrame, doc: Column, name: str) -> DataFrame:
+        """One row per object in the top-level list `name`, with `_place`, the variant `_value` and its members `_row`."""
+        return df.select("*", F.posexplode(self.read_all(doc, name)).alias("_place", "_entry")).withColumns({
             "_value": F.col("_entry.value"), "_row": F.col("_entry.row"),
         }).drop("_entry")
 
-    def _filled(self, name: str, text: Column, value: Column) -> Column:
+    def _filled(self, name: str, text: Column, value: Column | None) -> Column:
         if not self._zero_is_missing:
             return blank_to_null(text)
         zero = (text.startswith("0") | text.startswith("-0")) & (text.try_cast("double") == 0)
         number = F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant")) != "STRING"
         return F.when(~F.coalesce(zero & number, F.lit(False)), blank_to_null(text))
 
-    def get(self, name: str) -> Column:
+    def get(self, name: str, row: Column | None = None) -> Column:
         """Text of a member, NULL when missing, JSON null or empty."""
-        return F.col("_row")[self._place[name]]
+        return (F.col("_row") if row is None else row)[self._place[name]]
 
     def pick(self, *names: str) -> Column:
         """First filled member, trying each name in its spellings."""

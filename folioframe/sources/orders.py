@@ -85,7 +85,7 @@ def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def order_rows_of_documents(documents: DataFrame, source: str = "batch") -> tuple[DataFrame, DataFrame]:
     """`order_rows` of responses that are stored parsed, as VARIANT in `doc`: no text is parsed."""
-    rows = PARSED_MEMBERS.explode(documents, variants.items(F.col("doc"), "output1"))
+    rows = PARSED_MEMBERS.explode(documents, F.col("doc"), "output1")
     return _split(_typed(rows, PARSED_MEMBERS, F.to_json("_value"), F.lit(source)))
 
 
