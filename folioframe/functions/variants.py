@@ -37,22 +37,27 @@ class Members:
     def __init__(self, *names: str, zero_is_missing: bool = False):
         self._zero_is_missing = zero_is_missing
         wanted = list(dict.fromkeys(names))
-        self._place = {name: f"m{i}" for i, name in enumerate(wanted)}
+        # Only names that differ in case alone need others: Spark resolves fields without regard to case.
+        self._renamed = len({name.lower() for name in wanted}) < len(wanted)
+        self._place = {name: f"m{i}" if self._renamed else name for i, name in enumerate(wanted)}
         self._type = "struct<" + ",".join(f"`{name}`:string" for name in wanted) + ">"
         self._unique = T.StructType([T.StructField(place, T.StringType()) for place in self._place.values()])
 
-    def read_all(self, doc: Column, name: str, values: bool = True) -> Column:
-        """The objects in the top-level list `name`, as an array of structs of the members read in `row`, and with
-        `values` the variant `value` itself, which rebuilds each object."""
-        rows = F.try_variant_get(doc, f"$.{name}", f"array<{self._type}>")
-        read = F.transform(rows, lambda found: F.struct(found.cast(self._unique).alias("row")))
-        if values:
-            read = F.zip_with(items(doc, name), read, lambda value, found: F.struct(value.alias("value"), found["row"].alias("row")))
+    def rows(self, doc: Column, name: str) -> Column:
+        """The members of each element of the top-level list `name`, all read in one pass; NULL for one that is no object."""
+        found = F.try_variant_get(doc, f"$.{name}", f"array<{self._type}>")
+        return F.transform(found, lambda row: row.cast(self._unique)) if self._renamed else found
+
+    def read_all(self, doc: Column, name: str) -> Column:
+        """The objects in the top-level list `name`, as an array of structs of the variant `value`, which rebuilds each
+        object, and the members read in `row`."""
+        read = F.zip_with(items(doc, name), self.rows(doc, name), lambda value, row: F.struct(value.alias("value"), row.alias("row")))
         objects = F.filter(read, lambda entry: entry["row"].isNotNull())
+        if not self._zero_is_missing:
+            return objects
         # Inside the array: as columns of a projection so many conditions would be more code than one method holds.
-        return F.transform(objects, lambda entry: F.struct(*([entry["value"].alias("value")] if values else []), F.struct(*[
-            self._filled(name, entry["row"][place], entry["value"] if self._zero_is_missing else None).alias(place)
-            for name, place in self._place.items()]).alias("row")))
+        return F.transform(objects, lambda entry: F.struct(entry["value"].alias("value"), F.struct(*[
+            self._filled(name, entry["row"][place], entry["value"]).alias(place) for name, place in self._place.items()]).alias("row")))
 
     def explode(self, df: DataFrame, doc: Column, name: str) -> DataFrame:
         """One row per object in the top-level list `name`, with `_place`, the variant `_value` and its members `_row`."""
@@ -60,16 +65,15 @@ class Members:
             "_value": F.col("_entry.value"), "_row": F.col("_entry.row"),
         }).drop("_entry")
 
-    def _filled(self, name: str, text: Column, value: Column | None) -> Column:
-        if not self._zero_is_missing:
-            return blank_to_null(text)
+    def _filled(self, name: str, text: Column, value: Column) -> Column:
         zero = (text.startswith("0") | text.startswith("-0")) & (text.try_cast("double") == 0)
         number = F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant")) != "STRING"
         return F.when(~F.coalesce(zero & number, F.lit(False)), blank_to_null(text))
 
     def get(self, name: str, row: Column | None = None) -> Column:
         """Text of a member, NULL when missing, JSON null or empty."""
-        return (F.col("_row") if row is None else row)[self._place[name]]
+        text = (F.col("_row") if row is None else row)[self._place[name]]
+        return text if self._zero_is_missing else blank_to_null(text)
 
     def pick(self, *names: str) -> Column:
         """First filled member, trying each name in its spellings."""

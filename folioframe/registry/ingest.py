@@ -182,7 +182,7 @@ def _(t):
 def _(t):
     """From responses that were parsed when they were stored."""
     stored = materialize(append.documents(_balances(t), "balance_data"), scratch_path(t.spark, "documents"))
-    return balances.domestic_holdings_of_documents(stored).drop("raw_data", "unread")
+    return balances.domestic_holdings_of_documents(stored, raw=False).drop("unread")
 
 
 @query("overseas_holding_rows", "A6 J17", f"""
