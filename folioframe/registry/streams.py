@@ -13,17 +13,23 @@ from folioframe.session import scratch_path
 from folioframe.streaming import jobs
 
 
+ARRIVALS = 3
+
+
 def arriving(t):
-    """The events as a stream of several files, the latest events in the first, read a file a batch.
+    """The events as a stream of three arrivals, the latest events in the first, read an arrival a batch.
 
-    A job whose answer hung on the order or size of its batches would differ from its SQL."""
+    A job whose answer hung on the order or size of its batches would differ from its SQL. Every arrival has as many files
+    as the table has tasks, so a larger table makes larger batches and not more of them: a merge rewrites the parts that a
+    batch meets, and a batch a file would rewrite the same month once for every task."""
     events, folder = t.read("events"), scratch_path(t.spark, "arriving")
     at = F.col("ts").cast("timestamp").cast("double")
     first, last = events.agg(F.min(at), F.max(at)).first()
-    place = F.floor((F.lit(last) - at) / (F.lit(last - first) / 3 + 1))
-    for part in range(3):
-        events.filter(F.coalesce(place, F.lit(2)) == part).write.mode("append").parquet(folder)
-    return jobs.read_files(t.spark, folder, events.schema, files_per_batch=1)
+    place = F.floor((F.lit(last) - at) / (F.lit(last - first) / ARRIVALS + 1))
+    files = events.rdd.getNumPartitions()
+    for part in range(ARRIVALS):
+        events.filter(F.coalesce(place, F.lit(ARRIVALS - 1)) == part).repartition(files).write.mode("append").parquet(folder)
+    return jobs.read_files(t.spark, folder, events.schema, files_per_batch=files)
 
 
 def _snapshots(t):

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from folioframe import session
 from folioframe.operators import curate, export, merge, reads, tables
 from folioframe.plans import orders, portfolio
+from folioframe.registry import streams
+from folioframe.registry.standins import Tables
 from folioframe.schemas import DOMESTIC_ORDERS, INSTRUMENT_MASTER, ORDER_HISTORY, PRICE_HISTORY, TABLES
 from folioframe.sources import dimensions, masters
 from folioframe.sources import orders as order_source
@@ -434,6 +436,23 @@ def test_streamed_orders_and_firsts_do_not_hang_on_batches(spark, tmp_path, file
     assert [r.filled_qty for r in jobs.read_partials(spark, out, first).collect()] == [100]
 
 
+def events_in_files(spark, folder, files=5):
+    """A table of 60 events, ten of one key, in several files that each hold rows of all times."""
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * i), i % 6, "view", float(i), "{}") for i in range(60)]
+    events = spark.createDataFrame(rows, "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING")
+    events.repartition(files).write.parquet(f"{folder}/events.parquet")
+    return rows
+
+
+def test_events_arrive_in_three_batches_however_many_files_their_table_has(spark, tmp_path):
+    rows, out = events_in_files(spark, tmp_path), tmp_path / "out"
+    jobs.write_partials(streams.arriving(Tables(spark, str(tmp_path))), lambda seen: seen, str(out),
+                        str(tmp_path / "state")).awaitTermination()
+    batches = [sorted(r.event_id for r in spark.read.parquet(str(path)).collect()) for path in sorted(out.glob("batch=*"))]
+    assert len(batches) == 3 and batches[0][-1] == 59 and batches[2][0] == 0
+    assert sorted(sum(batches, [])) == [row[0] for row in rows]
+
+
 def test_lookbacks_over_stored_tables_skip_the_files_of_earlier_months(spark, tmp_path):
     root = str(tmp_path / "tables")
     rows = [("x", "a", "t", dt.datetime(2024, month, d), d, None) for month in (1, 2, 3) for d in (1, 5, 9)]
