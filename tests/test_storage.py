@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from folioframe import session
 from folioframe.operators import curate, export, merge, reads, tables
 from folioframe.plans import orders, portfolio
-from folioframe.registry import streams
+from folioframe.registry import QUERIES, streams
 from folioframe.registry.standins import Tables
 from folioframe.schemas import DOMESTIC_ORDERS, INSTRUMENT_MASTER, ORDER_HISTORY, PRICE_HISTORY, TABLES
 from folioframe.sources import dimensions, masters
@@ -453,6 +453,15 @@ def test_events_arrive_in_three_batches_however_many_files_their_table_has(spark
     assert sorted(sum(batches, [])) == [row[0] for row in rows]
 
 
+def test_two_streams_of_one_table_merge_three_batches_each(spark, tmp_path, monkeypatch):
+    rows, merged, rewrite = events_in_files(spark, tmp_path), [], tables.rewrite
+    monkeypatch.setattr(jobs, "rewrite", lambda *given, batch: merged.append(batch) or rewrite(*given, batch=batch))
+    kept = QUERIES["stream_order_upsert_two_tables"](spark, str(tmp_path)).collect()
+    assert len(merged) == len(set(merged)) == 6
+    newest = {(f"{user:08d}", str(ts.date())): round(value * 100) for _i, ts, user, _kind, value, _props in rows}
+    assert {(r.account_id, r.order_date): r.filled_amount for r in kept} == newest and len(kept) == len(newest)
+
+
 def test_lookbacks_over_stored_tables_skip_the_files_of_earlier_months(spark, tmp_path):
     root = str(tmp_path / "tables")
     rows = [("x", "a", "t", dt.datetime(2024, month, d), d, None) for month in (1, 2, 3) for d in (1, 5, 9)]
