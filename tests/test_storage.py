@@ -225,6 +225,24 @@ def test_a_swap_does_not_shuffle(spark, tmp_path, monkeypatch):
     assert plans and all("Exchange" not in plan and split for plan, split in plans)
 
 
+@pytest.mark.parametrize("months", [1, 2])
+def test_a_batch_of_one_month_is_written_where_it_was_merged(spark, tmp_path, months):
+    """Its rows need not be gathered by month once more; those of several months are, in a file each."""
+    root, merging = str(tmp_path / "tables"), "spark.sql.adaptive.coalescePartitions.enabled"
+    rows = [("A", "KRX", dt.date(2024, 1 + i % months, 1 + i // 2), float(i), 1.0, 1.0, 1.0, 1, i) for i in range(50)]
+    tables.create(spark, root, "price_history")
+    spark.conf.set(merging, "false")
+    try:
+        tables.rewrite(spark, root, "price_history", spark.createDataFrame(rows, PRICE_IN),
+                       lambda target, new: merge.overwrite_adjusted(target, new, now(), ["seq"]))
+    finally:
+        spark.conf.set(merging, "true")
+    files = [len(list(part.glob("*.parquet"))) for part in (tmp_path / "tables/price_history").glob("month=2024-*")]
+    assert files == [1, 1] if months == 2 else files[0] > 1
+    out = {r.date: r.close for r in tables.read_table(spark, root, "price_history").collect()}
+    assert out == {row[2]: row[6] for row in rows}
+
+
 def test_compaction_leaves_what_a_batch_wrote_meanwhile(spark, tmp_path):
     out, rows = str(tmp_path / "partials"), "k STRING, v INT, at INT"
 
