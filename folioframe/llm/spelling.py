@@ -126,10 +126,11 @@ def signed(table: DataFrame) -> DataFrame:
 def near_pairs(table: DataFrame) -> DataFrame:
     """word, other, other_n: both directions of every pair of words one inserted, deleted or replaced code point
     apart. Candidates are verified inside the join, which Spark may split where a signature is common; only pairs
-    that are near leave it."""
+    that are near leave it. Spark takes the signatures to be as small as the words they are made of, and would broadcast
+    what is many times as large."""
     rows = signed(table)
     a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, (F.col("a.signature") == F.col("b.signature")) & (F.col("a.word") < F.col("b.word")) & (
+    met = a.join(b.hint("merge"), (F.col("a.signature") == F.col("b.signature")) & (F.col("a.word") < F.col("b.word")) & (
         F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1))
     pairs = met.select(F.col("a.word").alias("x"), F.col("a.n").alias("x_n"), F.col("b.word").alias("y"),
                        F.col("b.n").alias("y_n")).distinct()

@@ -108,6 +108,14 @@ def test_forms_follow_chains_and_break_ties_in_code_point_order(spark):
     assert rows["tiesa"]["form"] == "tiesz" and rows["tiesé"]["form"] is None and rows["tiesa"]["n_near"] == 2
 
 
+def test_signatures_are_not_broadcast(spark):
+    words = spark.createDataFrame([("reading", 9), ("readings", 3)], "word string, n bigint")
+    near = spelling.near_pairs(words)
+    assert "BroadcastExchange" not in near._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in near.collect()} == {("reading", "readings", 3), ("readings", "reading", 9)}
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_hot_word_and_repeated_rows(spark):
     rows = [(1, "common comman common")] * 300 + [(2, "comman")] * 5 + [(3, "Übung Ãbung ×÷×÷×")] * 3
     assert got(documents(spark, rows)) == plain(rows)
